@@ -29,7 +29,7 @@ def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p7_days(spark: SparkSession, d: str) -> DataFrame:
     """Number of values in the sketch of each name, def and day."""
     values = percentiles.values_of(table(spark, d, "projected_columns"), table(spark, d, "beings"))
-    return percentiles.day_sketches(values).select("name", "def", "day", "n")
+    return percentiles.day_sketches(values).selectExpr("name", "def", "cast(day as string) as day", "n")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

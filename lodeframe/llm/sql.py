@@ -17,5 +17,5 @@ def llm_sql() -> dict[str, str]:
     return {
         "p7_percentiles": _VALUES
         + 'SELECT name, "def", count(*)::BIGINT AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99 FROM j GROUP BY 1, 2',
-        "p7_days": _VALUES + 'SELECT name, "def", day, count(*)::BIGINT AS n FROM j GROUP BY 1, 2, 3',
+        "p7_days": _VALUES + 'SELECT name, "def", day::VARCHAR AS day, count(*)::BIGINT AS n FROM j GROUP BY 1, 2, 3',
     }
