@@ -24,8 +24,9 @@ def ref_id(c: Column | str) -> Column:
 
 def month_of_ns(c: Column) -> Column:
     """Months since year 0 of a time in nanoseconds since 1970 (UTC); null stays null."""
-    t = F.timestamp_micros(F.call_function("div", c, F.lit(1000)))
-    return F.year(t) * 12 + F.month(t) - 1
+    day = F.lit(86_400_000_000_000)
+    date = F.date_from_unix_date(F.call_function("div", c - F.pmod(c, day), day).cast("int"))
+    return F.year(date) * 12 + F.month(date) - 1
 
 
 def id_created_ms(c: Column | str) -> Column:
