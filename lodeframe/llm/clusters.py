@@ -38,18 +38,25 @@ SUMMARY = "n bigint, total array<double>"
 def usable_nodes(nodes: DataFrame, dim: int = DIM) -> DataFrame:
     """id, unit (the vector at length 1) of each usable node, an id once.
 
-    Usable: ``dim`` finite numbers, not all 0, none null. Of different vectors under one id the smallest (as an array) counts.
+    Usable: ``dim`` finite numbers, not all 0, none null. Of different vectors under one id the smallest (as an array, at length 1) counts.
     Rows whose id refers to nothing are no nodes.
     """
-    v = F.col("vector")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    ok = nodes.select(ref_id("id").alias("id"), v.cast("array<double>").alias("vector")).where("id is not null").where(F.size("vector") == dim).where(finite & F.exists("vector", lambda x: x != 0))
-    one = ok.groupBy("id").agg(F.min("vector").alias("vector"))
-    # scaled by the largest number first, so that neither large nor tiny numbers leave the range of doubles
-    big = F.array_max(F.transform("vector", F.abs))
-    scaled = one.withColumn("vector", F.transform("vector", lambda x: x / big))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.select("id", F.transform("vector", lambda x: (x / norm).cast("float")).alias("unit"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            right = np.fromiter((v is not None and len(v) == dim for v in pdf["vector"]), dtype=bool, count=len(pdf))
+            pdf = pdf[right]
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)  # a null number comes as NaN
+            big = np.abs(x).max(axis=1)
+            ok = np.isfinite(x).all(axis=1) & (big > 0)
+            # scaled by the largest number first, so that neither large nor tiny numbers leave the range of doubles
+            x = _units(x[ok] / big[ok, None]).astype(np.float32)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "unit": list(x)})
+
+    rows = nodes.select(ref_id("id").alias("id"), "vector").where("id is not null and vector is not null")
+    return rows.mapInPandas(run, "id string, unit array<float>").groupBy("id").agg(F.min("unit").alias("unit"))
 
 
 class FeatureTree:
