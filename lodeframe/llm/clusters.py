@@ -169,7 +169,7 @@ def _merged(keyed: DataFrame, key: Column, dim: int) -> DataFrame:
         tree.add(pdf["n"].to_numpy(dtype=np.float64), np.stack(pdf["total"].to_numpy()))
         return tree.summaries()
 
-    return keyed.groupBy(key.alias("_k")).applyInPandas(lambda pdf: run(pdf), SUMMARY)
+    return keyed.groupBy(key.alias("_k")).applyInPandas(run, SUMMARY)
 
 
 def reduce_summaries(summaries: DataFrame, sources: int, dim: int = DIM) -> DataFrame:
@@ -184,37 +184,63 @@ def reduce_summaries(summaries: DataFrame, sources: int, dim: int = DIM) -> Data
 
 def ward(n: np.ndarray, total: np.ndarray, limit: float = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Agglomeration of summaries: the pair that adds least to the sum of squares first, as long as the average cosine
-
     between the members of two summaries (the product of their means) reaches ``limit``. Returns (n, total) of the clusters.
+
+    Summaries that no chain of such pairs connects never merge, so each connected set is agglomerated by itself.
     """
+    if not len(n):
+        return n, total
+    mean = total / n[:, None]
+    left = np.ones(len(n), dtype=bool)
+    out_n, out_total = [], []
+    for i in range(len(n)):
+        if not left[i]:
+            continue
+        left[i] = False
+        members, at = [i], 0
+        while at < len(members):
+            rest = np.flatnonzero(left)
+            near = rest[mean[rest] @ mean[members[at]] >= limit]
+            left[near] = False
+            members.extend(near.tolist())
+            at += 1
+        a, b = _ward(n[members], total[members], limit)
+        out_n.append(a)
+        out_total.append(b)
+    return np.concatenate(out_n), np.concatenate(out_total)
+
+
+def _ward(n: np.ndarray, total: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     n, total = n.astype(np.float64).copy(), total.astype(np.float64).copy()
     alive = np.ones(len(n), dtype=bool)
-    mean = total / n[:, None] if len(n) else total
-    sim = mean @ mean.T
+    mean = total / n[:, None]
     square = (mean * mean).sum(axis=1)
-    cost = np.where(sim >= limit, (n[:, None] * n[None, :] / (n[:, None] + n[None, :])) * (square[:, None] + square[None, :] - 2 * sim), np.inf)
-    np.fill_diagonal(cost, np.inf)
-    while len(n):
+
+    def costs(i: int) -> np.ndarray:
+        s = mean @ mean[i]
+        c = np.where(alive & (s >= limit), n * n[i] / (n + n[i]) * (square + square[i] - 2 * s), np.inf)
+        c[i] = np.inf
+        return c
+
+    cost = np.stack([costs(i) for i in range(len(n))])
+    while True:
         i, j = divmod(int(cost.argmin()), len(n))
         if not np.isfinite(cost[i, j]):
-            break
+            return n[alive], total[alive]
         n[i] += n[j]
         total[i] += total[j]
         alive[j] = False
         cost[j, :] = cost[:, j] = np.inf
         mean[i] = total[i] / n[i]
         square[i] = mean[i] @ mean[i]
-        s = mean @ mean[i]
-        c = np.where(alive & (s >= limit), n * n[i] / (n + n[i]) * (square + square[i] - 2 * s), np.inf)
-        c[i] = np.inf
-        cost[i, :] = cost[:, i] = c
-    return n[alive], total[alive]
+        cost[i, :] = cost[:, i] = costs(i)
 
 
 def _centres(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(n, mean) of the clusters. There is one row per leaf with two or more members of the last trees, so the driver gets
+    """(n, mean) of the clusters.
 
-    some rows per cluster, whatever the number of nodes.
+    There is a row per leaf with two or more members of the last trees, so the driver gets some rows per cluster,
+    whatever the number of nodes, and at most FAN_IN * MAX_LEAVES.
     """
     rows = summaries.toPandas().sort_values("n", ascending=False, kind="stable")
     if not len(rows):
@@ -273,13 +299,22 @@ def bucket_summaries(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
                 code = ((x @ planes[r].T > 0) @ (1 << np.arange(k))) if k else np.zeros(len(x), dtype=np.int64)
                 yield pd.DataFrame({"bucket": code.astype(np.int64) + (np.int64(r) << 40), "unit": pdf["unit"]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = FeatureTree(dim)
-        x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
-        tree.add(np.ones(len(x)), x)
-        return tree.summaries()
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, tree = None, FeatureTree(dim)
+        for pdf in batches:
+            ids = pdf["bucket"].to_numpy()
+            at = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else []
+            for a, b in zip(at, [*at[1:], len(ids)]):
+                if ids[a] != bucket:
+                    yield tree.summaries()
+                    bucket, tree = ids[a], FeatureTree(dim)
+                x = np.stack(pdf["unit"].iloc[a:b].to_numpy()).astype(np.float64)
+                tree.add(np.ones(len(x)), x)
+        yield tree.summaries()
 
-    return rest.select("unit").mapInPandas(keys, "bucket bigint, unit array<float>").groupBy("bucket").applyInPandas(run, SUMMARY)
+    # one bucket after the other streams through a tree of bounded size, however large a bucket may be
+    keyed = rest.select("unit").mapInPandas(keys, "bucket bigint, unit array<float>")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(build, SUMMARY)
 
 
 def clusters(nodes: DataFrame, dim: int = DIM) -> DataFrame:
