@@ -36,10 +36,10 @@ def aggregate_skewed(df: DataFrame, key: str, partial: dict[str, Column], final:
     known = df.where(F.col(key).isNotNull())
     heavy = heavy_candidates(df, key, share)
     # at most 2 / share keys, whatever the size of the table
-    marked = known.join(F.broadcast(heavy.select(key, F.lit(True).alias("_heavy"))), key, "left")
-    hot = marked.where(F.col("_heavy")).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(SALTS)))
-    hot = hot.groupBy(key, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
-    rest = marked.where(F.col("_heavy").isNull()).groupBy(key).agg(*[c.alias(n) for n, c in partial.items()])
+    marked = known.join(F.broadcast(heavy.select(key, F.lit(True).alias("__heavy"))), key, "left")
+    hot = marked.where(F.col("__heavy")).withColumn("__salt", F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(SALTS)))
+    hot = hot.groupBy(key, "__salt").agg(*[c.alias(n) for n, c in partial.items()])
+    rest = marked.where(F.col("__heavy").isNull()).groupBy(key).agg(*[c.alias(n) for n, c in partial.items()])
     done = hot.groupBy(key).agg(*[c.alias(n) for n, c in final.items()])
     return rest.select(key, *final).unionByName(done.select(key, *final))
 

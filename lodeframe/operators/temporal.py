@@ -47,10 +47,10 @@ def last_n(versions: DataFrame, n: int, order: list[str]) -> DataFrame:
     if n <= 0:
         return versions.limit(0)
     by = [F.col(c).desc_nulls_last() for c in order]
-    rows = versions.where("id is not null").withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("id", "_s").orderBy(*by))).where(F.col("_k") <= n)
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(*by))).where(F.col("_k") <= n)
-    return rows.drop("_s", "_k")
+    rows = versions.where("id is not null").withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("id", "__slice").orderBy(*by))).where(F.col("__rank") <= n)
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("id").orderBy(*by))).where(F.col("__rank") <= n)
+    return rows.drop("__slice", "__rank")
 
 
 def apply_history(versions: DataFrame, history: History, order: list[str]) -> DataFrame:
