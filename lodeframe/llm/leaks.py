@@ -139,27 +139,29 @@ class Index:
 def has_passage(item: np.ndarray, region: np.ndarray) -> bool:
     """Whether some run of PASSAGE or more words of the item occurs in the region with one edit in PER_EDIT words at most.
 
-    Any longer run that qualifies has a part of PASSAGE to 2 * PASSAGE - 1 words that does, so these lengths suffice. For
-    all starts in the item at once: edit distance to the best place of the region, word by word.
+    The first and the last word of the run must be there, as a shorter quotation isn't a longer one with its ends left out.
+    For all starts in the item at once: edit distance to the best place of the region, word by word.
     """
     m, n = len(item), len(region)
     starts = m - PASSAGE + 1
     if starts <= 0 or n == 0:
         return False
+    far = m + n + 1
     ramp = np.arange(n + 1, dtype=np.int32)
-    d = np.zeros((starts, n + 1), dtype=np.int32)
     begin = np.arange(starts)
-    for x in range(min(2 * PASSAGE - 1, m)):
+    d = np.full((starts, n + 1), far, dtype=np.int32)
+    d[:, 1:][item[:starts, None] == region[None, :]] = 0
+    d = np.minimum.accumulate(d - ramp, axis=1) + ramp
+    for x in range(1, m):
         live = begin + x < m
-        word = item[np.minimum(begin + x, m - 1)]
-        step = np.empty_like(d)
-        step[:, 0] = d[:, 0] + 1
-        np.minimum(d[:, :-1] + (word[:, None] != region[None, :]), d[:, 1:] + 1, out=step[:, 1:])
+        same = item[np.minimum(begin + x, m - 1)][:, None] == region[None, :]
+        if x + 1 >= PASSAGE and (d[:, :-1][same & live[:, None]] <= (x + 1) // PER_EDIT).any():
+            return True
+        step = np.full_like(d, far)
+        np.minimum(d[:, :-1] + ~same, d[:, 1:] + 1, out=step[:, 1:])
         d = np.minimum.accumulate(step - ramp, axis=1) + ramp
-        if x + 1 >= PASSAGE:
-            best = d.min(axis=1)
-            if (best[live] <= (x + 1) // PER_EDIT).any():
-                return True
+        if d.min() > m // PER_EDIT:
+            return False
     return False
 
 

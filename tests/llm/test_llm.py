@@ -186,7 +186,7 @@ OTHER = "Given 77 paddock vectors and 12 orchard centres state the smallest quiv
 def test_passages(spark):
     w = ITEM.split()
     edited = w[:]
-    edited[6], edited[15] = "around", "boat"
+    edited[6], edited[15] = "around", "boat"  # with 20 words, two edits
     short = " ".join(w[:19])
     many = w[3:23]
     for i in (2, 9, 15):
@@ -194,7 +194,7 @@ def test_passages(spark):
     cases = {
         1: ITEM, 2: "Before. " + ITEM.upper() + " After.", 3: " ".join(edited[:20]), 4: short, 5: " ".join(many), 6: "<p>" + " ".join(f"<b>{x}</b>" for x in w[:24]) + "</p>", 7: "> " + "\n> ".join([" ".join(w[:9]), " ".join(w[9:16]), " ".join(w[16:30])]),
         8: " ".join(w[:12])[:-3] + "-\n" + " ".join(w[:12])[-3:] + " " + " ".join(w[12:26]), 9: "​".join(ITEM), 10: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in ITEM), 11: "nothing of the kind", 12: None, 13: "", 14: OTHER + " and " + ITEM,
-        15: " ".join(w[5:14] + w[15:26]), 16: " ".join(w[5:12] + ["really"] + w[12:26]), 17: "filler words here " * 3000 + ITEM + " more" * 5000, 18: " ".join(reversed(w)), 19: "**" + "** _".join(w[:22]),
+        15: " ".join(w[5:14] + w[15:26]), 16: " ".join(w[5:12] + ["really"] + w[12:26]), 17: "filler words here " * 3000 + ITEM + " more" * 5000, 18: " ".join(reversed(w)), 19: "**" + "** _".join(w[:22]), 20: " ".join(w[:6] + w[7:19]),
     }
     docs = spark.createDataFrame([(i, t, "s", 0, 0) for i, t in cases.items()] + [(1, ITEM, "s", 0, 0)], DOC)
     items = spark.createDataFrame([(7, "s", ITEM), (8, "s", OTHER), (9, "s", None), (10, "s", "too short")], "item_id long, subject string, text string")
@@ -204,17 +204,24 @@ def test_passages(spark):
 
 
 def brute_passage(item, doc):
+    """All runs of the item against all runs of the document that begin and end with the same words."""
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(d[j] + 1, new[-1] + 1, d[j - 1] + (x != y)))
+            d = new
+        return d[-1]
+
     for i in range(len(item) - 19):
         for j in range(i + 20, len(item) + 1):
-            run = item[i:j]
-            d = [0] * (len(doc) + 1)
-            for a, x in enumerate(run, 1):
-                new = [a]
-                for b, y in enumerate(doc, 1):
-                    new.append(min(d[b] + 1, new[-1] + 1, d[b - 1] + (x != y)))
-                d = new
-            if min(d) <= len(run) // 10:
-                return True
+            most = (j - i) // 10
+            for a in range(len(doc)):
+                for b in range(max(a + 1, a + (j - i) - most), min(len(doc), a + (j - i) + most) + 1):
+                    if doc[a] == item[i] and doc[b - 1] == item[j - 1] and distance(item[i + 1 : j - 1], doc[a + 1 : b - 1]) <= most:
+                        return True
     return False
 
 
