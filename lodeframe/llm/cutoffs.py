@@ -60,7 +60,7 @@ _KEPT: dict[str, int] = {}
 def _hash(s: str) -> int:
     h = _KEPT.get(s)
     if h is None:
-        if len(_KEPT) > 400_000:
+        if len(_KEPT) > 200_000:
             _KEPT.clear()
         h = _KEPT[s] = xxhash.xxh64_intdigest(s)
     return h
