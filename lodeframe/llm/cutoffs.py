@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.sources.tables import materialise
@@ -32,8 +32,9 @@ PREFIX_ORDERS = (2, 4)
 ENOUGH = 2
 #: Bits of the Bloom filter (4 MB).
 BLOOM_BITS = 1 << 25
-#: A length is a limit of a source if so many of its texts, and this share of them, stop there unfinished.
-LIMIT_TEXTS, LIMIT_SHARE = 8, 0.02
+#: A length is a limit of a source if so many of its texts, and this share of them, stop there unfinished, and this many times
+#: as many as at the two lengths before and after it.
+LIMIT_TEXTS, LIMIT_SHARE, LIMIT_PEAK = 8, 0.02, 3
 
 CJK = "぀-ヿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"[{CJK}]|[0-9]+|[^\W0-9{CJK}]+|\.\.\.|[^\s\w]")
@@ -66,17 +67,15 @@ def _hash(s: str) -> int:
     return h
 
 
-def _tokens(text: str) -> tuple[list[str], list[int], int, int]:
-    """Tokens, their kinds, the number of fence lines, whether the last line is a fence."""
-    toks, kinds, fences, fenced = [NEWLINE], [PROSE], 0, 0
+def _tokens(text: str) -> tuple[list[str], list[int]]:
+    """Tokens and their kinds."""
+    toks, kinds = [NEWLINE], [PROSE]
     first = True
     for raw in text.splitlines():
         for line in APART.split(raw) if APART.search(raw) else (raw,):
             found = TOKEN.findall(line)
             if not found:
                 continue
-            fenced = line.lstrip().startswith("```")
-            fences += fenced
             kind = next((k for k, p in KINDS if p.match(line)), PROSE)
             if kind == PROSE and first and len(found) <= TITLE_TOKENS and found[-1] not in ENDS:
                 kind = TITLE
@@ -87,7 +86,7 @@ def _tokens(text: str) -> tuple[list[str], list[int], int, int]:
             kinds.append(PROSE)
     if toks[-1] == NEWLINE and len(toks) > 1:
         toks.pop(), kinds.pop()
-    return toks, kinds, fences, int(fenced)
+    return toks, kinds
 
 
 def split_end(text: str) -> tuple[str, bool, bool]:
@@ -128,7 +127,7 @@ def tail_keys(toks: list[str], kind: int) -> tuple[list[int], list[int]]:
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_chars, n_bytes, rule, kind, twin, follow, part of every text without a proper end.
+    """doc_id, source, n_chars, n_bytes, mark, rule, kind, twin, follow, part, prose of every text without a proper end.
 
     rule: 1 cut for certain (broken character, open code block), 0 to be asked. Null, empty and blank texts, and texts with
     a proper end (a final stop, perhaps before closing signs or a mark; a closed code block; a sign such as an
@@ -141,15 +140,15 @@ def endings(docs: DataFrame) -> DataFrame:
             for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
                 if not isinstance(text, str):
                     continue
-                body, _, broken = split_end(text)
+                body, mark, broken = split_end(text)
                 if not body:
                     continue
-                toks, kinds, fences, fenced = _tokens(body)
+                toks, kinds = _tokens(body)
                 last = toks[-1]
-                rule = 1 if broken or fences % 2 else 0
+                rule = 1 if broken or body.count("```") % 2 else 0
                 if not rule:
                     bare = body.rstrip(CLOSERS)
-                    if fenced or last in ENDS or (bare and bare[-1] in ENDS):
+                    if body.endswith("```") or last in ENDS or (bare and bare[-1] in ENDS):
                         continue
                     if not (last[0].isalnum() or last == "#" or "_" in last or last in OPENERS or last in CLOSERS):
                         continue
@@ -158,10 +157,10 @@ def endings(docs: DataFrame) -> DataFrame:
                 follow, part = tail_keys(toks, kinds[-1])
                 # what looks like a title may be a first sentence that was cut, so it is held against prose as well
                 prose = tail_keys(toks, PROSE)[0] if kinds[-1] == TITLE else []
-                out.append((doc_id, source, len(text.rstrip()), len(text.rstrip().encode("utf-8", "replace")), rule, kinds[-1], int(np.uint64(xxhash.xxh64_intdigest(body[-200:])).astype(np.int64)), follow, part, prose))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "n_chars", "n_bytes", "rule", "kind", "twin", "follow", "part", "prose"])
+                out.append((doc_id, source, len(text), len(text.encode("utf-8", "replace")), mark, rule, kinds[-1], int(np.uint64(xxhash.xxh64_intdigest(body[-200:])).astype(np.int64)), follow, part, prose))
+            yield pd.DataFrame(out, columns=["doc_id", "source", "n_chars", "n_bytes", "mark", "rule", "kind", "twin", "follow", "part", "prose"])
 
-    schema = "doc_id bigint, source string, n_chars bigint, n_bytes bigint, rule int, kind int, twin bigint, follow array<bigint>, part array<bigint>, prose array<bigint>"
+    schema = "doc_id bigint, source string, n_chars bigint, n_bytes bigint, mark boolean, rule int, kind int, twin bigint, follow array<bigint>, part array<bigint>, prose array<bigint>"
     return docs.select("doc_id", "source", "text").mapInPandas(run, schema)
 
 
@@ -204,7 +203,7 @@ def _count(texts: list[str], bits: np.ndarray) -> pd.DataFrame:
     lengths = []
     for t in texts:
         body, _, _ = split_end(t)
-        a, k, _, _ = _tokens(body)
+        a, k = _tokens(body)
         flat += a
         kinds += k
         lengths.append(len(a))
@@ -312,18 +311,20 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
 
 def _limits(ends: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the unfinished texts that are exactly as long as a limit of their source."""
+    """Adds the texts that end in prose, without a mark of omission, and are exactly as long as a limit of their source."""
     source = F.coalesce("source", F.lit("\0"))
     ends = ends.withColumn("_s", source)
     sizes = docs.groupBy(source.alias("_s")).agg(F.count(F.lit(1)).alias("n"))
     long = ends.select("_s", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("b").alias("unit"), F.col("n_bytes").alias("length")))).alias("l"), F.col("why").isNotNull().alias("cut"))
-    peaks = long.groupBy("_s", "l.unit", "l.length").agg(F.sum(F.col("cut").cast("int")).alias("k"), F.count(F.lit(1)).alias("m"))
+    peaks = long.groupBy("_s", F.col("l.unit").alias("unit"), F.col("l.length").alias("length")).agg(F.sum(F.col("cut").cast("int")).alias("k"), F.count(F.lit(1)).alias("m"))
+    around = F.sum("k").over(Window.partitionBy("_s", "unit").orderBy("length").rangeBetween(-2, 2))  # over the lengths that occur
+    peaks = peaks.withColumn("others", around - F.col("k")).where(F.col("k") >= LIMIT_PEAK * F.col("others"))
     peaks = peaks.join(sizes, "_s").where((F.col("k") >= LIMIT_TEXTS) & (F.col("k") >= LIMIT_SHARE * F.col("n")) & (F.col("k") * 2 > F.col("m")))
     # at most 1 / LIMIT_SHARE lengths in each unit for a source
     peaks = peaks.groupBy("_s").agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
     out = ends.join(peaks, "_s", "left")
     here = F.exists("limits", lambda x: F.when(x["unit"] == "c", x["length"] == F.col("n_chars")).otherwise((F.col("n_bytes") <= x["length"]) & (F.col("n_bytes") > x["length"] - 4)))
-    out = out.withColumn("why", F.coalesce("why", F.when(here, F.lit("limit"))))
+    out = out.withColumn("why", F.coalesce("why", F.when(here & ~F.col("mark") & (F.col("kind") == PROSE), F.lit("limit"))))
     return out.where("why is not null").select("doc_id", "source", "why")
 
 

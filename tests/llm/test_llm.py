@@ -276,7 +276,7 @@ def test_cut_texts(spark):
     }
     fine = {
         "stop": full, "no stop": full[:-1], "title": "Notes on the page cache", "ellipsis": "It took 9 ms to merge the page cache. And so the search goes on…", "sign": "It took 3 ms to merge the lock table again.\n\n— our tester", "items": "It took 3 ms.\n\n- reload the page cache\n- repair the lock table",
-        "code": "It took 3 ms.\n```\nquery { a }\n```", "quote": 'He said "it took 3 ms."', "blank": " \n", "empty": "", "null": None, "emoji": "It took 3 ms to merge the page cache. 👍",
+        "code": "It took 3 ms.\n```\nquery { a }\n```", "code in a line": "It took 3 ms. ```\nquery { a }\n``` It took 3 ms.", "quote": 'He said "it took 3 ms."', "blank": " \n", "empty": "", "null": None, "emoji": "It took 3 ms to merge the page cache. 👍",
     }
     rows = [(i, t, "s", 0, 0) for i, t in enumerate(corpus())]
     rows += [(10_000 + i, t, None, 0, 0) for i, t in enumerate(cases.values())] + [(20_000 + i, t, "s", 0, 0) for i, t in enumerate(fine.values())]
@@ -293,7 +293,7 @@ def test_cut_texts(spark):
 
 def test_keys_of_tails_are_keys_of_windows():
     text = "One two three four five six seven eight nine ten eleven twelve"
-    toks, kinds, _, _ = cutoffs._tokens(text)
+    toks, kinds = cutoffs._tokens(text)
     follow, part = cutoffs.tail_keys(toks, cutoffs.PROSE)
     everything = np.full(cutoffs.BLOOM_BITS // 8, 255, dtype=np.uint8)
     inside = cutoffs._count(["First line here.\n" + text + "s are there and more."], everything)
