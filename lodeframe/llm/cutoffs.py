@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.llm.leaks import pieces
 from lodeframe.sources.tables import materialise
 
 #: Window lengths in tokens, and those at which the letters of a broken last word are compared.
@@ -186,8 +187,8 @@ def window_counts(docs: DataFrame, filter_bits: bytes) -> DataFrame:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
         for pdf in batches:
             texts = [t for t in pdf["text"] if isinstance(t, str)]
-            for at in range(0, len(texts), 1000):
-                yield _count(texts[at : at + 1000], bits)
+            for a, b in pieces(texts):
+                yield _count(texts[a:b], bits)
 
     return docs.select("text").mapInPandas(run, "key bigint, n_on bigint, n_end bigint, n_all bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_on", "n_end", "n_all")])
 

@@ -216,6 +216,19 @@ def find(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(texts: list[str | None], most: int = 1000, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` texts with about ``chars`` characters in total; a longer text is one by itself."""
+    a, size = 0, 0
+    for b, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if b > a and (b - a >= most or size + n > chars):
+            yield a, b
+            a, size = b, 0
+        size += n
+    if a < len(texts):
+        yield a, len(texts)
+
+
 _INDEXES: dict[int, Index] = {}
 
 
@@ -236,8 +249,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         index = _INDEXES[stamp]
         for pdf in batches:
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
-            for at in range(0, len(texts), 1000):
-                found = find(index, texts[at : at + 1000])
-                yield pd.DataFrame([(ids[at + d], i) for d, i in found], columns=["doc_id", "item_id"])
+            for a, b in pieces(texts):
+                found = find(index, texts[a:b])
+                yield pd.DataFrame([(ids[a + d], i) for d, i in found], columns=["doc_id", "item_id"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint")
