@@ -156,7 +156,7 @@ def dfs(relations: DataFrame, start: str, depth: int, edge_filter: EdgeFilter |
     return edges.coalesce(1).mapInPandas(walk, "pos bigint, id string, depth int")
 
 
-def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int, damping: float = 0.85, compact_every: int = 1) -> DataFrame:
+def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int, damping: float = 0.85) -> DataFrame:
     """id, rank after exactly ``iterations`` rounds; the ranks sum to 1.
 
     Every node starts with 1/N. What nodes without out-edges hold is spread over all. Parallel edges count each; undirected ones
@@ -175,10 +175,10 @@ def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int, damping: f
     base = materialise(ids.join(sinks.withColumn("sink", F.lit(True)), "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink")), "base")
     ranks = base.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"))  # one row
+        lost = ranks.agg(F.sum(F.when(F.col("sink"), F.col("rank")))).first()[0] or 0.0
         got = ranks.select(F.col("id").alias("from_id"), "rank").join(share, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = base.join(got, "id", "left").crossJoin(F.broadcast(lost))
-        ranks = ranks.select("id", "sink", ((1 - damping) / n + damping * (F.col("lost") / n + F.coalesce("got", F.lit(0.0)))).alias("rank"))
+        ranks = base.join(got, "id", "left")
+        ranks = ranks.select("id", "sink", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         ranks = materialise(ranks, "ranks")
     return ranks.select("id", "rank")
 

@@ -53,9 +53,8 @@ def _hot_bounds(rows: DataFrame) -> dict[str, list[int]]:
 
     At most 1 / HOT_SHARE beings are hot, each with PIECES bounds, which is all that reaches the driver.
     """
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    sizes = rows.groupBy("being_id").agg(F.count(F.lit(1)).alias("k"))
-    hot_ids = sizes.join(F.broadcast(n)).where((F.col("k") > F.col("n") * HOT_SHARE) & (F.col("k") > HOT_ROWS)).select("being_id")
+    n = rows.count()
+    hot_ids = rows.groupBy("being_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(HOT_ROWS, n * HOT_SHARE)).select("being_id")
     at = [i / PIECES for i in range(1, PIECES)]
     hot = rows.join(F.broadcast(hot_ids), "being_id").groupBy("being_id").agg(F.percentile_approx("tx_begin", at, 10000).alias("b")).collect()
     return {r.being_id: sorted(set(r.b)) for r in hot}

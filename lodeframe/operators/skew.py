@@ -67,5 +67,5 @@ def heavy_from_ids(df: DataFrame, table_name: str, share: float = 0.02) -> DataF
     rows = df.select(ref_id("from_id").alias("from_id"))
     candidates = heavy_candidates(rows, "from_id", share)
     counts = rows.join(F.broadcast(candidates), "from_id").groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
-    return counts.join(F.broadcast(total)).where(F.col("n") >= F.lit(share) * F.col("total")).select(F.lit(table_name).alias("table_name"), "from_id")
+    total = df.count()  # of parquet files from their footers
+    return counts.where(F.col("n") >= F.lit(share) * total).select(F.lit(table_name).alias("table_name"), "from_id")

@@ -61,6 +61,16 @@ def invalid_beings(beings: DataFrame) -> DataFrame:
     return beings.select("id", F.explode(found).alias("problem"))
 
 
+def invalid_vectors(vectors: DataFrame, dims: dict[str, int] | None = None) -> DataFrame:
+    """id, field, problem of vectors that are null or empty, or of another dimension than their field's."""
+    size = F.size("vector")
+    wrong = F.lit(False)
+    for name, n in (dims or {}).items():
+        wrong = wrong | ((F.col("field") == name) & (size != n))
+    problem = F.when(F.col("vector").isNull() | (size == 0), F.lit("empty")).when(wrong, F.lit("dimension"))
+    return vectors.select("id", "field", problem.alias("problem")).where("problem is not null")
+
+
 def definitions_of(defs: DataFrame) -> list[Def]:
     """The (few) rows of a table of definitions as objects."""
     out = []

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,9 @@ class Files:
     def __init__(self, spark: SparkSession, base: str):
         self.jvm = spark._jvm
         self.base = base.rstrip("/")
-        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.base).getFileSystem(self.conf)
+        self.none = spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
@@ -50,10 +53,15 @@ class Files:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if self.fs.exists(to):
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        try:  # this rename fails if there is a file already
+            context.rename(tmp, to, self.none)
+        except Py4JJavaError as e:
             self.fs.delete(tmp, False)
-            return False
-        return bool(self.fs.rename(tmp, to))
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
 
 
 class Store:
@@ -64,7 +72,7 @@ class Store:
 
     def _manifest(self) -> dict:
         names = [n for n in self.files.names("manifests") if n.endswith(".json")]
-        return json.loads(self.files.read(f"manifests/{names[-1]}")) if names else {"version": 0, "seq": 0, "ord": 0, "files": {t: [] for t in TABLES}, "defs": []}
+        return json.loads(self.files.read(f"manifests/{names[-1]}")) if names else {"version": 0, "seq": 0, "files": {t: [] for t in TABLES}, "defs": []}
 
     def commit(self, parts: dict[str, DataFrame], ops: list[tuple[str, str]] = (), defs: list | None = None) -> int:
         """Writes the rows of ``parts`` and the ops (kind, payload) as one transaction; its number is the result.
@@ -74,7 +82,7 @@ class Store:
         """
         old = self._manifest()
         tx = old["version"] + 1
-        new = {"version": tx, "seq": old["seq"], "ord": old["ord"], "files": {t: list(v) for t, v in old["files"].items()}, "defs": old["defs"] if defs is None else defs}
+        new = {"version": tx, "seq": old["seq"], "files": {t: list(v) for t, v in old["files"].items()}, "defs": old["defs"] if defs is None else defs}
         for t, df in parts.items():
             schema = TABLES[t]
             rows = df
@@ -139,11 +147,10 @@ class DocumentLog:
         return self.scan().count()
 
 
-def replayable(log: DataFrame, good, arrival: str = "seq", seq: str = "seq") -> DataFrame:
+def replayable(log: DataFrame, good, arrival: str = "seq") -> DataFrame:
     """The records before the first bad one in order of arrival; a recovery sorts them by seq.
 
-    ``good`` is a condition; null counts as bad. The first bad record is a minimum, one row.
+    ``good`` is a condition; null counts as bad. The first bad record is a minimum, one value.
     """
-    bad = log.where(~F.coalesce(good, F.lit(False))).agg(F.min(arrival).alias("_bad"))
-    rows = log.crossJoin(F.broadcast(bad)).where(F.col("_bad").isNull() | (F.col(arrival) < F.col("_bad")))
-    return rows.drop("_bad")
+    bad = log.where(~F.coalesce(good, F.lit(False))).agg(F.min(arrival)).first()[0]
+    return log if bad is None else log.where(F.col(arrival) < F.lit(bad))

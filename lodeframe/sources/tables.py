@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeframe.model import EngineError
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a directory."""
@@ -15,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, local mode), a temporary one."""
+    """The folder named by spark.checkpoint.dir; only in local mode, where that is unset, a temporary one."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not there:
+        if not sc.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir must name a folder that all executors share")
         there = os.path.join(tempfile.gettempdir(), "lodeframe-shared")
         os.makedirs(there, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", there)

@@ -333,6 +333,8 @@ def test_ranges_and_required(spark):
     got = {(r.id, r.problem) for r in validate.violations(spark.createDataFrame(rows, "id string, def string, ext string"), [d], ["id"]).collect()}
     assert got == {("low", "range"), ("high", "range"), ("text", "type"), ("none", "missing"), ("junk", "missing")}
     b = spark.createDataFrame([("a", "n", "d"), ("b", " ", "d"), ("c", None, None)], "id string, name string, def string")
+    v = spark.createDataFrame([("a", "f", [1.0]), ("b", "f", []), ("c", "f", None), ("d", "g", [1.0, 2.0])], "id string, field string, vector array<float>")
+    assert {(r.id, r.problem) for r in validate.invalid_vectors(v, {"f": 1, "g": 3}).collect()} == {("b", "empty"), ("c", "empty"), ("d", "dimension")}
     assert {(r.id, r.problem) for r in validate.invalid_beings(b).collect()} == {("b", "name"), ("c", "name"), ("c", "def")}
 
 
