@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions.ids import month_of_ns, norm_id, ref_id
 
-#: Ids per range, at most about this many on average; a range is ranked and decoded in one task.
+#: Ids per range, at most this many on average; a range is ranked in one task.
 RANGE_IDS = 4096
 NO_MONTH = -1
 
@@ -55,8 +55,8 @@ def orphan_references(relations: DataFrame, beings: DataFrame, defs: DataFrame)
     used = pairs.select("id", "month", F.lit(None).cast("long").alias("born_at"), F.lit(None).cast("long").alias("ended_at"), F.lit(False).alias("is_parent")).unionByName(used)
     # the dictionary: one entry per distinct id, with the months in which it is referred to
     dictionary = used.groupBy("id").agg(F.collect_set("month").alias("months"), F.max("born_at").alias("born_at"), F.max("ended_at").alias("ended_at"), F.max("is_parent").alias("is_parent"))
-    n_ranges = relations.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    n_ranges = max(64, int(n_ranges) * 64)
+    most = 2 * relations.count() + beings.count() + defs.count()  # of parquet files from their footers
+    n_ranges = most // RANGE_IDS + 1
     coded = dictionary.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(n_ranges)).cast("int"))
     coded = coded.withColumn("pos", F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1).withColumn("word", F.floor(F.col("pos") / 64).cast("int"))
     # bitmaps of a range: references by month, births and deaths by month (a parent's bit is set once in each)

@@ -111,6 +111,34 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x[finite], np.flatnonzero(ok)[finite]
 
 
+class _Best:
+    """The k nearest of each query so far, by (distance, id)."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.edge = np.full(queries, np.inf)  # distance of the k-th
+        self.query, self.distance, self.id = np.zeros(0, dtype=np.int64), np.zeros(0), None
+
+    def offer(self, d: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> None:
+        """d: (rows, queries). Only what may be among the k nearest is kept and sorted."""
+        edge = self.edge[queries]
+        if len(d) > self.k:
+            edge = np.minimum(edge, np.partition(d, self.k - 1, axis=0)[self.k - 1])
+        row, col = np.nonzero(d <= edge)
+        if not len(row):
+            return
+        query, distance = np.concatenate([self.query, queries[col]]), np.concatenate([self.distance, d[row, col]])
+        own = ids[row] if self.id is None else np.concatenate([self.id, ids[row]])
+        order = np.lexsort((own, distance, query))
+        query = query[order]
+        begin = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(begin, np.diff(begin, append=len(query)))
+        keep = order[rank < self.k]
+        self.query, self.distance, self.id = query[rank < self.k], distance[order][rank < self.k], own[keep]
+        last = np.flatnonzero(rank == self.k - 1)
+        self.edge[query[last]] = distance[order][last]
+
+
 def _search(rows: DataFrame, queries: list[tuple[object, list[float]]], k: int, metric: str, id_type: str, lists: tuple | None = None) -> DataFrame:
     """query_id, id, distance: the best k per task for each query of one block."""
     spark = rows.sparkSession
@@ -121,34 +149,24 @@ def _search(rows: DataFrame, queries: list[tuple[object, list[float]]], k: int,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q, lists = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(q)
+        best = _Best(len(q), k)
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 part = pdf.iloc[at : at + 4096].reset_index(drop=True)
                 x, where = _matrix(part["vector"], dim)
                 if not len(x):
                     continue
-                ids = part["id"].to_numpy(dtype=object)[where]
+                ids = np.array(part["id"].to_numpy()[where].tolist())
                 if lists is None:
-                    todo = [(np.arange(len(x)), np.arange(len(q)))]
-                else:
-                    cells = part["cell"].to_numpy()[where]
-                    todo = [(np.flatnonzero(cells == c), lists[c]) for c in np.unique(cells) if c in lists]
-                for own, qs in todo:
-                    d = np.round(_distances(x[own], q[qs], metric), 9)
-                    for col, i in enumerate(qs):
-                        old_d, old_i = best[i]
-                        new_d, new_i = np.concatenate([old_d, d[:, col]]), np.concatenate([old_i, ids[own]])
-                        if len(new_d) > k:
-                            edge = np.partition(new_d, k - 1)[k - 1]
-                            near = new_d <= edge
-                            new_d, new_i = new_d[near], new_i[near]
-                            order = sorted(range(len(new_d)), key=lambda j: (new_d[j], new_i[j]))[:k]
-                            new_d, new_i = new_d[order], new_i[order]
-                        best[i] = (new_d, new_i)
-        for name, (d, i) in zip(names, best):
-            if len(d):
-                yield pd.DataFrame({"query_id": [name] * len(d), "id": i, "distance": d})
+                    best.offer(np.round(_distances(x, q, metric), 9), ids, np.arange(len(q)))
+                    continue
+                cells = part["cell"].to_numpy()[where]
+                for c in np.unique(cells):
+                    if c in lists:
+                        own = np.flatnonzero(cells == c)
+                        best.offer(np.round(_distances(x[own], q[lists[c]], metric), 9), ids[own], lists[c])
+        if len(best.query):
+            yield pd.DataFrame({"query_id": [names[i] for i in best.query], "id": best.id, "distance": best.distance})
 
     cols = ["id", "vector"] + (["cell"] if lists is not None else [])
     return rows.select(*cols).mapInPandas(run, f"query_id {id_type}, id {id_type}, distance double")

@@ -66,8 +66,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_beings(spark: SparkSession, d: str) -> DataFrame:
-    """The present table of beings after the whole log."""
-    return changefeed.present_beings(table(spark, d, "wal_records"))
+    """The present table of beings after the whole log (whole numbers as doubles, as they may be null)."""
+    state = changefeed.present_beings(table(spark, d, "wal_records"))
+    return state.withColumns({c: F.col(c).cast("double") for c in ("status", "priority")})
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

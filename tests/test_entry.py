@@ -11,9 +11,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from lodeframe.plans.core_queries import core_queries
 from lodeframe.plans.core_sql import core_sql
 from lodeframe.plans.engine_queries import engine_queries, engine_sql
+from lodeframe.plans.wal_sql import wal_sql
 
 QUERIES = {**core_queries(), **engine_queries()}
-SQL = {**core_sql(), **engine_sql()}
+SQL = {**core_sql(), **wal_sql(), **engine_sql()}
 
 
 def canon(rows):
