@@ -8,7 +8,7 @@ window that occurs elsewhere decides. Numbers are masked, and lines of lists, ke
 titles are compared only with their like, as they end without a stop. Last, the lengths at which a source cuts
 show as peaks: an unfinished text of just that length was cut as well.
 
-Nothing is sampled: every window of every text counts, if its hash is in a Bloom filter of the tails' hashes (of fixed
+Nothing is sampled: every window of every text counts, if its hash is in a Bloom filter of the tails' hashes (of bounded
 size; false positives cost time only, as the join on the hash follows).
 """
 
@@ -31,8 +31,8 @@ ORDERS = (1, 2, 3, 4, 5, 6, 8, 10, 12)
 PREFIX_ORDERS = (2, 4)
 #: A window decides from so many occurrences on.
 ENOUGH = 2
-#: Bits of the Bloom filter (4 MB).
-BLOOM_BITS = 1 << 25
+#: Bits of the Bloom filter: some eight for each key, but at most 32 MB; with more keys it lets more windows pass.
+BLOOM_PER_KEY, BLOOM_LEAST, BLOOM_MOST = 8, 1 << 16, 1 << 28
 #: A length is a limit of a source if so many of its texts, and this share of them, stop there unfinished, and this many times
 #: as many as at the two lengths before and after it.
 LIMIT_TEXTS, LIMIT_SHARE, LIMIT_PEAK = 8, 0.02, 3
@@ -165,12 +165,13 @@ def endings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInPandas(run, schema)
 
 
-def bloom(keys: DataFrame) -> bytes:
-    """A Bloom filter with one hash function of a column key, as BLOOM_BITS bits: of fixed size, whatever the input."""
-    bit = F.col("key").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((key & {BLOOM_BITS - 1}) % 64 as int))").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BLOOM_BITS / 64 rows
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
+def bloom(keys: DataFrame, n: int) -> bytes:
+    """A Bloom filter with one hash function of a column key with about ``n`` values. Its size is bounded by BLOOM_MOST."""
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_PER_KEY * max(1, n)).bit_length()))
+    bit = F.col("key").bitwiseAND(F.lit(size - 1))
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((key & {size - 1}) % 64 as int))").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BLOOM_MOST / 64 rows
+    out = np.zeros(size // 64, dtype=np.uint64)
     out[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).astype(np.uint64)
     return out.view(np.uint8).tobytes()
 
@@ -194,7 +195,7 @@ def window_counts(docs: DataFrame, filter_bits: bytes) -> DataFrame:
 
 
 def _kept(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    b = keys & np.uint64(BLOOM_BITS - 1)
+    b = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -280,7 +281,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     numbers = F.array(*[F.lit(n) for n in (*ORDERS, *[100 + n for n in PREFIX_ORDERS], *[200 + n for n in ORDERS])])
     every = F.arrays_zip(numbers.alias("n"), F.concat("follow", "part", "prose").alias("key"))
     tails = asked.select("doc_id", "kind", "twin", F.inline(every)).toDF("doc_id", "kind", "twin", "n", "key").where("key is not null and key <> 0")
-    counts = window_counts(docs, bloom(tails.select("key")))
+    n = asked.agg(F.sum(F.size("follow") + F.size("part") + F.size("prose"))).first()[0] or 0
+    counts = window_counts(docs, bloom(tails.select("key"), n))
     # how many other texts end in the same window; copies count once
     alike = tails.where("n < 100").groupBy("key", "twin").agg(F.lit(1).alias("one")).groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n_tails"))
     both = counts.join(alike, "key", "full")

@@ -295,7 +295,7 @@ def test_keys_of_tails_are_keys_of_windows():
     text = "One two three four five six seven eight nine ten eleven twelve"
     toks, kinds = cutoffs._tokens(text)
     follow, part = cutoffs.tail_keys(toks, cutoffs.PROSE)
-    everything = np.full(cutoffs.BLOOM_BITS // 8, 255, dtype=np.uint8)
+    everything = np.full(1 << 10, 255, dtype=np.uint8)
     inside = cutoffs._count(["First line here.\n" + text + "s are there and more."], everything)
     assert set(part) <= set(inside["key"]) and not set(follow) & set(inside["key"])
     inside = cutoffs._count(["First line here.\n" + text + " and more."], everything)
