@@ -90,7 +90,7 @@ class Index:
         for b in range(BLOCKS):
             near = (self.block(self.prints, b)[:, None] ^ masks[None, :]).ravel()
             order = np.argsort(near, kind="stable")
-            self.lists.append((order // len(masks)).astype(np.int32) if m else np.zeros(0, dtype=np.int32))
+            self.lists.append((order // len(masks)).astype(np.uint16 if m < 1 << 16 else np.int32))
             self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(near, minlength=1 << 16))]))
 
     @staticmethod
@@ -118,7 +118,7 @@ class Index:
                 s = size[lo:hi]
                 q = np.repeat(np.arange(lo, hi), s)
                 at = np.arange(len(q)) - np.repeat(np.cumsum(s) - s, s) + np.repeat(first[lo:hi], s)
-                w = self.lists[b][at]
+                w = self.lists[b][at].astype(np.int64)
                 ok = np.bitwise_count(prints[q] ^ self.prints[w]) <= RADIUS
                 found.append(q[ok] * m + w[ok])
                 lo = hi
