@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.model import InvalidState
-from lodeframe.sources.tables import materialise
+from lodeframe.sources.tables import bucketed, materialise
 
 #: A depth-first order can't be computed in parallel; a subgraph with more edges than this is refused.
 DFS_EDGES = 5_000_000
@@ -170,9 +170,10 @@ def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int, damping: f
     e = symmetrised(relations).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("k"))
     e = e.join(known, "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
     out = e.groupBy("from_id").agg(F.sum("k").alias("out"))
-    share = materialise(e.join(out, "from_id").select("from_id", "to_id", (F.col("k") / F.col("out")).alias("share")), "shares")
-    sinks = ids.join(share.select(F.col("from_id").alias("id")), "id", "left_anti")
-    base = materialise(ids.join(sinks.withColumn("sink", F.lit(True)), "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink")), "base")
+    # the edges are shuffled once; each round moves only ranks and sums
+    share, t1 = bucketed(e.join(out, "from_id").select("from_id", "to_id", (F.col("k") / F.col("out")).alias("share")), "from_id", "shares")
+    sinks = ids.join(share.select(F.col("from_id").alias("id")), "id", "left_anti").withColumn("sink", F.lit(True))
+    base, t2 = bucketed(ids.join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink")), "id", "nodes")
     ranks = base.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iterations):
         lost = ranks.agg(F.sum(F.when(F.col("sink"), F.col("rank")))).first()[0] or 0.0
@@ -180,6 +181,10 @@ def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int, damping: f
         ranks = base.join(got, "id", "left")
         ranks = ranks.select("id", "sink", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         ranks = materialise(ranks, "ranks")
+    if not iterations:
+        ranks = materialise(ranks, "ranks")
+    for t in (t1, t2):
+        relations.sparkSession.sql(f"DROP TABLE IF EXISTS {t}")
     return ranks.select("id", "rank")
 
 

@@ -38,3 +38,17 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/lodeframe-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, label: str) -> tuple[DataFrame, str]:
+    """df written once in as many buckets of a column as a shuffle has partitions, and the name of the (temporary) table.
+
+    Joins and groupings on the column then shuffle the other side only. The caller drops the table; its files stay in
+    the shared folder as those of materialise do.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lodeframe_{label}_{uuid.uuid4().hex}"
+    rows = df.repartition(n, column)  # one file per bucket
+    rows.write.format("parquet").bucketBy(n, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
