@@ -1,6 +1,6 @@
 """SQL for DuckDB, where the result can be expressed in it.
 
-p7: the tables of the comparison have fewer values per group than a sketch keeps, so its percentiles are exact there.
+p2: every member of a cluster is similar to every other, so the smallest similar id is the cluster's. p7: the tables of the comparison have fewer values per group than a sketch keeps, so its percentiles are exact there.
 """
 
 from lodeframe.plans.core_sql import ID
@@ -12,9 +12,17 @@ d AS (SELECT {ID.format(c='id')} AS id, arg_max("def", (updated_at, "def")) AS "
 j AS (SELECT v.name, d."def", v.day, v.value FROM v JOIN d ON d.id = {ID.format(c='v.being')} WHERE v.value IS NOT NULL AND NOT isnan(v.value))
 """
 
+_CLUSTERS = f"""
+WITH N AS (SELECT {ID.format(c='id')} AS id, min(vector::DOUBLE[]) AS v FROM hnsw_nodes
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0
+    AND {ID.format(c='id')} NOT IN ('', repeat('0', 36)) GROUP BY 1)
+SELECT a.id, min(b.id) AS cluster_id FROM N a JOIN N b ON list_cosine_similarity(a.v, b.v) >= 0.8 GROUP BY a.id HAVING count(*) > 1
+"""
+
 
 def llm_sql() -> dict[str, str]:
     return {
+        "p2_found": _CLUSTERS,
         "p7_percentiles": _VALUES
         + 'SELECT name, "def", count(*)::BIGINT AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99 FROM j GROUP BY 1, 2',
         "p7_days": _VALUES + 'SELECT name, "def", day::VARCHAR AS day, count(*)::BIGINT AS n FROM j GROUP BY 1, 2, 3',
