@@ -42,8 +42,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Every capture with valid and recorded times."""
-    return history.ledger(table(spark, d, "version_nodes")).select("being_id", "tx_begin", "tx_end", "recorded_at", "superseded_at", "node_no", "attrs.*")
+    """Every capture with valid and recorded times; superseded_at is -1 while it is believed."""
+    believed = F.coalesce("superseded_at", F.lit(-1).cast("long")).alias("superseded_at")
+    return history.ledger(table(spark, d, "version_nodes")).select("being_id", "tx_begin", "tx_end", "recorded_at", believed, "node_no", "attrs.name", "attrs.code", "attrs.weight", "attrs.category")
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

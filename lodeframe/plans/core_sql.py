@@ -67,6 +67,9 @@ def core_sql() -> dict[str, str]:
         "p1_found": " UNION ALL ".join(_p1(t) for t in ("relations", "edge_records")),
         "p1_totals": " UNION ALL ".join(_totals(t) for t in ("relations", "edge_records")),
         "p4_found": P4,
+        "p4_ledger": f"SELECT {_id('being_id')} AS being_id, tx_begin, coalesce(tx_end, 9223372036854775807) AS tx_end, created_at AS recorded_at, "
+        f"coalesce(lead(created_at) OVER (PARTITION BY {_id('being_id')}, tx_begin ORDER BY created_at, node_no), -1) AS superseded_at, node_no, "
+        "core.name AS name, coalesce(core.code, '') AS code, core.weight AS weight, coalesce(core.category, '') AS category FROM version_nodes WHERE coalesce(tx_end, 9223372036854775807) > tx_begin",
         "p5_found": ORPHANS + "SELECT ord, side, reason FROM o",
         "p5_report": ORPHANS + "SELECT side, reason, strftime(make_timestamp(created_at // 1000), '%Y-%m') AS month, count(*)::BIGINT AS n FROM o GROUP BY 1, 2, 3",
         "p3_beings": P3,
