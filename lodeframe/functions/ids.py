@@ -18,8 +18,7 @@ def norm_id(c: Column | str) -> Column:
 
 def ref_id(c: Column | str) -> Column:
     """norm_id, but null where the id refers to nothing (null, empty, blank or nil)."""
-    n = norm_id(c)
-    return F.when((n != "") & (n != NIL_ID), n)
+    return F.nullif(F.nullif(norm_id(c), F.lit("")), F.lit(NIL_ID))
 
 
 def month_of_ns(c: Column) -> Column:

@@ -17,15 +17,15 @@ SALTS = 16
 
 
 def heavy_candidates(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys that may hold at least ``share`` of the rows: a superset with at most 2 / share keys.
+    """Keys that may hold at least ``share`` of the rows: a superset with at most 2 / share keys, as a local table.
 
     One pass with the frequent-items sketch (partial sketches merge, nothing is sampled). Its error is below
     3.5 / SLOTS of the rows, so that every key of that share is among the first 2 / share of the sketch.
     Null keys are not keys. An empty table gives no row.
     """
     k = max(1, int(2 / share))
-    top = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k({key}, {k}, {max(SLOTS, k)})").alias("top"))
-    return top.select(F.inline("top")).select(F.col("item").alias(key))
+    top = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k({key}, {k}, {max(SLOTS, k)})").alias("top")).first()[0] or []
+    return df.sparkSession.createDataFrame([(r["item"],) for r in top], df.select(key).schema)
 
 
 def aggregate_skewed(df: DataFrame, key: str, partial: dict[str, Column], final: dict[str, Column], share: float = 0.005) -> DataFrame:
