@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the id that refers to nothing.
 NIL_ID = "0" * 36
-BLANKS = " \t\r\n\f\v "
+BLANKS = " \t\r\n\f\v\u00a0"
 
 
 def norm_id(c: Column | str) -> Column:
@@ -21,6 +21,17 @@ def ref_id(c: Column | str) -> Column:
     return F.nullif(F.nullif(norm_id(c), F.lit("")), F.lit(NIL_ID))
 
 
+def refers(c: Column | str) -> Column:
+    """Whether an id refers to something. Nearly every id shows that by its first digits, before its form is computed."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c.isNotNull() & (c.rlike(r"[^\s\u00a00-]") | ref_id(c).isNotNull())
+
+
+def referred_id(c: Column | str) -> Column:
+    """norm_id of an id that refers to something; never null, so that no join or grouping tests it for null again."""
+    return F.coalesce(norm_id(c), F.lit(""))
+
+
 def month_of_ns(c: Column) -> Column:
     """Months since year 0 of a time in nanoseconds since 1970 (UTC); null stays null."""
     day = F.lit(86_400_000_000_000)

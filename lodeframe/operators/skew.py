@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.functions.ids import ref_id
+from lodeframe.functions.ids import referred_id, refers
 
 #: A key of the sketch is tracked for each 1/SLOTS share of the rows; its error stays far below any share used here.
 SLOTS = 8192
@@ -51,7 +51,7 @@ def from_id_totals(df: DataFrame) -> DataFrame:
     (sum_weight is null where all are null); NaN weights are left out of the sum. Repeated rows count.
     """
     weight = F.when(~F.isnan("weight"), F.col("weight")).cast("decimal(28,6)")
-    rows = df.select(ref_id("from_id").alias("from_id"), weight.alias("_w"), F.col("created_at").alias("_t"))
+    rows = df.where(refers("from_id")).select(referred_id("from_id").alias("from_id"), weight.alias("_w"), F.col("created_at").alias("_t"))
     partial = {"n_rows": F.count(F.lit(1)), "sum_weight": F.sum("_w").cast("decimal(38,6)"), "last_created_at": F.max("_t")}
     final = {"n_rows": F.sum("n_rows"), "sum_weight": F.sum("sum_weight").cast("decimal(38,6)"), "last_created_at": F.max("last_created_at")}
     out = aggregate_skewed(rows, "from_id", partial, final)
@@ -64,7 +64,7 @@ def heavy_from_ids(df: DataFrame, table_name: str, share: float = 0.02) -> DataF
     The sketch names the candidates; one exact count of only these decides. Rows that refer to nothing count in the
     whole but are no key. An empty table has none.
     """
-    rows = df.select(ref_id("from_id").alias("from_id"))
+    rows = df.where(refers("from_id")).select(referred_id("from_id").alias("from_id"))
     candidates = heavy_candidates(rows, "from_id", share)
     counts = rows.join(F.broadcast(candidates), "from_id").groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
     total = df.count()  # of parquet files from their footers

@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe.functions.ids import NIL_ID, norm_id, ref_id
+from lodeframe.functions.ids import NIL_ID, norm_id, ref_id, refers
 from lodeframe.operators import changefeed, history, incremental, orphans, skew
 
 A, B, C = "a" * 36, "b" * 36, "c" * 36
@@ -26,6 +26,8 @@ def test_ids(spark):
     df = spark.createDataFrame([(" AB-c ",), ("",), (None,), (NIL_ID,), ("  ",), ("00000000-" + "0" * 28,)], "id string")
     assert [r[0] for r in df.select(norm_id("id")).collect()][:3] == ["abc", "", None]
     assert [r[0] for r in df.select(ref_id("id")).collect()] == ["abc", None, None, None, None, None]
+    odd = spark.createDataFrame([("000",), ("0-0",), ("\u00a0",), ("x",)], "id string").unionByName(df)
+    assert [r[0] for r in odd.select(refers("id")).collect()] == [r[0] is not None for r in odd.select(ref_id("id")).collect()]
 
 
 # 1
