@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.functions.ids import ref_id
+from lodeframe.functions.ids import referred_id, refers
 
 #: Size of a section; the error of a rank is about 1 / K of the number of values above it, or less.
 K = 128
@@ -120,10 +120,10 @@ def values_of(chunks: DataFrame, beings: DataFrame) -> DataFrame:
     """
     once = chunks.where("chunk_no is not null").dropDuplicates(["chunk_no"]).unionByName(chunks.where("chunk_no is null"))
     pairs = once.select("name", "day", F.inline(F.arrays_zip(F.col("being_ids").alias("being"), F.col("values").alias("value"))))
-    rows = pairs.toDF("name", "day", "being", "value").where("value is not null and not isnan(value)").select("name", "day", ref_id("being").alias("id"), "value")
+    rows = pairs.toDF("name", "day", "being", "value").where("value is not null and not isnan(value)").where(refers("being")).select("name", "day", referred_id("being").alias("id"), "value")
     last = F.max(F.struct(F.coalesce("updated_at", F.lit(-(2**63))).alias("u"), "def"))
-    defs = beings.where("def is not null").select(ref_id("id").alias("id"), "updated_at", "def").where("id is not null").groupBy("id").agg(last["def"].alias("def"))
-    return rows.where("id is not null").join(defs, "id").select("name", "def", "day", "value")
+    defs = beings.where("def is not null").where(refers("id")).select(referred_id("id").alias("id"), "updated_at", "def").groupBy("id").agg(last["def"].alias("def"))
+    return rows.join(defs, "id").select("name", "def", "day", "value")
 
 
 def day_sketches(values: DataFrame) -> DataFrame:
