@@ -60,6 +60,9 @@ _KEPT: dict[str, int] = {}
 
 
 def _hash(s: str) -> int:
+    """Of a token; all numbers are alike."""
+    if s[0].isdigit():
+        s = "#"
     h = _KEPT.get(s)
     if h is None:
         if len(_KEPT) > 200_000:
@@ -69,11 +72,12 @@ def _hash(s: str) -> int:
 
 
 def _tokens(text: str) -> tuple[list[str], list[int]]:
-    """Tokens and their kinds."""
+    """Tokens in lower case and their kinds."""
     toks, kinds = [NEWLINE], [PROSE]
     first = True
-    for raw in text.splitlines():
-        for line in APART.split(raw) if APART.search(raw) else (raw,):
+    for raw in text.lower().splitlines():
+        dashed = "— " in raw or "– " in raw or "- " in raw
+        for line in APART.split(raw) if dashed else (raw,):
             found = TOKEN.findall(line)
             if not found:
                 continue
@@ -82,7 +86,7 @@ def _tokens(text: str) -> tuple[list[str], list[int]]:
                 kind = TITLE
             kinds += [kind] * len(found)
             first = False
-            toks += ["#" if t[0].isdigit() else t.lower() for t in found]
+            toks += found
             toks.append(NEWLINE)
             kinds.append(PROSE)
     if toks[-1] == NEWLINE and len(toks) > 1:
@@ -92,7 +96,7 @@ def _tokens(text: str) -> tuple[list[str], list[int]]:
 
 def split_end(text: str) -> tuple[str, bool, bool]:
     """The text without blanks, invisible characters and marks of omission at its end; whether it had a mark; broken."""
-    s = INVISIBLE.sub("", text).rstrip()
+    s = text.rstrip() if text.isascii() else INVISIBLE.sub("", text).rstrip()
     broken = s.endswith("�")
     s = s.rstrip("�").rstrip()
     m = MARK.search(s)
@@ -151,7 +155,7 @@ def endings(docs: DataFrame) -> DataFrame:
                     bare = body.rstrip(CLOSERS)
                     if body.endswith("```") or last in ENDS or (bare and bare[-1] in ENDS):
                         continue
-                    if not (last[0].isalnum() or last == "#" or "_" in last or last in OPENERS or last in CLOSERS):
+                    if not (last[0].isalnum() or "_" in last or last in OPENERS or last in CLOSERS):
                         continue
                 if len(toks) < 2:
                     continue
