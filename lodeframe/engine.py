@@ -18,6 +18,7 @@ from lodeframe.operators.predicates import Compare
 from lodeframe.operators.temporal import History
 from lodeframe.plans import dsl
 from lodeframe.plans.logical import DEFAULT_FIELDS, Catalog, LogicalQuery, Similar, compile_query
+from lodeframe.sources.ship import ship
 from lodeframe.sources.store import Store
 
 DEFAULTS = {"spark": {}, "engine": {"truncate": False, "metric": "cosine"}}
@@ -138,6 +139,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str | None = None, catalog: Catalog | None = None, config: dict | None = None):
         self.spark, self.config = spark, config or DEFAULTS
+        ship(spark)
         for k, v in self.config.get("spark", {}).items():
             spark.conf.set(k, v)
         self.store = Store(spark, path) if path else None
