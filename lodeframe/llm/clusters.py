@@ -23,7 +23,7 @@ from lodeframe.sources.tables import materialise
 DIM = 64
 #: Least cosine similarity of two nodes of a cluster.
 LIMIT = 0.8
-#: A vector joins a leaf if its cosine to the leaf's mean is at least this; a leaf is finer than a cluster.
+#: A tree may ask more of a leaf: this cosine to the leaf's mean. The clusters' trees don't.
 LEAF = 0.9
 #: Leaves per inner node of the tree.
 BRANCH = 32
@@ -63,9 +63,10 @@ class FeatureTree:
     """A cluster-feature tree of two levels above its leaves' summaries.
 
     ``add`` inserts summaries (count, sum of unit vectors) as a block: each descends to the inner node with the nearest
-    mean, then to the nearest leaf there, which takes it if the leaf's mean is similar enough; what fits no leaf
-    makes new ones. An inner node with too many leaves splits. With more than MAX_LEAVES leaves the threshold falls and the
-    tree is built anew of its own leaves, so its size is bounded.
+    mean, then to the nearest leaf there, which takes it if the average cosine between the members of both (the product of
+    their means) reaches LIMIT and the cosine of the means reaches ``similar``; what fits no leaf makes new ones. As nodes of a
+    cluster have LIMIT with each other and with no other node, the average reaches it just when both are of one cluster. An inner node with too many leaves splits. With more than MAX_LEAVES leaves the threshold falls, to
+    LIMIT at most, and the tree is built anew of its own leaves.
     """
 
     def __init__(self, dim: int, similar: float = LEAF):
@@ -78,33 +79,34 @@ class FeatureTree:
     def add(self, n: np.ndarray, total: np.ndarray) -> None:
         for at in range(0, len(n), 512):
             self._add(n[at : at + 512], total[at : at + 512])
-        if len(self.n) > MAX_LEAVES:
+        if len(self.n) > MAX_LEAVES and self.similar > LIMIT:
             old_n, old_total = self.n, self.total
-            smaller = FeatureTree(self.dim, self.similar * 0.95)
+            smaller = FeatureTree(self.dim, max(LIMIT, self.similar * 0.95))
             smaller.add(old_n, old_total)
             self.__dict__.update(smaller.__dict__)
 
     def _add(self, n: np.ndarray, total: np.ndarray) -> None:
-        unit = _units(total)
+        unit, mean = _units(total), total / n[:, None]
         if len(self.n):
-            means = _units(self.total)
+            means, leaf_units = self.total / self.n[:, None], _units(self.total)
             home = (unit @ _units(self.inner).T).argmax(axis=1)
             leaf = np.full(len(n), -1)
             for h in np.unique(home):
                 rows, own = np.flatnonzero(home == h), np.flatnonzero(self.parent == h)
-                s = unit[rows] @ means[own].T
+                s = mean[rows] @ means[own].T
                 best = s.argmax(axis=1)
-                fits = s[np.arange(len(rows)), best] >= self.similar
+                fits = (s[np.arange(len(rows)), best] >= LIMIT) & ((unit[rows] * leaf_units[own[best]]).sum(axis=1) >= self.similar)
                 leaf[rows[fits]] = own[best[fits]]
             got = leaf >= 0
             np.add.at(self.n, leaf[got], n[got])
             np.add.at(self.total, leaf[got], total[got])
             np.add.at(self.inner, home[got], total[got])
-            n, total, unit = n[~got], total[~got], unit[~got]
+            n, total, unit, mean = n[~got], total[~got], unit[~got], mean[~got]
         if not len(n):
             return
         # the rest of the block: leaders among themselves, in the order of the rows
-        close = unit @ unit.T >= self.similar
+        close = (mean @ mean.T >= LIMIT) & (unit @ unit.T >= self.similar)
+        np.fill_diagonal(close, True)
         leader = np.full(len(n), -1)
         for i in range(len(n)):
             if leader[i] < 0:
@@ -152,7 +154,7 @@ def partition_summaries(nodes: DataFrame, dim: int = DIM) -> DataFrame:
     """n, total of the leaves with two or more members of each partition's tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = FeatureTree(dim)
+        tree = FeatureTree(dim, LIMIT)
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
@@ -164,7 +166,7 @@ def partition_summaries(nodes: DataFrame, dim: int = DIM) -> DataFrame:
 
 def _merged(keyed: DataFrame, key: Column, dim: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = FeatureTree(dim)
+        tree = FeatureTree(dim, LIMIT)
         pdf = pdf.sort_values("n", ascending=False, kind="stable")
         tree.add(pdf["n"].to_numpy(dtype=np.float64), np.stack(pdf["total"].to_numpy()))
         return tree.summaries()
@@ -245,7 +247,7 @@ def _centres(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = summaries.toPandas().sort_values("n", ascending=False, kind="stable")
     if not len(rows):
         return np.zeros(0), np.zeros((0, DIM))
-    tree = FeatureTree(len(rows["total"].iloc[0]))
+    tree = FeatureTree(len(rows["total"].iloc[0]), LIMIT)
     tree.add(rows["n"].to_numpy(dtype=np.float64), np.stack(rows["total"].to_numpy()))
     n, total = ward(tree.n, tree.total)
     return n, total / n[:, None]
@@ -300,14 +302,14 @@ def bucket_summaries(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
                 yield pd.DataFrame({"bucket": code.astype(np.int64) + (np.int64(r) << 40), "unit": pdf["unit"]})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, tree = None, FeatureTree(dim)
+        bucket, tree = None, FeatureTree(dim, LIMIT)
         for pdf in batches:
             ids = pdf["bucket"].to_numpy()
             at = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else []
             for a, b in zip(at, [*at[1:], len(ids)]):
                 if ids[a] != bucket:
                     yield tree.summaries()
-                    bucket, tree = ids[a], FeatureTree(dim)
+                    bucket, tree = ids[a], FeatureTree(dim, LIMIT)
                 x = np.stack(pdf["unit"].iloc[a:b].to_numpy()).astype(np.float64)
                 tree.add(np.ones(len(x)), x)
         yield tree.summaries()

@@ -59,6 +59,23 @@ def test_clusters(spark, parts):
     assert {r.cluster_id for r in described} == {c for _, c in got} and max(r["rank"] for r in described) == 5
 
 
+def at_cosine(rng, c, size, dim=64):
+    """``size`` vectors of which each two have cosine c."""
+    q = np.linalg.qr(rng.standard_normal((dim, size + 1)))[0].T
+    return [math.sqrt(c) * q[0] + math.sqrt(1 - c) * q[i] for i in range(1, size + 1)]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_loose_clusters(spark, parts):
+    rng = np.random.default_rng(12)
+    groups = [at_cosine(rng, c, size) for c in (0.81, 0.83, 0.85, 0.87, 0.89) for size in (2, 2, 2, 3, 5, 30)]
+    vs = [v for g in groups for v in g] + list(rng.standard_normal((300, 64)))
+    rows = {f"{i:036x}": v for i, v in zip(rng.permutation(len(vs)) + 1, vs)}
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in rows.items()], "id string, vector array<float>").repartition(parts)
+    got = sorted(map(tuple, clusters.found(df).collect()))
+    assert got == brute_clusters(rows) and len(got) == sum(map(len, groups))
+
+
 def test_no_clusters(spark):
     df = spark.createDataFrame([], "id string, vector array<float>")
     assert clusters.found(df).count() == 0
