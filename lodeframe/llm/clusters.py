@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions.ids import ref_id
@@ -27,7 +28,7 @@ LIMIT = 0.8
 LEAF = 0.9
 #: Leaves per inner node of the tree.
 BRANCH = 32
-#: Leaves at which a tree is rebuilt with a coarser threshold.
+#: Leaves at which a tree is full, and summaries that the driver takes at a time.
 MAX_LEAVES = 20_000
 FAN_IN = 8
 #: The pass over what is left: rounds of hyperplanes, and nodes per bucket aimed at.
@@ -150,38 +151,39 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def partition_summaries(nodes: DataFrame, dim: int = DIM) -> DataFrame:
-    """n, total of the leaves with two or more members of each partition's tree."""
+def _trees(vectors: DataFrame, dim: int) -> DataFrame:
+    """n, total of the leaves with two or more members of each partition's trees.
+
+    vectors: n, total. A tree that is full gives its leaves and another begins, so memory is bounded and no leaf is mixed. What
+    that leaves apart meets when the summaries are merged, or in the pass over what is left.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = FeatureTree(dim, LIMIT)
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
-                tree.add(np.ones(len(x)), x)
+                tree.add(pdf["n"].to_numpy(dtype=np.float64), np.stack(pdf["total"].to_numpy()).astype(np.float64))
+            if len(tree.n) > MAX_LEAVES:
+                yield tree.summaries()
+                tree = FeatureTree(dim, LIMIT)
         yield tree.summaries()
 
-    return nodes.select("unit").mapInPandas(run, SUMMARY)
+    return vectors.mapInPandas(run, SUMMARY)
 
 
-def _merged(keyed: DataFrame, key: Column, dim: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = FeatureTree(dim, LIMIT)
-        pdf = pdf.sort_values("n", ascending=False, kind="stable")
-        tree.add(pdf["n"].to_numpy(dtype=np.float64), np.stack(pdf["total"].to_numpy()))
-        return tree.summaries()
-
-    return keyed.groupBy(key.alias("_k")).applyInPandas(run, SUMMARY)
+def partition_summaries(nodes: DataFrame, dim: int = DIM) -> DataFrame:
+    """n, total of the leaves with two or more members of each partition's trees."""
+    return _trees(nodes.select(F.lit(1).cast("long").alias("n"), F.col("unit").alias("total")), dim)
 
 
 def reduce_summaries(summaries: DataFrame, sources: int, dim: int = DIM) -> DataFrame:
-    """The leaves of ``sources`` trees merged FAN_IN trees at a time."""
+    """The leaves of ``sources`` partitions' trees merged FAN_IN partitions at a time."""
     left = max(1, sources)
-    out = summaries.withColumn("_p", F.spark_partition_id())
+    out = summaries
     while left > FAN_IN:
         left = math.ceil(left / FAN_IN)
-        out = _merged(out, F.pmod(F.col("_p"), F.lit(left)), dim).withColumn("_p", F.pmod(F.xxhash64("total"), F.lit(left)).cast("int"))
-    return out.select("n", "total")
+        out = _trees(out.repartition(left, F.xxhash64("total", F.lit(left))), dim)
+    return out
 
 
 def ward(n: np.ndarray, total: np.ndarray, limit: float = LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,11 @@ def ward(n: np.ndarray, total: np.ndarray, limit: float = LIMIT) -> tuple[np.nda
         return n, total
     mean = total / n[:, None]
     left = np.ones(len(n), dtype=bool)
-    out_n, out_total = [], []
+    for at in range(0, len(n), 512):  # those that nothing is near, at once
+        near = mean[at : at + 512] @ mean.T >= limit
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+        left[at : at + 512] = near.any(axis=1)
+    out_n, out_total = [n[~left].astype(np.float64)], [total[~left].astype(np.float64)]
     for i in range(len(n)):
         if not left[i]:
             continue
@@ -238,19 +244,49 @@ def _ward(n: np.ndarray, total: np.ndarray, limit: float) -> tuple[np.ndarray, n
         cost[i, :] = cost[:, i] = costs(i)
 
 
-def _centres(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(n, mean) of the clusters.
+def _centres(summaries: DataFrame, dim: int = DIM) -> Iterator[np.ndarray]:
+    """Means of the clusters, at most MAX_LEAVES at a time.
 
-    There is a row per leaf with two or more members of the last trees, so the driver gets some rows per cluster,
-    whatever the number of nodes, and at most FAN_IN * MAX_LEAVES.
+    So many summaries come to the driver, those that belong to their clusters are left out, and the next are taken.
     """
-    rows = summaries.toPandas().sort_values("n", ascending=False, kind="stable")
-    if not len(rows):
-        return np.zeros(0), np.zeros((0, DIM))
-    tree = FeatureTree(len(rows["total"].iloc[0]), LIMIT)
-    tree.add(rows["n"].to_numpy(dtype=np.float64), np.stack(rows["total"].to_numpy()))
-    n, total = ward(tree.n, tree.total)
-    return n, total / n[:, None]
+    left = materialise(summaries.withColumn("no", F.monotonically_increasing_id()), "summaries")
+    while True:
+        rows = left.orderBy("no").limit(MAX_LEAVES).toPandas()
+        if not len(rows):
+            return
+        last, full = int(rows["no"].max()), len(rows) == MAX_LEAVES
+        rows = rows.sort_values("n", ascending=False, kind="stable")
+        tree = FeatureTree(dim, LIMIT)
+        tree.add(rows["n"].to_numpy(dtype=np.float64), np.stack(rows["total"].to_numpy()))
+        n, total = ward(tree.n, tree.total)
+        means = total / n[:, None]
+        yield means
+        if not full:
+            return
+        left = materialise(_apart(left.where(F.col("no") > last), means), "summaries")
+
+
+def _nearest(x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position and product of the row of m with the largest product, for each row of x."""
+    best, top = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    for at in range(0, len(x), 1024):
+        s = x[at : at + 1024] @ m.T
+        best[at : at + 1024] = b = s.argmax(axis=1)
+        top[at : at + 1024] = s[np.arange(len(s)), b]
+    return best, top
+
+
+def _apart(summaries: DataFrame, means: np.ndarray) -> DataFrame:
+    """The summaries that belong to none of the clusters."""
+    shared = summaries.sparkSession.sparkContext.broadcast(means.astype(np.float32))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["total"].to_numpy()) / pdf["n"].to_numpy()[:, None]
+                yield pdf[_nearest(x.astype(np.float32), shared.value)[1] < LIMIT - 1e-6]
+
+    return summaries.mapInPandas(run, summaries.schema)
 
 
 def assign(nodes: DataFrame, means: np.ndarray, first: int = 0) -> DataFrame:
@@ -259,22 +295,17 @@ def assign(nodes: DataFrame, means: np.ndarray, first: int = 0) -> DataFrame:
     A node of a cluster has at least LIMIT on average; a node that has it is similar enough to some member.
     """
     shared = nodes.sparkSession.sparkContext.broadcast(means.astype(np.float32))
-    unit_means = _units(means).astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        unit_means = _units(m)
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["unit"].to_numpy())
-            if len(m):
-                s = x @ m.T
-                best = s.argmax(axis=1)
-                top = s[np.arange(len(x)), best]
-                ok = top >= LIMIT - 1e-6
-                close = (x * unit_means[best]).sum(axis=1)
-            else:
-                best, ok, close = np.zeros(len(x), dtype=int), np.zeros(len(x), dtype=bool), np.zeros(len(x))
+            best, top = _nearest(x, m)
+            ok = top >= LIMIT - 1e-6
+            close = (x * unit_means[best]).sum(axis=1)
             cluster = pd.array(np.where(ok, best + first, 0), dtype="Int64")
             cluster[~ok] = pd.NA
             yield pd.DataFrame({"id": pdf["id"], "unit": pdf["unit"], "cluster": cluster, "closeness": close.astype(np.float64)})
@@ -282,6 +313,19 @@ def assign(nodes: DataFrame, means: np.ndarray, first: int = 0) -> DataFrame:
     return nodes.select("id", "unit").mapInPandas(run, "id string, unit array<float>, cluster bigint, closeness double")
 
 
+def _assigned(nodes: DataFrame, summaries: DataFrame, first: int = 0, dim: int = DIM) -> tuple[list[DataFrame], DataFrame, int]:
+    """(nodes with their cluster, in parts; id and unit of the others; the next number of a cluster).
+
+    As no node belongs to two clusters, one that a cluster took needn't be compared with later ones.
+    """
+    parts, rest = [], nodes.select("id", "unit")
+    for means in _centres(summaries, dim):
+        once = materialise(assign(rest, means, first), "assigned")
+        parts.append(once.where("cluster is not null"))
+        rest, first = once.where("cluster is null").select("id", "unit"), first + len(means)
+    return parts, rest, first
+
+
 def bucket_summaries(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
     """Summaries of the small clusters among ``size`` nodes that no summary took.
 
@@ -312,6 +356,9 @@ def bucket_summaries(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
                     bucket, tree = ids[a], FeatureTree(dim, LIMIT)
                 x = np.stack(pdf["unit"].iloc[a:b].to_numpy()).astype(np.float64)
                 tree.add(np.ones(len(x)), x)
+                if len(tree.n) > MAX_LEAVES:
+                    yield tree.summaries()
+                    tree = FeatureTree(dim, LIMIT)
         yield tree.summaries()
 
     # one bucket after the other streams through a tree of bounded size, however large a bucket may be
@@ -326,17 +373,13 @@ def clusters(nodes: DataFrame, dim: int = DIM) -> DataFrame:
     """
     units = materialise(usable_nodes(nodes, dim), "units")
     first = partition_summaries(units, dim)
-    n, means = _centres(reduce_summaries(first, units.rdd.getNumPartitions(), dim))
-    once = materialise(assign(units, means), "assigned")
-    rest = once.where("cluster is null").select("id", "unit")
+    parts, rest, known = _assigned(units, reduce_summaries(first, units.rdd.getNumPartitions(), dim), 0, dim)
     size = rest.count()
-    more = materialise(bucket_summaries(rest, size, dim), "buckets") if size else None
-    out = once
-    if more is not None:
-        _, extra = _centres(more)
-        again = assign(rest, extra, len(means))
-        out = once.where("cluster is not null").unionByName(again)
-    out = materialise(out, "clusters")
+    if size:
+        more, rest, _ = _assigned(rest, bucket_summaries(rest, size, dim), known, dim)
+        parts += more
+    alone = rest.select("id", "unit", F.lit(None).cast("long").alias("cluster"), F.lit(1.0).alias("closeness"))
+    out = materialise(reduce(DataFrame.unionByName, parts, alone), "clusters")
     groups = out.where("cluster is not null").groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
     named = out.join(groups, "cluster", "left")
     return named.select("id", "unit", F.coalesce("cluster_id", "id").alias("cluster_id"), F.coalesce("size", F.lit(1).cast("long")).alias("size"), "closeness")

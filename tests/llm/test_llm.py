@@ -76,6 +76,21 @@ def test_loose_clusters(spark, parts):
     assert got == brute_clusters(rows) and len(got) == sum(map(len, groups))
 
 
+def test_more_clusters_than_a_tree_has_leaves(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MAX_LEAVES", 60)
+    rng = np.random.default_rng(13)
+    vs = [v for _ in range(400) for v in at_cosine(rng, 0.85, 3)] + list(rng.standard_normal((200, 64)))
+    rows = {f"{i:036x}": v for i, v in zip(rng.permutation(len(vs)) + 1, vs)}
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in rows.items()], "id string, vector array<float>").repartition(10)
+    once = clusters.usable_nodes(df)
+    means = list(clusters._centres(clusters.partition_summaries(once.repartition(2))))
+    assert max(map(len, means)) <= 60 and sum(map(len, means)) > 300
+    own = np.concatenate(means)
+    assert (np.linalg.norm(own, axis=1) >= math.sqrt(0.8)).all()  # none is mixed
+    got = sorted(map(tuple, clusters.found(df).collect()))
+    assert got == brute_clusters(rows) and len(got) == 1200
+
+
 def test_no_clusters(spark):
     df = spark.createDataFrame([], "id string, vector array<float>")
     assert clusters.found(df).count() == 0
