@@ -4,7 +4,7 @@ Each partition builds a cluster-feature tree (entries: count, sum of unit vector
 leaf summaries with two or more members are merged in a tree of reductions, never all at once; Ward's criterion then
 agglomerates what is left, joining only summaries whose means are similar enough. A full pass gives every node its
 cluster. Nodes without one (about as many as there are nodes like no other, and the members of clusters so small that no
-partition saw two of them) go through the same steps again after being brought together by random hyperplanes.
+partition saw two of them) are compared with each other, block by block, so none of their pairs is missed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions.ids import ref_id
@@ -31,8 +31,8 @@ BRANCH = 32
 #: Leaves at which a tree is full, and summaries that the driver takes at a time.
 MAX_LEAVES = 20_000
 FAN_IN = 8
-#: The pass over what is left: rounds of hyperplanes, and nodes per bucket aimed at.
-ROUNDS, BUCKET = 12, 2048
+#: The pass over what is left: nodes that all others are compared with at a time, and nodes per task aimed at.
+COMPARED, PER_TASK = 131_072, 4096
 SUMMARY = "n bigint, total array<double>"
 
 
@@ -313,57 +313,74 @@ def assign(nodes: DataFrame, means: np.ndarray, first: int = 0) -> DataFrame:
     return nodes.select("id", "unit").mapInPandas(run, "id string, unit array<float>, cluster bigint, closeness double")
 
 
-def _assigned(nodes: DataFrame, summaries: DataFrame, first: int = 0, dim: int = DIM) -> tuple[list[DataFrame], DataFrame, int]:
-    """(nodes with their cluster, in parts; id and unit of the others; the next number of a cluster).
+def _assigned(nodes: DataFrame, summaries: DataFrame, dim: int = DIM) -> tuple[list[DataFrame], DataFrame]:
+    """(nodes with their cluster, in parts; id and unit of the others).
 
     As no node belongs to two clusters, one that a cluster took needn't be compared with later ones.
     """
-    parts, rest = [], nodes.select("id", "unit")
+    parts, rest, first = [], nodes.select("id", "unit"), 0
     for means in _centres(summaries, dim):
         once = materialise(assign(rest, means, first), "assigned")
         parts.append(once.where("cluster is not null"))
         rest, first = once.where("cluster is null").select("id", "unit"), first + len(means)
-    return parts, rest, first
+    return parts, rest
 
 
-def bucket_summaries(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
-    """Summaries of the small clusters among ``size`` nodes that no summary took.
+def least_similar(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
+    """id, cluster_id (the smallest id, its own included, at LIMIT) of each of ``size`` nodes that no summary took.
 
-    In each of ROUNDS rounds the signs of a few random projections make buckets of about BUCKET nodes, and each bucket
-    gets a tree. Two nodes at cosine 0.8 share a bucket of k signs with probability 0.795 ** k in each round.
+    All pairs are compared: COMPARED nodes at a time are sent to every task. Work grows with the square of
+    ``size``, memory doesn't grow.
     """
-    k = max(0, math.ceil(math.log2(max(1, size) / BUCKET)))
-    rng = np.random.default_rng(20)
-    planes = rng.standard_normal((ROUNDS, k, dim)).astype(np.float32)
+    rows = rest.select("id", "unit")
+    steps = math.ceil(size / COMPARED)
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["unit"].to_numpy())
-            for r in range(ROUNDS):
-                code = ((x @ planes[r].T > 0) @ (1 << np.arange(k))) if k else np.zeros(len(x), dtype=np.int64)
-                yield pd.DataFrame({"bucket": code.astype(np.int64) + (np.int64(r) << 40), "unit": pdf["unit"]})
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, tree = None, FeatureTree(dim, LIMIT)
-        for pdf in batches:
-            ids = pdf["bucket"].to_numpy()
-            at = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else []
-            for a, b in zip(at, [*at[1:], len(ids)]):
-                if ids[a] != bucket:
-                    yield tree.summaries()
-                    bucket, tree = ids[a], FeatureTree(dim, LIMIT)
-                x = np.stack(pdf["unit"].iloc[a:b].to_numpy()).astype(np.float64)
-                tree.add(np.ones(len(x)), x)
-                if len(tree.n) > MAX_LEAVES:
-                    yield tree.summaries()
-                    tree = FeatureTree(dim, LIMIT)
-        yield tree.summaries()
-
-    # one bucket after the other streams through a tree of bounded size, however large a bucket may be
-    keyed = rest.select("unit").mapInPandas(keys, "bucket bigint, unit array<float>")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(build, SUMMARY)
+            if len(pdf):
+                yield pd.DataFrame({"ids": [pdf["id"].tolist()], "units": [np.stack(pdf["unit"].to_numpy()).astype(np.float32).tobytes()]})
+
+    def step(k: int) -> DataFrame:
+        own = rows.where(F.pmod(F.xxhash64("id"), F.lit(steps)) == k)
+        packed = own.mapInPandas(pack, "ids array<string>, units binary").collect()
+        ids = np.array([i for p in packed for i in p.ids], dtype=object)
+        units = np.concatenate([np.zeros(0, dtype=np.float32), *(np.frombuffer(p.units, dtype=np.float32) for p in packed)]).reshape(-1, dim)
+        order = np.argsort(ids, kind="stable")
+        shared = rest.sparkSession.sparkContext.broadcast((ids[order], units[order]))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            theirs, y = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["unit"].to_numpy())
+                least = np.full(len(x), -1)
+                for i in range(0, len(x), 1024):
+                    mine = least[i : i + 1024]
+                    for j in range(0, len(y), 8192):  # ids ascend, so the first hit is the smallest
+                        hit = x[i : i + 1024] @ y[j : j + 8192].T >= LIMIT - 1e-6
+                        new = (mine < 0) & hit.any(axis=1)
+                        mine[new] = j + hit[new].argmax(axis=1)
+                got = least >= 0
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[got], "cluster_id": theirs[least[got]]})
+
+        out = materialise(rows.repartition(math.ceil(size / PER_TASK), "id").mapInPandas(run, "id string, cluster_id string"), "similar")
+        shared.unpersist()
+        return out
+
+    return reduce(DataFrame.union, map(step, range(steps))).groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
+
+
+def _compared(rest: DataFrame, size: int, dim: int) -> DataFrame:
+    """id, unit, cluster_id, size, closeness of the nodes that no summary took."""
+    kin = materialise(rest.join(least_similar(rest, size, dim), "id"), "kin")
+    total = F.array(*(F.sum(F.col("unit")[k].cast("double")) for k in range(dim)))
+    centres = kin.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), total.alias("total"))
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+
+    return kin.join(centres, "cluster_id").select("id", "unit", "cluster_id", "size", (dot("unit", "total") / F.sqrt(dot("total", "total"))).alias("closeness"))
 
 
 def clusters(nodes: DataFrame, dim: int = DIM) -> DataFrame:
@@ -373,16 +390,17 @@ def clusters(nodes: DataFrame, dim: int = DIM) -> DataFrame:
     """
     units = materialise(usable_nodes(nodes, dim), "units")
     first = partition_summaries(units, dim)
-    parts, rest, known = _assigned(units, reduce_summaries(first, units.rdd.getNumPartitions(), dim), 0, dim)
+    parts, rest = _assigned(units, reduce_summaries(first, units.rdd.getNumPartitions(), dim), dim)
+    took = ["id", "unit", "cluster_id", "size", "closeness"]
+    out = reduce(DataFrame.unionByName, parts) if parts else None
+    if out is not None:
+        groups = out.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
+        out = out.join(groups, "cluster").select(*took)
     size = rest.count()
-    if size:
-        more, rest, _ = _assigned(rest, bucket_summaries(rest, size, dim), known, dim)
-        parts += more
-    alone = rest.select("id", "unit", F.lit(None).cast("long").alias("cluster"), F.lit(1.0).alias("closeness"))
-    out = materialise(reduce(DataFrame.unionByName, parts, alone), "clusters")
-    groups = out.where("cluster is not null").groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
-    named = out.join(groups, "cluster", "left")
-    return named.select("id", "unit", F.coalesce("cluster_id", "id").alias("cluster_id"), F.coalesce("size", F.lit(1).cast("long")).alias("size"), "closeness")
+    if size or out is None:
+        single = _compared(rest, max(1, size), dim)
+        out = single if out is None else out.unionByName(single)
+    return out
 
 
 def found(nodes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodeframe.llm import clusters, cutoffs, leaks, percentiles, tokens
@@ -91,6 +92,22 @@ def test_more_clusters_than_a_tree_has_leaves(spark, monkeypatch):
     assert got == brute_clusters(rows) and len(got) == 1200
 
 
+def test_pairs_in_a_large_rest(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    vs = np.concatenate([np.stack(at_cosine(rng, 0.81, 2)) for _ in range(150)] + [rng.standard_normal((66_000, 64))]).astype(np.float32)
+    at = rng.permutation(len(vs)) + 1
+    pdf = pd.DataFrame({"id": [f"{i:036x}" for i in at], "vector": vs.tolist()})
+    df = spark.createDataFrame(pdf, "id string, vector array<float>").repartition(12)
+    got = {r.id: r.cluster_id for r in clusters.found(df).collect()}
+    want = {f"{i:036x}": f"{min(a, b):036x}" for a, b in at[:300].reshape(-1, 2) for i in (a, b)}
+    assert got == want
+    monkeypatch.setattr(clusters, "COMPARED", 100)  # in several steps
+    few = clusters.usable_nodes(df.where(df.id.isin(list(want))))
+    assert {r.id: r.cluster_id for r in clusters.least_similar(few, 300).collect()} == want
+    near = clusters._compared(few, 300, 64).collect()
+    assert {r.size for r in near} == {2} and all(abs(r.closeness - math.sqrt(0.905)) < 1e-5 for r in near)
+
+
 def test_no_clusters(spark):
     df = spark.createDataFrame([], "id string, vector array<float>")
     assert clusters.found(df).count() == 0
