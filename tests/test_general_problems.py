@@ -102,6 +102,27 @@ def test_a_failed_batch_is_replayed_and_adds_nothing_twice(spark, tmp_path):
     assert sorted(r.k for r in ledger.read(src, second, "part", "off").collect()) == ["k4", "k5", "z"]
 
 
+def test_a_replay_adds_no_null_key_and_partitions_stay_apart(spark):
+    rows_ = [("p", 1, None), ("p", 1, None), ("p", None, "k"), ("p", 2, "k"), ("q", 2, "k")]
+    src = spark.createDataFrame(rows_, "part string, off long, k string")
+    sink = incremental.BatchLedger.sink
+    first = sink(src, "k", "off", None, "part")
+    assert first.count() == 4
+    assert sink(src, "k", "off", first, "part").count() == 0 and sink(src, "k", "off", first).count() == 0
+    assert [tuple(r) for r in sink(src, ["k"], "off", first.where("part = 'p'"), "part").collect()] == [("q", 2, "k")]
+
+
+def test_the_ledger_takes_each_record_of_both_tables_once(spark, small):
+    from lodeframe.plans.core_queries import p3_found, p3_replayed
+
+    found = p3_found(spark, small).collect()
+    log = spark.read.parquet(f"{small}/run_log.parquet")
+    following = {t: incremental.run_windows(log, t)[1] for t in ("beings", "wal_records")}
+    want = sorted((r.source_table, int(r.run_no == following[r.source_table]), r.rec_id, str(r.rec_version)) for r in found)
+    got = sorted((r.source_table, r.batch, r.rec_id, str(r.rec_version)) for r in p3_replayed(spark, small).collect())
+    assert got == want and {b for _, b, *_ in got} == {0, 1}
+
+
 # 4
 
 CORE = "struct<def:string,status:int,name:string,code:string,weight:double,priority:int,category:string,created_at:long,updated_at:long>"
