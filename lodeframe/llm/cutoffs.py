@@ -29,7 +29,7 @@ from lodeframe.sources.tables import materialise
 #: Window lengths in tokens, and those at which the letters of a broken last word are compared.
 ORDERS = (1, 2, 3, 4, 5, 6, 8, 10, 12)
 PREFIX_ORDERS = (2, 4)
-#: A window decides from so many occurrences on.
+#: A window decides from so many occurrences on; the longest that a text has (a title apart) from one on, as a single longer copy is enough.
 ENOUGH = 2
 #: Bits of the Bloom filter: some eight for each key, but at most 32 MB; with more keys it lets more windows pass.
 BLOOM_PER_KEY, BLOOM_LEAST, BLOOM_MOST = 8, 1 << 16, 1 << 28
@@ -284,7 +284,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     asked = ends.where("rule = 0")
     numbers = F.array(*[F.lit(n) for n in (*ORDERS, *[100 + n for n in PREFIX_ORDERS], *[200 + n for n in ORDERS])])
     every = F.arrays_zip(numbers.alias("n"), F.concat("follow", "part", "prose").alias("key"))
-    tails = asked.select("doc_id", "kind", "twin", F.inline(every)).toDF("doc_id", "kind", "twin", "n", "key").where("key is not null and key <> 0")
+    longest = F.element_at(F.array(*[F.lit(n) for n in ORDERS]), F.size(F.filter("follow", lambda k: k != 0)))
+    tails = asked.select("doc_id", "kind", "twin", longest.alias("longest"), F.inline(every)).toDF("doc_id", "kind", "twin", "longest", "n", "key").where("key is not null and key <> 0")
     n = asked.agg(F.sum(F.size("follow") + F.size("part") + F.size("prose"))).first()[0] or 0
     counts = window_counts(docs, bloom(tails.select("key"), n))
     # how many other texts end in the same window; copies count once
@@ -294,7 +295,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     on, end, inside, others = zero("n_on"), zero("n_end"), zero("n_all"), zero("n_tails")
     fact = F.struct("n", on.alias("on"), (end + others).alias("end"))
-    told_by = lambda low, least: F.max(F.when((F.col("n") >= low + least) & (F.col("n") < low + 100) & (on + end + others >= F.when(F.col("n") == low + 1, 1).otherwise(ENOUGH)), fact))
+    told_by = lambda low, least: F.max(F.when((F.col("n") >= low + least) & (F.col("n") < low + 100) & (on + end + others >= F.when((F.col("n") == low + 1) | ((F.col("n") == low + F.col("longest")) & (F.col("kind") != TITLE)), 1).otherwise(ENOUGH)), fact))
     at = lambda n, c: F.sum(F.when(F.col("n") == n, c)).alias
     per = seen.groupBy("doc_id", "kind").agg(
         F.coalesce(told_by(0, F.when(F.col("kind") == TITLE, 2).otherwise(1)), told_by(200, 1)).alias("best"),

@@ -340,6 +340,13 @@ def test_cut_texts(spark):
     assert cutoffs.cut_texts(df.limit(0)).count() == 0
 
 
+def test_one_longer_copy_is_enough(spark):
+    item = "It took 3 ms.\n\n- inspect the copper valve beside the northern pump with our new lamp every night"
+    texts = {1: item + " before the watch changes", 2: item, 3: item} | {10 + i: f"It took {i} ms.\n\n- close gate {w} every night" for i, w in enumerate(["one", "two", "three", "four", "five", "six"])}
+    df = spark.createDataFrame([(i, t, "s", 0, 0) for i, t in texts.items()], DOC)
+    assert {r.doc_id for r in cutoffs.cut_texts(df).collect()} & {2, 3, *range(10, 16)} == {2, 3}
+
+
 def test_keys_of_tails_are_keys_of_windows():
     text = "One two three four five six seven eight nine ten eleven twelve"
     toks, kinds = cutoffs._tokens(text)
