@@ -6,15 +6,16 @@ import json
 import time
 import tomllib
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.model import BEINGS, CORE_DEFAULTS, RELATIONS, WIDTHS, Def, DefRegistry, DimensionMismatch, EngineError, Field, FieldType, NotFound, RelationTypes
+from lodeframe.model import BEINGS, CORE, CORE_DEFAULTS, RELATIONS, WIDTHS, Def, DefRegistry, DimensionMismatch, EngineError, Field, FieldType, NotFound, RelationTypes
 from lodeframe.functions.ids import cut_bytes
 from lodeframe.operators import graph
-from lodeframe.operators.predicates import Compare
+from lodeframe.operators.predicates import Condition, Where, condition_of
 from lodeframe.operators.temporal import History
 from lodeframe.plans import dsl
 from lodeframe.plans.logical import DEFAULT_FIELDS, Catalog, LogicalQuery, Similar, compile_query
@@ -23,6 +24,8 @@ from lodeframe.sources.store import Store
 
 DEFAULTS = {"spark": {}, "engine": {"truncate": False, "metric": "cosine"}}
 DAMPING = 0.85
+#: Core fields that an update may set (ids and the times of versions aren't the caller's); others are attributes of ext.
+UPDATABLE = frozenset(CORE) - {"id", "ext", "tx_begin", "tx_end"}
 
 
 def load_config(path: str) -> dict:
@@ -64,8 +67,14 @@ class QueryBuilder:
     def similar_to(self, vector: list[float], k: int, field: str = "embedding") -> QueryBuilder:
         return self._with(similar=Similar(field, tuple(vector), k), being_id=None)
 
-    def filter(self, name: str, op: str, value: object) -> QueryBuilder:
-        return self._with(where=(*self._q.where, Compare(name, op, value)))
+    def filter(self, name: str, op: str, value: object = None) -> QueryBuilder:
+        """op: a comparison, in, between, like (each after not as well), is null or is not null."""
+        return self._with(where=(*self._q.where, condition_of(name, op, value)))
+
+    def where(self, test: Condition | Column | Callable) -> QueryBuilder:
+        """A condition of one's own: a tree of conditions, a column, or a function that gets ``attribute`` and gives a column."""
+        cond = Where(test) if isinstance(test, Column) or not isinstance(test, Condition) else test
+        return self._with(where=(*self._q.where, cond))
 
     def limit(self, n: int) -> QueryBuilder:
         """After the filters."""
@@ -124,6 +133,7 @@ class Transaction:
         self._ops.append(("CreateRelation", {"from_id": from_id, "to_id": to_id, "relation_type": relation_type, "directed": directed, "created_at": now, "name": name, "weight": weight}))
 
     def update_being(self, being_id: str, **values) -> None:
+        """A new version with these values: core fields (def as well), others as attributes of ext."""
         self._ops.append(("UpdateBeing", {"id": being_id, "updates": values}))
 
     def delete_being(self, being_id: str) -> None:
@@ -230,8 +240,8 @@ class Engine:
         for kind, o in ops:
             if kind == "UpdateBeing":
                 base = versions.get(o["id"]) or {**current[o["id"]], "tx_begin": 0}
-                core = {k: v for k, v in o["updates"].items() if k in CORE_DEFAULTS and k not in ("ext", "tx_begin", "tx_end")}
-                more = {k: v for k, v in o["updates"].items() if k not in CORE_DEFAULTS}
+                core = {k: v for k, v in o["updates"].items() if k in UPDATABLE}
+                more = {k: v for k, v in o["updates"].items() if k not in CORE}
                 ext = json.dumps({**json.loads(base["ext"] or "{}"), **more}) if more else base["ext"]
                 versions[o["id"]] = {**base, **core, "ext": ext, "updated_at": now}
             elif kind == "DeleteBeing":

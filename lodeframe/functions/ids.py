@@ -39,6 +39,12 @@ def month_of_ns(c: Column) -> Column:
     return F.year(date) * 12 + F.month(date) - 1
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    seconds = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * F.lit(1_000_000).cast("long") + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
 def id_created_ms(c: Column | str) -> Column:
     """Milliseconds held in the first 48 bits of the uuid that follows the four digits of the shard."""
     c = F.col(c) if isinstance(c, str) else c

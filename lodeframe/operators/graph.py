@@ -10,17 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodeframe.model import InvalidState
-from lodeframe.sources.tables import bucketed, materialise
+from lodeframe.operators.skew import heavy_candidates
+from lodeframe.sources.tables import bucketed, discard, drop, materialise, scratch_path
 
 #: A depth-first order can't be computed in parallel; a subgraph with more edges than this is refused.
 DFS_EDGES = 5_000_000
+#: A walk spreads the edges of a source that has more than HOT_SHARE of all over SLICES slices.
+HOT_SHARE, SLICES = 0.005, 32
+#: Edges (to different nodes) of one source in a slice, in PageRank.
+SLICE_EDGES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -77,29 +81,63 @@ def degrees(relations: DataFrame) -> DataFrame:
     return ends.where("id is not null").groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def _rounds(relations: DataFrame, starts: DataFrame, depth: int, keep_path: bool = False, target: str | None = None) -> list[DataFrame]:
-    """The nodes of each depth: id, depth, way (discovery order) and, with keep_path, path."""
-    edges = symmetrised(relations).where("from_id is not null and to_id is not null").select("from_id", "to_id", F.coalesce("ord", F.lit(0)).alias("ord"))
-    first = starts.select("id").where("id is not null").distinct().select("id", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("way"))
-    if keep_path:
-        first = first.withColumn("path", F.array("id"))
-    seen = [materialise(first, "bfs")]
-    for d in range(1, depth + 1):
-        last = seen[-1]
-        way = F.concat("f.way", F.array(-F.col("e.ord"))).alias("way")
-        kept = [F.concat("f.path", F.array("e.to_id")).alias("path")] if keep_path else []
-        # a start list or frontier may be tiny or huge: Spark picks the join by its size
-        step = last.alias("f").join(edges.alias("e"), F.col("f.id") == F.col("e.from_id")).select(F.col("e.to_id").alias("id"), way, *kept)
+def _sliced(edges: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(the edges in buckets of their source and slice, the hot sources, the name of the table).
+
+    Edges of a source with more than HOT_SHARE of all are spread over SLICES slices by their target; of other sources
+    the slice is 0. Hot sources are at most 2 / HOT_SHARE, whatever the graph.
+    """
+    hot = heavy_candidates(edges, "from_id", HOT_SHARE).select("from_id", F.lit(True).alias("hot"))
+    rows = edges.join(F.broadcast(hot), "from_id", "left")
+    piece = F.when(F.col("hot"), F.pmod(F.xxhash64("to_id"), F.lit(SLICES)).cast("int")).otherwise(F.lit(0))
+    out, name = bucketed(rows.withColumn("piece", piece).drop("hot"), ["from_id", "piece"], "edges")
+    return out, hot, name
+
+
+def _in_slices(nodes: DataFrame, hot: DataFrame) -> DataFrame:
+    """nodes (id) with a row for each slice that their edges may be in."""
+    rows = nodes.join(F.broadcast(hot.withColumnRenamed("from_id", "id")), "id", "left")
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("piece", F.explode(every)).drop("hot")
+
+
+def _rounds(relations: DataFrame, starts: DataFrame, depth: int | None, keep_path: bool = False, target: str | None = None) -> tuple[DataFrame, int, bool | None]:
+    """All visited nodes (id, way in the order of discovery, with keep_path path, depth); the last depth that has any; and
+    whether ``target`` was reached (None: not yet when ``depth`` ended the walk).
+
+    Each round is a folder of one table, so what was visited is one scan of ids. With more than one round the edges are
+    put into buckets once, and a round moves its frontier only.
+    """
+    spark = relations.sparkSession
+    edges = symmetrised(relations).where("from_id is not null and to_id is not null").select("from_id", "to_id", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"))
+    base = scratch_path(spark, "walk")
+    schema = "id string, way array<bigint>" + (", path array<string>" if keep_path else "")
+
+    def save(nodes: DataFrame, d: int) -> tuple[int, bool]:
+        seen = Observation()
+        hit = F.max((F.col("id") == F.lit(target)).cast("int")) if target is not None else F.lit(0)
+        nodes.observe(seen, F.count(F.lit(1)).alias("n"), hit.alias("hit")).write.parquet(f"{base}/depth={d}")
+        return seen.get.get("n") or 0, bool(seen.get.get("hit"))
+
+    first = starts.select("id").where("id is not null").distinct().select("id", F.array().cast("array<bigint>").alias("way"))
+    n, hit = save(first.withColumn("path", F.array("id")) if keep_path else first, 0)
+    visited = lambda: spark.read.schema(f"{schema}, depth int").option("basePath", base).parquet(base)
+    hot = name = None
+    if depth is None or depth > 1:
+        edges, hot, name = _sliced(edges)
+    d = 0
+    while n and not hit and (depth is None or d < depth):
+        d += 1
+        last = spark.read.schema(schema).parquet(f"{base}/depth={d - 1}")
+        joined = last.join(edges.withColumnRenamed("from_id", "id"), "id") if hot is None else _in_slices(last, hot).join(edges.withColumnRenamed("from_id", "id"), ["id", "piece"])
+        kept = [F.concat("path", F.array("to_id")).alias("path")] if keep_path else []
+        step = joined.select(F.col("to_id").alias("id"), F.concat("way", F.array(-F.col("ord"))).alias("way"), *kept)
         best = step.groupBy("id").agg(F.min(F.struct("way", *["path"] * keep_path)).alias("b"))
-        visited = reduce(DataFrame.unionByName, [s.select("id") for s in seen])
-        new = best.join(visited, "id", "left_anti").select("id", F.lit(d).alias("depth"), "b.way", *["b.path"] * keep_path)
-        new = materialise(new, "bfs")
-        if new.isEmpty():
-            break
-        seen.append(new)
-        if target is not None and not new.where(F.col("id") == target).isEmpty():
-            break
-    return seen
+        new = best.join(visited().select("id"), "id", "left_anti").select("id", "b.way", *["b.path"] * keep_path)
+        n, hit = save(new, d)
+    if name:
+        drop(spark, name)
+    return visited(), d, True if hit else None if n and target is not None else False
 
 
 def bfs(relations: DataFrame, starts: DataFrame, depth: int, edge_filter: EdgeFilter | None = None) -> DataFrame:
@@ -108,18 +146,21 @@ def bfs(relations: DataFrame, starts: DataFrame, depth: int, edge_filter: EdgeFi
     (depth, way) is the order of discovery: parents in their order, edges newest first. Starts that no relation
     mentions are in the result; null ids aren't.
     """
-    rounds = _rounds((edge_filter or EdgeFilter()).apply(relations), starts, depth)
-    return reduce(DataFrame.unionByName, rounds)
+    seen, _, _ = _rounds((edge_filter or EdgeFilter()).apply(relations), starts, depth)
+    return seen.select("id", "depth", "way")
+
 
+def shortest_path(relations: DataFrame, start: str, goal: str, max_depth: int | None = None, edge_filter: EdgeFilter | None = None) -> DataFrame:
+    """step, id of a path with the fewest hops, of several the one discovered first.
 
-def shortest_path(relations: DataFrame, start: str, goal: str, max_depth: int = 64, edge_filter: EdgeFilter | None = None) -> DataFrame:
-    """step, id of a path with the fewest hops, of several the one discovered first. Raises InvalidState without a path."""
+    Goes on until nothing new is reached, unless the caller gives a ``max_depth``. Raises InvalidState without a path, and
+    with other words where max_depth ended the search.
+    """
     starts = relations.sparkSession.createDataFrame([(start,)], "id string")
-    rounds = _rounds((edge_filter or EdgeFilter()).apply(relations), starts, max_depth if start != goal else 0, True, goal)
-    end = rounds[-1].where(F.col("id") == goal).select(F.posexplode("path").alias("step", "id"))
-    if end.isEmpty():
-        raise InvalidState("path does not exist")
-    return end
+    seen, d, hit = _rounds((edge_filter or EdgeFilter()).apply(relations), starts, max_depth, True, goal)
+    if not hit:
+        raise InvalidState("path does not exist" if hit is False else f"no path of at most {max_depth} hops")
+    return seen.where((F.col("depth") == d) & (F.col("id") == goal)).select(F.posexplode("path").alias("step", "id"))
 
 
 def dfs(relations: DataFrame, start: str, depth: int, edge_filter: EdgeFilter | None = None) -> DataFrame:
@@ -162,29 +203,39 @@ def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int, damping: f
     Every node starts with 1/N. What nodes without out-edges hold is spread over all. Parallel edges count each; undirected ones
     both ways; edges from or to unknown nodes don't count.
     """
+    spark = relations.sparkSession
     ids = materialise(nodes.select("id").where("id is not null").distinct(), "nodes")
     n = ids.count()
     if n == 0:
         return ids.withColumn("rank", F.lit(0.0))
     known = ids.select(F.col("id").alias("from_id"))
     e = symmetrised(relations).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("k"))
-    e = e.join(known, "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    out = e.groupBy("from_id").agg(F.sum("k").alias("out"))
-    # the edges are shuffled once; each round moves only ranks and sums
-    share, t1 = bucketed(e.join(out, "from_id").select("from_id", "to_id", (F.col("k") / F.col("out")).alias("share")), "from_id", "shares")
-    sinks = ids.join(share.select(F.col("from_id").alias("id")), "id", "left_anti").withColumn("sink", F.lit(True))
-    base, t2 = bucketed(ids.join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink")), "id", "nodes")
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        lost = ranks.agg(F.sum(F.when(F.col("sink"), F.col("rank")))).first()[0] or 0.0
-        got = ranks.select(F.col("id").alias("from_id"), "rank").join(share, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = base.join(got, "id", "left")
-        ranks = ranks.select("id", "sink", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        ranks = materialise(ranks, "ranks")
-    if not iterations:
-        ranks = materialise(ranks, "ranks")
-    for t in (t1, t2):
-        relations.sparkSession.sql(f"DROP TABLE IF EXISTS {t}")
+    e = materialise(e.join(known, "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi"), "edges")
+    out = materialise(e.groupBy("from_id").agg(F.sum("k").alias("out"), F.ceil(F.count(F.lit(1)) / SLICE_EDGES).cast("int").alias("pieces")), "degrees")
+    # the edges are shuffled once, those of a source with very many in slices; each round moves only ranks and sums
+    piece = F.pmod(F.xxhash64("to_id"), F.col("pieces")).cast("int")
+    share, t1 = bucketed(e.join(out, "from_id").select("from_id", piece.alias("piece"), "to_id", (F.col("k") / F.col("out")).alias("share")), ["from_id", "piece"], "shares")
+    base, t2 = bucketed(ids.join(out.select(F.col("from_id").alias("id"), "pieces"), "id", "left").select("id", F.coalesce("pieces", F.lit(0)).alias("pieces")), ["id"], "nodes")
+    discard(e, out)
+    ranks, lost = None, base.where("pieces = 0").count() / n
+    for _ in range(max(iterations, 1)):
+        if not iterations:
+            ranks = materialise(base.select("id", F.lit(1.0 / n).alias("rank")), "ranks")
+            break
+        held = base.withColumn("rank", F.lit(1.0 / n)) if ranks is None else ranks
+        sent = held.where("pieces > 0").select(F.col("id").alias("from_id"), "rank", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        got = sent.join(share, ["from_id", "piece"]).groupBy(F.col("to_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))
+        new = base.join(got, "id", "left").select("id", "pieces", rank.alias("rank"))
+        # what nodes without out-edges hold is summed while the ranks are written
+        sinks = Observation()
+        written = materialise(new.observe(sinks, F.sum(F.when(F.col("pieces") == 0, F.col("rank"))).alias("lost")), "ranks")
+        lost = sinks.get.get("lost") or 0.0
+        if ranks is not None:
+            discard(ranks)
+        ranks = written
+    drop(spark, t1, t2)
+    discard(ids)
     return ranks.select("id", "rank")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.operators import changefeed, history, incremental, orphans, skew
-from lodeframe.sources.tables import table
+from lodeframe.sources.tables import scratch_path, table
 
 EDGES = ("relations", "edge_records")
 
@@ -26,22 +25,24 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _sources(spark: SparkSession, d: str, *names: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    of = {"beings": incremental.records_of_beings, "wal_records": incremental.records_of_wal}
+    return {n: (table(spark, d, n), of[n](table(spark, d, n))) for n in names}
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Which run has to process which record, for beings and wal_records."""
-    sources = {"beings": incremental.records_of_beings(table(spark, d, "beings")), "wal_records": incremental.records_of_wal(table(spark, d, "wal_records"))}
-    return incremental.runs_of_records(table(spark, d, "run_log"), sources)
+    """Which run has to process which record, for beings and wal_records, by way of a ledger."""
+    return incremental.runs_of_records(table(spark, d, "run_log"), _sources(spark, d, "beings", "wal_records"), scratch_path(spark, "ledger"))
 
 
 def p3_beings(spark: SparkSession, d: str) -> DataFrame:
-    """The same for beings alone (the checksums of wal_records can't be tested in SQL)."""
-    return incremental.runs_of_records(table(spark, d, "run_log"), {"beings": incremental.records_of_beings(table(spark, d, "beings"))})
+    """The same for beings alone."""
+    return incremental.runs_of_records(table(spark, d, "run_log"), _sources(spark, d, "beings"), scratch_path(spark, "ledger"))
 
 
 def p3_replayed(spark: SparkSession, d: str) -> DataFrame:
     """The batch of a ledger that took each record of both tables; the first batch fails halfway and is replayed."""
-    sources = {"beings": incremental.records_of_beings(table(spark, d, "beings")), "wal_records": incremental.records_of_wal(table(spark, d, "wal_records"))}
-    with tempfile.TemporaryDirectory() as path:
-        return incremental.replayed(table(spark, d, "run_log"), sources, path)
+    return incremental.replayed(table(spark, d, "run_log"), _sources(spark, d, "beings", "wal_records"), scratch_path(spark, "ledger"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

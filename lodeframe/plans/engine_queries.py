@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 from collections.abc import Callable
+from contextlib import suppress
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.engine import Engine
+from lodeframe.engine import DEFAULTS, Engine, load_config, save_config
 from lodeframe.functions.ids import norm_id, time_bucket_ms
-from lodeframe.model import Def, Field, FieldType
+from lodeframe.model import Def, Field, FieldType, NotFound
 from lodeframe.operators import aggregates, graph, predicates, temporal, validate, vectors
-from lodeframe.operators.predicates import All, Any, Compare
+from lodeframe.operators.changefeed import intact
+from lodeframe.operators.predicates import All, Any, Compare, condition_of
 from lodeframe.operators.temporal import History
 from lodeframe.plans import fixtures
 from lodeframe.plans.core_sql import ID
 from lodeframe.plans.fixtures import KIND, B, R, ns
 from lodeframe.plans.logical import PlanStep, run_plan
-from lodeframe.sources.store import Store, replayable
-from lodeframe.sources.tables import shared_dir, table
+from lodeframe.plans.wal_sql import INTACT
+from lodeframe.sources.store import DocumentLog, Store, replay, replayable
+from lodeframe.sources.tables import scratch_path, table
 from lodeframe.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,10 +76,11 @@ _T0, _T1 = 1704672000000000000, 1705276800000000000
 
 @query(f"SELECT DISTINCT 'e:' || event_id AS id FROM events WHERE epoch_us(ts) // 1000000 * 1000 >= {_T0 // 10**6} AND epoch_us(ts) // 1000000 * 1000 < {_T1 // 10**6}")
 def time_range_bucket(spark, d):
-    """Ids whose one-second bucket lies in a half-open range of buckets."""
-    b = _engine(spark, d).catalog.beings.where("def = 'Event'")
+    """Ids whose one-second bucket lies in a half-open range of buckets: whole seconds, so bounds that reach the scan."""
+    second = 10**9
+    q = _engine(spark, d).query().scan("Event").filter("created_at", ">=", _T0 // second * second).filter("created_at", "<", _T1 // second * second)
     bucket = time_bucket_ms(F.col("created_at"))
-    return b.where((bucket >= time_bucket_ms(F.lit(_T0))) & (bucket < time_bucket_ms(F.lit(_T1)))).select("id").distinct()
+    return q.where((bucket >= time_bucket_ms(F.lit(_T0))) & (bucket < time_bucket_ms(F.lit(_T1)))).select("id").execute().distinct()
 
 
 @query(f"SELECT 'e:' || event_id AS id FROM events WHERE epoch_us(ts) * 1000 >= {_T0} AND epoch_us(ts) * 1000 < {_T1}")
@@ -83,9 +88,30 @@ def time_range_exact(spark, d):
     return _engine(spark, d).query().scan("Event").filter("created_at", ">=", _T0).filter("created_at", "<", _T1).select("id").execute()
 
 
-@query("SELECT 'd:' || doc_id AS id, text AS description FROM documents WHERE doc_id = 17")
+def _document_log(spark: SparkSession, d: str) -> DocumentLog:
+    """All documents in two appends, a copy of the store of raw documents."""
+    rows = table(spark, d, "documents").select(
+        F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("being_id"), F.lit("Document").alias("def"), "doc_id", F.lit(0).alias("stamp"), F.to_json(F.struct("lang", "source")).alias("core"), F.col("text").alias("ext")
+    )
+    log = DocumentLog(spark, _scratch(spark))
+    log.append(rows.where("doc_id % 2 = 0"))
+    log.append(rows.where("doc_id % 2 = 1"))
+    return log
+
+
+@query("SELECT 'd:' || doc_id AS being_id, text AS ext FROM documents WHERE doc_id = 17")
 def raw_doc_find(spark, d):
-    return _engine(spark, d).query().being("d:17").select("description").execute()
+    return _document_log(spark, d).find("d:17").select("being_id", "ext")
+
+
+@query("SELECT 'd:' || doc_id AS being_id, 'Document' AS \"def\", md5(text) AS ext, lang FROM documents")
+def raw_doc_scan(spark, d):
+    return _document_log(spark, d).scan().select("being_id", "def", F.md5("ext").alias("ext"), F.get_json_object("core", "$.lang").alias("lang"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM documents")
+def raw_doc_count(spark, d):
+    return spark.createDataFrame([(_document_log(spark, d).count(),)], "n long")
 
 
 @query(_b("""SELECT id, weight FROM B WHERE "def" = 'Part'"""))
@@ -99,6 +125,18 @@ def ext_attr_projection(spark, d):
     return b.select("id", predicates.attribute("k", 0.0).alias("k"))
 
 
+@query(
+    "WITH c AS (SELECT DISTINCT ON (chunk_no) * FROM projected_columns), v AS (SELECT chunk_no, name, unnest(being_ids) AS id, unnest(\"values\") AS value, unnest(range(len(being_ids))) AS pos FROM c) "
+    f"SELECT name, {ID.format(c='id')} AS id, arg_min(value, (chunk_no, pos)) AS value FROM v WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2"
+)
+def first_value_by_id(spark, d):
+    """The first number written for each id in each projected column."""
+    chunks = table(spark, d, "projected_columns").dropDuplicates(["chunk_no"])
+    rows = chunks.select("chunk_no", "name", F.posexplode(F.arrays_zip("being_ids", "values")).alias("pos", "e"))
+    rows = rows.select("chunk_no", "name", "pos", norm_id("e.being_ids").alias("id"), F.col("e.values").alias("value")).where("value is not null and not isnan(value)")
+    return aggregates.first_written(rows, ["name", "id"], "value", ["chunk_no", "pos"])
+
+
 @query(f"SELECT {ID.format(c='id')} AS id, (('0x' || substr({ID.format(c='id')}, 5, 12))::BIGINT) AS created_ms FROM beings")
 def id_times(spark, d):
     """The time held in each id."""
@@ -151,6 +189,38 @@ def filter_ext_attr(spark, d):
     return _engine(spark, d).query().scan("Event").filter("k", ">", 50).select("id").execute()
 
 
+def _filter_dsl(name: str, target: str, cond: str, sql: str) -> None:
+    def run(spark, d):
+        return _engine(spark, d).execute_dsl(f"query {{ {target}(filter: {cond}) {{ id }} }}")
+
+    QUERIES[name] = run
+    SQL[name] = _b(f"SELECT id FROM B WHERE \"def\" = '{target}' AND {sql}")
+
+
+_filter_dsl("filter_not", "Order", "not {priority: 3} and not ({status: 1} or {weight > 100000})", "NOT priority = 3 AND NOT (status = 1 OR weight > 100000)")
+_filter_dsl("filter_in", "Customer", '{category in ["BUILDING", "MACHINERY"]} and {priority not in [1, 2, 3]}', "category IN ('BUILDING', 'MACHINERY') AND priority NOT IN (1, 2, 3)")
+_filter_dsl("filter_between", "Order", "{weight between [1000, 50000.5]} or {priority not between [2, 5]}", "(weight BETWEEN 1000 AND 50000.5 OR priority NOT BETWEEN 2 AND 5)")
+_filter_dsl("filter_like", "Part", '{name like "red%"} or {code like "Brand#_"}', "(name LIKE 'red%' OR code LIKE 'Brand#_')")
+_filter_dsl("filter_is_null", "Document", "{category is null}", "category IS NULL")
+_filter_dsl("filter_is_not_null", "Document", "{category is not null} and {weight is null}", "category IS NOT NULL AND weight IS NULL")
+_filter_dsl("filter_fields", "Order", "{priority > status}", "priority > status")
+_filter_dsl("filter_type_mismatch", "Order", "{name > 3} or {priority: 5}", "priority = 5")
+
+
+@query(_b("""SELECT id FROM B WHERE "def" = 'Part' AND (name LIKE '%bolt' AND category NOT IN ('SMALL') OR weight BETWEEN 900 AND 950) AND NOT priority = 7 AND category IS NOT NULL"""))
+def filter_builder(spark, d):
+    """The same conditions from the builder."""
+    named = All((condition_of("name", "like", "%bolt"), condition_of("category", "not in", ["SMALL"])))
+    q = _engine(spark, d).query().scan("Part").where(Any((named, condition_of("weight", "between", (900, 950)))))
+    return q.filter("priority", "not ==", 7).filter("category", "is not null").select("id").execute()
+
+
+@query(_b("""SELECT id FROM B WHERE "def" = 'Order' AND weight > priority * 50000"""))
+def filter_closure(spark, d):
+    """A condition of one's own, as a function of the attributes."""
+    return _engine(spark, d).query().scan("Order").where(lambda attribute: attribute("weight") > attribute("priority") * 50000).select("id").execute()
+
+
 @query(f"SELECT ({6 * KIND} + o_orderkey) // 1024 AS granule, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders GROUP BY 1 HAVING max(o_totalprice) >= 400000 AND min(o_totalprice) <= 500000")
 def granule_prune(spark, d):
     b = _engine(spark, d).catalog.beings.where("def = 'Order'")
@@ -177,7 +247,14 @@ def scan_limit_before_filter(spark, d):
 
 @query(_b("""SELECT id, name FROM B WHERE "def" = 'Customer' AND category = 'BUILDING' ORDER BY ord LIMIT 1"""))
 def fetch_one(spark, d):
-    return _engine(spark, d).query().scan("Customer").filter("category", "==", "BUILDING").limit(1).select("name").execute()
+    row = _engine(spark, d).query().scan("Customer").filter("category", "==", "BUILDING").order_by("ord").select("name").fetch_one()
+    return spark.createDataFrame([row] if row else [], "id string, name string")
+
+
+@query(_b("""SELECT count(*)::BIGINT AS n FROM B WHERE FALSE"""))
+def limit_zero(spark, d):
+    q = _engine(spark, d).query().scan("Order")
+    return q.limit(0).select("name").execute().union(q.scan_limit(0).select("name").execute()).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_b("""SELECT id, weight FROM B WHERE "def" = 'Order' ORDER BY weight DESC, ord LIMIT 20"""))
@@ -185,12 +262,17 @@ def order_by_topk(spark, d):
     return _engine(spark, d).execute_dsl("query { Order(orderBy: weight desc, limit: 20) { id, weight } }")
 
 
-@query(_b("""SELECT category, round(avg(weight), 4) AS aggregate FROM B WHERE "def" = 'Order' AND weight > 1000 GROUP BY 1 ORDER BY 1 LIMIT 3"""))
+@query(_b("""SELECT category, round(avg(weight), 4) AS aggregate, count(weight)::BIGINT AS count FROM B WHERE "def" = 'Order' AND weight > 1000 GROUP BY 1 ORDER BY 1 LIMIT 3"""))
 def plan_steps(spark, d):
     """A plan of steps instead of a query."""
-    steps = [PlanStep("Scan", ("Order",)), PlanStep("Filter", (Compare("weight", ">", 1000),)), PlanStep("Project", ("category", "weight"))]
-    rows = run_plan(steps, _engine(spark, d).catalog)
-    return aggregates.grouped_aggregate(rows, ["category"], F.col("weight"), "avg").select("category", F.round("aggregate", 4).alias("aggregate")).orderBy("category").limit(3)
+    steps = [PlanStep("Scan", ("Order",)), PlanStep("Filter", (Compare("weight", ">", 1000),)), PlanStep("Aggregate", ("weight", "avg", "category")), PlanStep("Sort", ("category",)), PlanStep("Limit", (3,))]
+    return run_plan(steps, _engine(spark, d).catalog).withColumn("aggregate", F.round("aggregate", 4))
+
+
+@query(_b("""SELECT id, name, weight FROM B WHERE "def" = 'Part' AND weight > 950 ORDER BY weight DESC, ord LIMIT 7"""))
+def plan_limit(spark, d):
+    steps = [PlanStep("Scan", ("Part",)), PlanStep("Filter", (Compare("weight", ">", 950),)), PlanStep("Sort", ("weight", True)), PlanStep("Project", ("name", "weight")), PlanStep("Limit", (7,))]
+    return run_plan(steps, _engine(spark, d).catalog)
 
 
 # aggregates
@@ -251,12 +333,36 @@ def group_by_ext(spark, d):
     return aggregates.grouped_aggregate(b, ["category", "k"], F.col("weight"), "count").select("category", "k", F.col("count").alias("n"))
 
 
-@query("SELECT coalesce(event_type, 'all') AS category, coalesce(user_id % 10, -1) AS g, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 10)")
-def group_by_rollup(spark, d):
-    """Grouping sets come with the DataFrame."""
-    e = table(spark, d, "events").select(F.col("event_type").alias("category"), (F.col("user_id") % 10).alias("g"), "value")
-    out = e.rollup("category", "g").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return out.select(F.coalesce("category", F.lit("all")).alias("category"), F.coalesce("g", F.lit(-1)).alias("g"), "n", "total")
+def _sets(kind: str) -> None:
+    def run(spark, d):
+        e = table(spark, d, "events").select(F.col("event_type").alias("category"), (F.col("user_id") % 10).alias("g"), "value")
+        return aggregates.grouping_sets(e, ["category", "g"], F.col("value"), "sum", kind).withColumn("aggregate", F.round("aggregate", 2))
+
+    QUERIES[f"group_by_{kind}"] = run
+    SQL[f"group_by_{kind}"] = f"SELECT category, g, grouping(category, g)::BIGINT AS level, round(sum(value), 2) AS aggregate, count(value)::BIGINT AS count FROM (SELECT event_type AS category, user_id % 10 AS g, value FROM events) GROUP BY {kind} (category, g)"
+
+
+_sets("rollup")
+_sets("cube")
+
+
+@query("SELECT event_type AS category, count(DISTINCT user_id % 10)::DOUBLE AS aggregate FROM events GROUP BY 1")
+def agg_approx_count_distinct(spark, d):
+    """Few values, of which the sketch gives the exact number."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("category"), (F.col("user_id") % 10).alias("g"))
+    return aggregates.grouped_aggregate(e, ["category"], F.col("g"), "approx_count_distinct").select("category", "aggregate")
+
+
+@query("SELECT * FROM (VALUES ('approx_median', TRUE), ('approx_percentile:99', TRUE)) t(op, within)")
+def agg_approx_percentiles(spark, d):
+    """Whether the share of orders up to an approximate percentile is the one asked for, but for the stated error."""
+    out = []
+    orders = _engine(spark, d).catalog.beings.where("def = 'Order'")
+    for op, share in (("approx_median", 0.5), ("approx_percentile:99", 0.99)):
+        got = aggregates.global_aggregate(orders, F.col("weight"), op).select("op", F.col("aggregate").alias("x"))
+        rank = orders.crossJoin(F.broadcast(got)).groupBy("op").agg(F.avg((F.col("weight") <= F.col("x")).cast("int")).alias("upto"), F.avg((F.col("weight") < F.col("x")).cast("int")).alias("below"))
+        out.append(rank.select("op", ((F.col("below") <= share + 0.0002) & (F.col("upto") >= share - 0.0002)).alias("within")))
+    return out[0].unionByName(out[1])
 
 
 # joins
@@ -283,10 +389,11 @@ def has_relation_semi(spark, d):
     return graph.connected(c.beings.where("def = 'Customer'"), graph.EdgeFilter.by_type(3).apply(c.relations)).select("id")
 
 
-@query(_br("SELECT id FROM B WHERE \"def\" = 'Customer' AND id NOT IN (SELECT from_id FROM R WHERE relation_type = 3)"))
+@query(_br("SELECT id FROM B WHERE \"def\" = 'Order' AND id NOT IN (SELECT from_id FROM R WHERE relation_type = 5 AND weight > 45)"))
 def no_relation_anti(spark, d):
+    """Orders without any item of more than 45."""
     c = _engine(spark, d).catalog
-    return graph.connected(c.beings.where("def = 'Customer'"), graph.EdgeFilter.by_type(3).apply(c.relations), False).select("id")
+    return graph.connected(c.beings.where("def = 'Order'"), graph.EdgeFilter.by_type(5).apply(c.relations).where("weight > 45"), False).select("id")
 
 
 @query(_b("SELECT name FROM B WHERE \"def\" = 'Nation' UNION SELECT name FROM B WHERE \"def\" = 'Region' EXCEPT SELECT name FROM B WHERE \"def\" = 'Nation' AND priority > 20"))
@@ -371,9 +478,32 @@ def shortest_path(spark, d):
     return graph.shortest_path(c.relations, region, "c:1", 8)
 
 
-def _pagerank_sql(rounds: int) -> str:
+_STEPS = 3
+
+
+@query(f"SELECT (n_nationkey * {_STEPS} + k)::INTEGER AS step, 'n:' || n_nationkey || '.' || k AS id FROM nation, range({_STEPS}) t(k)")
+def shortest_path_long(spark, d):
+    """A chain through all nations, some steps each, with edges back: 75 nodes in a row."""
+    n = table(spark, d, "nation").select(F.explode(F.sequence(F.lit(0), F.lit(_STEPS - 1))).alias("k"), (F.col("n_nationkey") * _STEPS).alias("b")).select((F.col("b") + F.col("k")).alias("i"))
+    name = lambda i: F.concat(F.lit("n:"), F.floor(i / _STEPS).cast("string"), F.lit("."), (i % _STEPS).cast("string"))
+    i = F.col("i")
+    on = n.select(name(i).alias("from_id"), name(i + 1).alias("to_id"), F.lit(True).alias("directed"), i.cast("long").alias("ord"))
+    back = n.where("i % 10 = 9").select(name(i).alias("from_id"), name(F.floor(i / 2).cast("int")).alias("to_id"), F.lit(True).alias("directed"), (i + 1000).cast("long").alias("ord"))
+    return graph.shortest_path(on.unionByName(back), "n:0.0", f"n:24.{_STEPS - 1}")
+
+
+@query("WITH c AS (SELECT min(c_custkey) AS k FROM customer WHERE c_nationkey = 3) SELECT 0 AS step, 'n:3' AS id UNION ALL SELECT 1, 'c:' || k FROM c")
+def dsl_shortest_path(spark, d):
+    row = table(spark, d, "customer").where("c_nationkey = 3").orderBy("c_custkey").select("c_name").first()
+    return _engine(spark, d).execute_dsl(f'analyze {{ shortest_path on NATION_3(to: "{row.c_name}") {{ }} }}').select("step", "id")
+
+
+_EVERY = 'SELECT id FROM B WHERE "def" IN (\'Region\', \'Nation\', \'Customer\', \'Order\')', "SELECT from_id, to_id FROM R WHERE relation_type IN (1, 2, 3)"
+
+
+def _pagerank_sql(rounds: int, nodes: str = _EVERY[0], edges: str = _EVERY[1]) -> str:
     out = [
-        B, R, "N AS (SELECT id FROM B WHERE \"def\" IN ('Region', 'Nation', 'Customer', 'Order'))", "E AS (SELECT from_id, to_id FROM R WHERE relation_type IN (1, 2, 3))",
+        B, R, f"N AS ({nodes})", f"E AS ({edges})",
         "D AS (SELECT from_id, count(*) AS k FROM E GROUP BY 1)", "C AS (SELECT count(*)::DOUBLE AS n FROM N)", "P0 AS (SELECT id, 1 / n AS rank FROM N, C)",
     ]
     for i in range(rounds):
@@ -390,6 +520,16 @@ def pagerank_5(spark, d):
     return graph.pagerank(nodes, c.relations.where("relation_type in (1, 2, 3)"), 5).select("id", F.round("rank", 10).alias("rank"))
 
 
+@query(_pagerank_sql(2, "SELECT id FROM B", "SELECT from_id, to_id FROM R"))
+def dsl_analyze_pagerank(spark, d):
+    return _engine(spark, d).execute_dsl("analyze { pagerank on NATION_3(limit: 2) { id rank } }").select("id", F.round("rank", 10).alias("rank"))
+
+
+@query(_walk(1, start="n:3") + "SELECT W.depth, b.id, b.name, b.weight, b.priority FROM W JOIN B b ON b.id = W.id")
+def dsl_analyze_dfs(spark, d):
+    return _engine(spark, d).execute_dsl("analyze { dfs on NATION_3(limit: 1) { anything at all } }")
+
+
 @query(
     _br(
         ", X AS (SELECT from_id, to_id, ord FROM R WHERE relation_type IN (1, 2)), "
@@ -467,6 +607,33 @@ def vector_distances(spark, d):
     return fixtures.vectors(spark, d).select("id", (r(vectors.cosine_distance("vector", q)) + 0.0).alias("cosine"), r(vectors.l2_distance("vector", q)).alias("l2"), r(vectors.dot("vector", q)).alias("dot"))
 
 
+@query(f"{_V} SELECT id, round(1 - list_inner_product(v, q), 6) + 0.0 AS cosine FROM V, Q")
+def vector_cosine_of_units(spark, d):
+    """The shorter form for vectors of length 1, as all are here."""
+    q = F.array(*[F.lit(float(x)) for x in _query_vector(spark, d)])
+    return fixtures.vectors(spark, d).select("id", (F.round(vectors.cosine_distance_of_units("vector", q), 6) + 0.0).alias("cosine"))
+
+
+@query(f"{_V}, S AS (SELECT id, round(list_distance(v, q), 9) AS distance FROM V, Q ORDER BY distance, id LIMIT 5) SELECT id, round(distance, 6) + 0.0 AS distance FROM S")
+def config_metric(spark, d):
+    """The metric of an engine whose configuration was saved and loaded."""
+    with tempfile.TemporaryDirectory() as at:
+        save_config({**DEFAULTS, "engine": {"metric": "l2"}}, f"{at}/engine.toml")
+        e = Engine(spark, catalog=fixtures.catalog(spark, d), config=load_config(f"{at}/engine.toml"))
+    q = ", ".join(repr(float(x)) for x in _query_vector(spark, d))
+    return e.execute_dsl(f"similar {{ Vec(query: [{q}], k: 5) {{ id whatever }} }}").select("id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(f"{_V}, S AS (SELECT id, round(-list_inner_product(v, q), 9) AS distance FROM V, Q ORDER BY distance, id LIMIT 10) SELECT id, round(distance, 6) + 0.0 AS distance FROM S")
+def store_vectors(spark, d):
+    """A vector field registered with a metric, all vectors inserted, and a search among them."""
+    e = Engine(spark, _scratch(spark))
+    e.register_vector_field("own", 64, "dot")
+    e.write_batch(_engine(spark, d).query().scan("Vec").execute().drop("tx_begin"))
+    e.insert_vectors("own", fixtures.vectors(spark, d).select("id", "vector"))
+    return e.query().scan("Vec").similar_to(_query_vector(spark, d), 10, "own").select("id").execute().select("id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @query(f"{_V}, S AS (SELECT id, label, round(1 - list_cosine_similarity(v, q), 9) AS distance FROM V, Q ORDER BY distance, id LIMIT 50) SELECT id, round(distance, 6) + 0.0 AS distance FROM S WHERE label = (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1)")
 def knn_filtered(spark, d):
     """Conditions apply after the search."""
@@ -644,59 +811,168 @@ def validate_defs(spark, d):
     return validate.violations(table(spark, d, "beings"), validate.definitions_of(table(spark, d, "defs")), ["id", "updated_at"])
 
 
-@query(f"SELECT {ID.format(c='id')} AS id, 'name' AS problem FROM beings WHERE name IS NULL OR trim(name) = '' UNION ALL SELECT {ID.format(c='id')}, 'def' FROM beings WHERE \"def\" IS NULL OR trim(\"def\") = ''")
+@query("SELECT 'd:' || doc_id AS id, 'name' AS problem FROM documents WHERE lang IS NULL OR trim(lang) = '' UNION ALL SELECT 'd:' || doc_id, 'def' FROM documents WHERE source IS NULL OR trim(source) = ''")
 def invalid_beings(spark, d):
-    return validate.invalid_beings(table(spark, d, "beings").withColumn("id", norm_id("id")))
+    """Documents as beings that have their language for a name and their source for a def."""
+    rows = table(spark, d, "documents").select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("name"), F.col("source").alias("def"))
+    return validate.invalid_beings(rows)
+
+
+_CUT = f"WITH {INTACT}, G AS (SELECT * FROM INTACT WHERE rec_no < coalesce((SELECT min(rec_no) FROM wal_records WHERE rec_no NOT IN (SELECT rec_no FROM INTACT)), 9223372036854775807))"
 
 
-_GOOD = "coalesce(magic = '\\x57\\x41\\x4C\\x01'::BLOB AND payload IS NOT NULL AND strlen(payload) = payload_len, FALSE)"
+def _recovered(spark: SparkSession, d: str) -> DataFrame:
+    """The records before the first one that is broken (its form, length or checksum)."""
+    return replayable(table(spark, d, "wal_records"), intact() & F.col("seq").isNotNull(), "rec_no")
 
 
-@query(f"SELECT rec_no, seq FROM wal_records WHERE rec_no < coalesce((SELECT min(rec_no) FROM wal_records WHERE NOT {_GOOD}), 9223372036854775807)")
+@query(f"{_CUT} SELECT rec_no, seq FROM G")
 def txlog_corruption_cut(spark, d):
-    """The records before the first one whose form is broken."""
-    good = (F.col("magic") == F.expr("X'57414C01'")) & F.col("payload").isNotNull() & (F.octet_length("payload") == F.col("payload_len"))
-    return replayable(table(spark, d, "wal_records"), good, "rec_no").select("rec_no", "seq")
+    return _recovered(spark, d).select("rec_no", "seq")
 
 
-@query(f"SELECT max(seq) AS last_seq FROM wal_records WHERE rec_no < coalesce((SELECT min(rec_no) FROM wal_records WHERE NOT {_GOOD}), 9223372036854775807)")
+@query(f"{_CUT} SELECT max(seq) AS last_seq FROM G")
 def txlog_last_seq(spark, d):
-    return txlog_corruption_cut(spark, d).agg(F.max("seq").alias("last_seq"))
+    return _recovered(spark, d).agg(F.max("seq").alias("last_seq"))
 
 
-@query("SELECT event_type AS \"def\", count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events WHERE event_id < coalesce((SELECT min(event_id) FROM events WHERE value > 480), 9223372036854775807) GROUP BY 1")
+@query(f"{_CUT} SELECT row_number() OVER (ORDER BY seq, rec_no)::INTEGER AS pos, seq, (payload->>'$.tx_id')::BIGINT AS tx_id, json_array_length(payload, '$.ops')::INTEGER AS n_ops FROM G WHERE json_valid(payload)")
 def txlog_replay(spark, d):
-    """Events as a log with bad records: what is before the first of these, folded."""
-    log = replayable(table(spark, d, "events"), F.col("value") <= 480, "event_id")
-    return log.groupBy(F.col("event_type").alias("def")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    """The recovered transactions in the order of seq, those that can't be decoded left out."""
+    return replay(_recovered(spark, d)).select("pos", "seq", "tx_id", F.size("ops").alias("n_ops"))
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lodeframe-store-{uuid.uuid4().hex}"
+    return scratch_path(spark, "store")
 
 
-@query("SELECT 'n:' || n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 'Renamed' ELSE n_name END AS name, n_nationkey AS priority FROM nation WHERE n_nationkey <> 5")
-def soft_delete_current(spark, d):
-    """A store: nations written, one renamed, one deleted; the current versions."""
+def _customers(spark: SparkSession, d: str) -> Engine:
+    """A store with all customers."""
     e = Engine(spark, _scratch(spark))
-    e.write_batch(fixtures.beings(spark, d).where("def = 'Nation'").drop("ord", "tx_begin", "updated_at"))
+    e.write_batch(_engine(spark, d).query().scan("Customer").execute().drop("tx_begin", "updated_at"))
+    return e
+
+
+@query("SELECT 'c:' || c_custkey AS id, CASE WHEN c_custkey = 3 THEN 'Renamed' ELSE c_name END AS name, c_nationkey AS priority FROM customer WHERE c_custkey <> 5")
+def soft_delete_current(spark, d):
+    """Customers written, one renamed, one deleted; the current versions."""
+    e = _customers(spark, d)
     tx = e.begin_tx()
-    tx.update_being("n:3", name="Renamed")
-    tx.delete_being("n:5")
+    tx.update_being("c:3", name="Renamed")
+    tx.delete_being("c:5")
     tx.commit()
-    return e.query().scan("Nation").select("name", "priority").execute()
+    return e.query().scan("Customer").select("name", "priority").execute()
 
 
-@query("SELECT 'n:' || n_nationkey AS id, 1 AS n FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 'n:4', 3")
+@query("SELECT 'c:' || c_custkey AS id, CASE WHEN c_custkey = 4 THEN 3 ELSE 1 END AS n FROM customer")
 def update_versions(spark, d):
-    """Updates are versions: how many each nation has."""
-    e = Engine(spark, _scratch(spark))
-    e.write_batch(fixtures.beings(spark, d).where("def = 'Nation'").drop("ord", "tx_begin", "updated_at"))
+    """Updates are versions: how many each customer has."""
+    e = _customers(spark, d)
     for name in ("A", "B"):
         tx = e.begin_tx()
-        tx.update_being("n:4", name=name)
+        tx.update_being("c:4", name=name)
         tx.commit()
-    return e.query().scan("Nation").history("all").execute().groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return e.query().scan("Customer").history("all").execute().groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+def _redefined(spark: SparkSession, d: str) -> Engine:
+    """Customers, those with a negative balance then written again as debtors, and one updated to another def."""
+    e = _customers(spark, d)
+    debtors = _engine(spark, d).query().scan("Customer").filter("weight", "<", 0).execute().drop("tx_begin", "updated_at")
+    e.write_batch(debtors.withColumns({"def": F.lit("Debtor"), "weight": -F.col("weight")}))
+    tx = e.begin_tx()
+    tx.update_being("c:1", **{"def": "First"})
+    tx.commit()
+    return e
+
+
+_DEF_NOW = "CASE WHEN c_custkey = 1 THEN 'First' WHEN c_acctbal < 0 THEN 'Debtor' ELSE 'Customer' END"
+
+
+@query(f"SELECT 'c:' || c_custkey AS id, {_DEF_NOW} AS \"def\", abs(c_acctbal) AS weight FROM customer")
+def store_scan_def_changed(spark, d):
+    """A scan of a def gives the beings that have it now."""
+    q = _redefined(spark, d).query()
+    return reduce(DataFrame.unionByName, [q.scan(kind).select("def", "weight").execute() for kind in ("Customer", "Debtor", "First")])
+
+
+@query(f"WITH c AS (SELECT *, {_DEF_NOW} AS now FROM customer) SELECT now AS \"def\", round(sum(abs(c_acctbal)), 2) AS aggregate, count(*)::BIGINT AS count FROM c WHERE abs(c_acctbal) > 100 GROUP BY 1")
+def store_scan_all(spark, d):
+    """The newest version of every being, filtered and aggregated per def."""
+    q = _redefined(spark, d).query().scan().filter("weight", ">", 100).aggregate("weight", "sum").group_by("def")
+    return q.execute().withColumn("aggregate", F.round("aggregate", 2))
+
+
+@query("SELECT 'c:' || c_custkey AS id, c_acctbal AS weight FROM customer")
+def store_history_at(spark, d):
+    """Customers as they were at the first transaction."""
+    return _redefined(spark, d).query().scan("Customer").history("at", 1).select("weight").execute()
+
+
+@query("SELECT 'c:' || c_custkey AS id, c_acctbal AS weight FROM customer WHERE c_custkey = 42")
+def store_lookup(spark, d):
+    """A being by its id in a store that is sorted by id."""
+    e = _customers(spark, d)
+    e.store.compact("beings", 4, "id")
+    return e.query().being("c:42").select("weight").execute()
+
+
+@query("SELECT a.r_name AS from_name, b.r_name AS to_name, 4 AS relation_type FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1")
+def store_relate(spark, d):
+    """Regions written one by one, each related to the next; an edge to a being that doesn't exist is refused."""
+    e = Engine(spark, _scratch(spark))
+    ids = {r.r_regionkey: e.write(**{"def": "Region"}, name=r.r_name) for r in table(spark, d, "region").collect()}
+    for k in ids:
+        if k + 1 in ids:
+            e.relate(ids[k], ids[k + 1], 4)
+    with suppress(NotFound):
+        e.relate(ids[0], "nobody", 4)
+    c = e.catalog
+    names = e.query().scan("Region").select("name").execute()
+    out = c.relations.join(names.select(F.col("id").alias("from_id"), F.col("name").alias("from_name")), "from_id")
+    return out.join(names.select(F.col("id").alias("to_id"), F.col("name").alias("to_name")), "to_id").select("from_name", "to_name", "relation_type")
+
+
+def _mutated(spark: SparkSession, d: str) -> tuple[Engine, DataFrame]:
+    """Regions defined, created, updated and deleted in the query language, and the messages."""
+    e = Engine(spark, _scratch(spark))
+    got = [e.execute_dsl('define type Place { field size: Int { required, min: 0, max: 99 } field note: String { default: "-" } }')]
+    regions = table(spark, d, "region").orderBy("r_regionkey").collect()
+    got += [e.execute_dsl(f'mutation {{ create Place(input: {{name: "{r.r_name}", size: {r.r_regionkey}, weight: {r.r_regionkey}.5}}) {{ id }} }}') for r in regions]
+    got.append(e.execute_dsl(f'mutation {{ update "{regions[1].r_name}"(input: {{description: "changed", size: 50}}) }}'))
+    got.append(e.execute_dsl(f'mutation {{ delete "{regions[2].r_name}" }}'))
+    return e, reduce(DataFrame.unionByName, got)
+
+
+@query("SELECT r_name AS name, CASE WHEN r_regionkey = 1 THEN 50.0 ELSE r_regionkey END::DOUBLE AS size, CASE WHEN r_regionkey = 1 THEN 'changed' ELSE '' END AS description, r_regionkey + 0.5::DOUBLE AS weight FROM region WHERE r_regionkey <> 2")
+def dsl_mutations(spark, d):
+    """What create, update and delete leave; size is an attribute of ext."""
+    e, _ = _mutated(spark, d)
+    rows = e.query().scan("Place").execute()
+    return rows.select("name", predicates.attribute("size", 0.0).alias("size"), "description", "weight")
+
+
+@query(
+    "SELECT 'Define Place' AS message UNION ALL SELECT 'Create Place' FROM region UNION ALL SELECT 'Update ' || r_name FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'Delete ' || r_name FROM region WHERE r_regionkey = 2"
+)
+def dsl_messages(spark, d):
+    return _mutated(spark, d)[1]
+
+
+@query("SELECT 'Place' AS name, 1 AS type_code, 'size' AS field, 'Int' AS type, TRUE AS required UNION ALL SELECT 'Place', 1, 'note', 'String', FALSE")
+def defs_reopened(spark, d):
+    """The definitions that an engine finds when it opens the store again."""
+    again = Engine(spark, _mutated(spark, d)[0].store.files.base)
+    rows = [(x.name, x.type_code, f.name, str(f.type), f.required) for x in again.defs.all() for f in x.fields]
+    return spark.createDataFrame(rows, "name string, type_code int, field string, type string, required boolean")
+
+
+@query("SELECT 'CreateBeing' AS op, count(*)::BIGINT AS n, TRUE AS intact FROM region UNION ALL VALUES ('Define', 1, TRUE), ('UpdateBeing', 1, TRUE), ('DeleteBeing', 1, TRUE)")
+def store_log(spark, d):
+    """The log of a store, each record with the checksum of its payload."""
+    log = _mutated(spark, d)[0].store.read("txlog")
+    good = F.crc32(F.encode("payload", "UTF-8")) == F.col("crc32")
+    return replayable(log, good).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.every(good).alias("intact"))
 
 
 @query("SELECT event_type AS name, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")

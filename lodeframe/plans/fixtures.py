@@ -5,13 +5,15 @@ Each branch of the union has a literal def, so a scan of one def reads one table
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.functions.ids import micros
 from lodeframe.model import BEINGS, RELATIONS
-from lodeframe.plans.logical import Catalog
+from lodeframe.plans.logical import Catalog, Part
 from lodeframe.sources.tables import table
 
 #: ord of a row: its kind times this, plus its key.
@@ -19,9 +21,8 @@ KIND = 10**13
 
 
 def ns(ts: Column) -> Column:
-    """Nanoseconds since 1970 of a timestamp without zone, whatever the session's zone."""
-    seconds = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
-    return seconds * F.lit(1_000_000_000).cast("long") + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long") * 1000
+    """Nanoseconds since 1970 of a timestamp without zone."""
+    return micros(ts) * 1000
 
 
 def _kind(df: DataFrame, number: int, kind: str, key: str, prefix: str, /, **columns: Column | str) -> DataFrame:
@@ -34,23 +35,48 @@ def _kind(df: DataFrame, number: int, kind: str, key: str, prefix: str, /, **col
     return df.select(*[every[f.name].cast(f.dataType).alias(f.name) for f in BEINGS])
 
 
-def beings(spark: SparkSession, d: str) -> DataFrame:
+def _micros(t: int) -> Column:
+    """A time in nanoseconds, rounded up to whole microseconds, as a timestamp without zone."""
+    return F.lit(datetime(1970, 1, 1) + timedelta(microseconds=-(-t // 1000)))
+
+
+def _part(df: DataFrame, number: int, kind: str, key: str, prefix: str, /, time: str | None = None, **columns: Column | str) -> Part:
+    """The table as one kind of beings; an id becomes a condition on its key, times one on the column ``time``."""
+
+    def rows(being_id: str | None, since: int | None, until: int | None) -> DataFrame:
+        own = df
+        if being_id is not None:
+            digits = being_id.removeprefix(prefix)
+            own = own.where(F.col(key) == int(digits)) if digits.isdecimal() and len(digits) < 19 else own.limit(0)
+        if time is not None and since is not None:
+            own = own.where(F.col(time) >= _micros(since))
+        if time is not None and until is not None:
+            own = own.where(F.col(time) < _micros(until))
+        return _kind(own, number, kind, key, prefix, **columns)
+
+    return Part(kind, prefix, rows)
+
+
+def parts(spark: SparkSession, d: str) -> tuple[Part, ...]:
     t = lambda n: table(spark, d, n)
-    parts = [
-        _kind(t("region"), 1, "Region", "r_regionkey", "r:", name="r_name"),
-        _kind(t("nation"), 2, "Nation", "n_nationkey", "n:", name="n_name", priority="n_nationkey"),
-        _kind(t("customer"), 3, "Customer", "c_custkey", "c:", name="c_name", weight="c_acctbal", priority="c_nationkey", category="c_mktsegment"),
-        _kind(t("supplier"), 4, "Supplier", "s_suppkey", "s:", name="s_name", weight="s_acctbal", priority="s_nationkey"),
-        _kind(t("part"), 5, "Part", "p_partkey", "p:", name="p_name", weight="p_retailprice", priority="p_size", category="p_type", code="p_brand"),
-        _kind(
+    return (
+        _part(t("region"), 1, "Region", "r_regionkey", "r:", name="r_name"),
+        _part(t("nation"), 2, "Nation", "n_nationkey", "n:", name="n_name", priority="n_nationkey"),
+        _part(t("customer"), 3, "Customer", "c_custkey", "c:", name="c_name", weight="c_acctbal", priority="c_nationkey", category="c_mktsegment"),
+        _part(t("supplier"), 4, "Supplier", "s_suppkey", "s:", name="s_name", weight="s_acctbal", priority="s_nationkey"),
+        _part(t("part"), 5, "Part", "p_partkey", "p:", name="p_name", weight="p_retailprice", priority="p_size", category="p_type", code="p_brand"),
+        _part(
             t("orders"), 6, "Order", "o_orderkey", "o:", name="concat('Order-', o_orderkey)", weight="o_totalprice", priority="cast(left(o_orderpriority, 1) as int)", category="o_orderpriority",
-            status="case o_orderstatus when 'O' then 1 when 'F' then 2 when 'P' then 3 else 0 end", created_at=ns(F.col("o_orderdate")),
+            status="case o_orderstatus when 'O' then 1 when 'F' then 2 when 'P' then 3 else 0 end", created_at=ns(F.col("o_orderdate")), time="o_orderdate",
         ),
-        _kind(t("events"), 7, "Event", "event_id", "e:", name="event_type", weight="value", category="event_type", created_at=ns(F.col("ts")), ext="props"),
-        _kind(t("documents"), 8, "Document", "doc_id", "d:", name="concat('doc-', doc_id)", weight="n_chars", category="lang", code="source", description="text"),
-        _kind(t("embeddings"), 9, "Vec", "vec_id", "v:", name="concat('vec-', vec_id)", priority="label"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        _part(t("events"), 7, "Event", "event_id", "e:", name="event_type", weight="value", category="event_type", created_at=ns(F.col("ts")), ext="props", time="ts"),
+        _part(t("documents"), 8, "Document", "doc_id", "d:", name="concat('doc-', doc_id)", weight="n_chars", category="lang", code="source", description="text"),
+        _part(t("embeddings"), 9, "Vec", "vec_id", "v:", name="concat('vec-', vec_id)", priority="label"),
+    )
+
+
+def beings(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p.rows(None, None, None) for p in parts(spark, d)])
 
 
 def _edges(df: DataFrame, kind: int, a: str, b: str, key: str, weight: str = "1.0") -> DataFrame:
@@ -63,7 +89,7 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     supplied = t("lineitem").select("l_partkey", "l_suppkey").distinct()
     vec = t("embeddings").select("vec_id")
-    parts = [
+    kinds = [
         _edges(t("nation"), 1, "concat('r:', n_regionkey)", "concat('n:', n_nationkey)", "n_nationkey"),
         _edges(t("customer"), 2, "concat('n:', c_nationkey)", "concat('c:', c_custkey)", "c_custkey"),
         _edges(t("orders"), 3, "concat('c:', o_custkey)", "concat('o:', o_orderkey)", "o_orderkey"),
@@ -73,7 +99,7 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
         _edges(vec, 7, "concat('v:', vec_id)", "concat('c:', vec_id % 100 + 1)", "vec_id * 2"),
         _edges(vec, 7, "concat('v:', vec_id)", "concat('n:', vec_id % 25)", "vec_id * 2 + 1"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, kinds)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +117,9 @@ def catalog(spark: SparkSession, d: str) -> Catalog:
     key = (spark.sparkContext.applicationId, d)
     if key not in _CATALOGS:
         _CATALOGS.clear()
-        _CATALOGS[key] = Catalog(beings(spark, d), relations(spark, d), vectors(spark, d), versioned=False)
+        own = parts(spark, d)
+        every = reduce(DataFrame.unionByName, [p.rows(None, None, None) for p in own])
+        _CATALOGS[key] = Catalog(every, relations(spark, d), vectors(spark, d), versioned=False, parts=own)
     return _CATALOGS[key]
 
 

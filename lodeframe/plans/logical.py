@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.model import CORE, EngineError
 from lodeframe.operators import aggregates, graph, predicates, temporal, vectors
-from lodeframe.operators.predicates import Condition
+from lodeframe.operators.predicates import Compare, Condition
 from lodeframe.operators.temporal import History
 
 #: Columns that a query without a list of fields gives.
@@ -46,6 +48,19 @@ class LogicalQuery:
     with_relations: int = 0
 
 
+@dataclass(frozen=True)
+class Part:
+    """One kind of beings: all rows with the def ``kind`` (and no others), whose ids begin with ``prefix``.
+
+    ``rows`` gives them, narrowed to one id and to a range of created_at [since, until) where it can: a superset of what is
+    asked for, read by conditions on the columns of the files.
+    """
+
+    kind: str
+    prefix: str
+    rows: Callable[[str | None, int | None, int | None], DataFrame]
+
+
 @dataclass
 class Catalog:
     """The tables a query reads."""
@@ -56,17 +71,64 @@ class Catalog:
     metrics: dict[str, str] = field(default_factory=dict)
     #: False where every id has one row, so that nothing has to look for the newest.
     versioned: bool = True
+    #: The beings by kind, if they are stored so; together they are ``beings``.
+    parts: tuple[Part, ...] = ()
+
+
+def _bounds(q: LogicalQuery) -> tuple[int | None, int | None]:
+    """Bounds of created_at, below inclusive and above exclusive, that all rows of the result keep."""
+    since, until = None, None
+    for c in q.where:
+        for x in c.parts if isinstance(c, predicates.All) else (c,):
+            if isinstance(x, Compare) and x.field == "created_at" and type(x.value) is int:
+                op, v = predicates.OPERATORS.get(x.op), x.value
+                if op in ("ge", "gt", "eq"):
+                    since = v if since is None else max(since, v)
+                if op in ("lt", "le", "eq"):
+                    v += op != "lt"
+                    until = v if until is None else min(until, v)
+    return since, until
+
+
+def _needed(q: LogicalQuery) -> list[str] | None:
+    """The columns of beings that a query looks at; None for all."""
+    if q.with_relations or (q.fields is None and q.aggregate is None):
+        return None
+    names = {"id", "def", "tx_begin", "tx_end", "updated_at", "ord", *(n for n, _ in q.order_by)}
+    names |= {q.aggregate[0], *q.group_by} if q.aggregate is not None else set(q.fields)
+    if q.similar is not None and q.similar.relations:
+        names.add("name")
+    for c in q.where:
+        own = predicates.fields_of(c)
+        if own is None:
+            return None
+        names |= own
+    return sorted({n if n in CORE or n == "ord" else "ext" for n in names})
 
 
 def source(q: LogicalQuery, catalog: Catalog) -> DataFrame:
-    """The rows before conditions. Conditions on def and id come first, so that they reach the scan."""
-    rows = catalog.beings
+    """The rows before conditions.
+
+    A condition on the id reaches the scan. Of a being with versions the def is that of the version that the history mode
+    selects, so the version is chosen first.
+    """
+    plain = not catalog.versioned and q.history.mode == "current"
+    if plain and catalog.parts and (q.target or q.being_id is not None):
+        since, until = _bounds(q)
+        own = [p for p in catalog.parts if (not q.target or p.kind == q.target) and (q.being_id is None or q.being_id.startswith(p.prefix))]
+        rows = reduce(DataFrame.unionByName, [p.rows(q.being_id, since, until) for p in own]) if own else catalog.beings.limit(0)
+    else:
+        rows = catalog.beings
     if q.being_id is not None:
         rows = rows.where(F.col("id") == q.being_id)
-    if q.target:
-        rows = rows.where(F.col("def") == q.target)
-    if catalog.versioned or q.history.mode != "current":
-        rows = temporal.apply_history(rows, q.history, VERSION_ORDER)
+    columns = _needed(q)
+    if columns is not None:
+        rows = rows.select(*columns)
+    kind = F.col("def") == q.target if q.target else None
+    if plain:
+        rows = rows if kind is None else rows.where(kind)
+    else:
+        rows = temporal.apply_history(rows, q.history, VERSION_ORDER, kind)
     if q.history.mode == "current" and not q.include_deleted:
         rows = rows.where("tx_end is null or tx_end = 9223372036854775807")
     return rows
@@ -107,7 +169,9 @@ def compile_query(q: LogicalQuery, catalog: Catalog) -> DataFrame:
 def _ordered(rows: DataFrame, q: LogicalQuery, default: list[str]) -> DataFrame:
     """Sorted only where an order or a limit is asked for: a top-k, never a sort of everything for its own sake."""
     if q.order_by:
-        keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in q.order_by] + [F.col(c) for c in default]
+        # an attribute of ext sorts as a number, then as a text
+        of = lambda c: [F.col(c)] if c in rows.columns else [predicates.attribute(c, 0.0), predicates.attribute(c, "")]
+        keys = [x.desc_nulls_last() if down else x.asc_nulls_last() for c, down in q.order_by for x in of(c)] + [F.col(c) for c in default]
         rows = rows.orderBy(*keys)
     elif q.limit is not None:
         rows = rows.orderBy(*default)
@@ -128,7 +192,7 @@ def _similar(q: LogicalQuery, rows: DataFrame, catalog: Catalog) -> DataFrame:
 
 @dataclass(frozen=True)
 class PlanStep:
-    """Scan(target), Filter(condition), Project(fields), Aggregate(column, op), Limit(n), Sort(column, descending)."""
+    """Scan(target), Filter(conditions), Project(fields), Aggregate(column, op, keys to group by), Limit(n), Sort(column, descending)."""
 
     kind: str
     args: tuple = ()
@@ -145,7 +209,7 @@ def run_plan(steps: list[PlanStep], catalog: Catalog) -> DataFrame:
         elif s.kind == "Project":
             q = replace(q, fields=tuple(s.args))
         elif s.kind == "Aggregate":
-            q = replace(q, aggregate=(s.args[0], s.args[1]))
+            q = replace(q, aggregate=(s.args[0], s.args[1]), group_by=tuple(s.args[2:]))
         elif s.kind == "Limit":
             q = replace(q, limit=s.args[0] if q.limit is None else min(q.limit, s.args[0]))
         elif s.kind == "Sort":

@@ -10,7 +10,7 @@ T AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c
 H AS (SELECT rec_no, seq, payload, arrived_at, crc32, hex(encode(payload)) AS h FROM wal_records
   WHERE magic = '\\x57\\x41\\x4C\\x01'::BLOB AND payload IS NOT NULL AND strlen(payload) = payload_len AND seq IS NOT NULL),
 Y AS (SELECT H.*, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM H),
-INTACT AS (SELECT seq, payload, arrived_at FROM Y, T WHERE xor(list_reduce(bytes, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) = crc32)
+INTACT AS (SELECT rec_no, seq, payload, arrived_at FROM Y, T WHERE xor(list_reduce(bytes, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) = crc32)
 """
 
 _STATE = f"""

@@ -360,3 +360,128 @@ def test_conditions_push_down(spark, small):
     plan = e.query().scan("Order").filter("weight", ">", 100000).select("name").execute()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "GreaterThan(o_totalprice,100000.0)" in plan
     assert predicates.column(Any((Compare("weight", ">", 1), Compare("weight", "<", 0)))) is not None
+
+
+def test_more_conditions(shop):
+    ask = lambda t: names(shop.execute_dsl(f"query {{ Employee(filter: {t}) {{ name }} }}"))
+    assert ask("not {weight > 9000}") == ["Alice", "Dave"] and ask("not ({priority: 5} or {priority: 3})") == ["Bob", "Carol"]
+    assert ask('{name in ["Bob", "Eve", null]}') == ["Bob"] and ask('{name not in ["Bob"]}') == ["Alice", "Carol", "Dave"] and ask("{weight in []}") == []
+    assert ask("{weight between [5000, 8000]}") == ["Alice", "Dave"] and ask('{name like "%o%"}') == ["Bob", "Carol"] and ask("{weight like \"8%\"}") == []
+    assert len(ask("{absent is null}")) == 4 and ask("{absent is not null}") == [] and len(ask("not {absent: 3}")) == 4
+    assert ask("{priority < weight} and {weight > priority}") == ["Alice", "Bob", "Carol", "Dave"] and ask("{name == weight}") == [] and ask("{a > b}") == []
+    for bad in ("{weight between [1]}", "{name like 3}", "{name is}", "{name near 3}", "not"):
+        with pytest.raises(DslSyntaxError):
+            ask(bad)
+    q = shop.query().scan("Employee")
+    assert names(q.where(F.col("weight") > 9000).execute()) == names(q.where(lambda attribute: attribute("weight") > 9000).execute()) == names(q.where(Compare("weight", ">", 9000)).execute()) == ["Bob", "Carol"]
+    assert names(q.filter("name", "NOT  in", ["Bob"]).filter("weight", "between", (6000, 20000)).execute()) == ["Alice", "Carol"]
+    assert names(q.where(Any(())).execute()) == [] and len(names(q.where(All(())).execute())) == 4
+
+
+def test_a_def_is_that_of_the_newest_version(engine, spark):
+    row = lambda kind, w: spark.createDataFrame([("x", kind, "n", w, '{"size": 3}')], "id string, def string, name string, weight double, ext string")
+    engine.write_batch(row("Old", 1.0))
+    engine.write_batch(row("New", 2.0))
+    q = engine.query()
+    assert q.scan("Old").execute().count() == 0 and [r.weight for r in q.scan("New").execute().collect()] == [2.0] and q.scan("").execute().count() == 1
+    assert q.scan("Old").history("at", 1).execute().count() == 1 and q.scan("Old").history("at", 2).execute().count() == 0 and q.scan("Old").history("all").execute().count() == 1
+    assert q.scan("Old").history("last", 1).execute().count() == 0 and q.scan("Old").history("last", 2).execute().count() == 1
+    tx = engine.begin_tx()
+    tx.update_being("x", **{"def": "Third", "color": "red"})
+    tx.commit()
+    got = q.__class__(engine.catalog).scan("Third").fetch_one()
+    assert got["def"] == "Third" and '"color": "red"' in got.ext and "def" not in got.ext and '"size": 3' in got.ext
+    assert engine.query().scan("New").execute().count() == 0 and engine.query().being("x").scan_limit(5).execute().count() == 1
+    assert [r.name for r in engine.query().scan("Third").order_by("size", True).select("name").fetch_all()] == ["n"]
+
+
+def test_equally_new_versions_are_one(spark):
+    df = spark.createDataFrame([("a", "K", 1, 7, 1.0), ("a", "K", 1, 7, 2.0), ("b", "K", 1, 1, 1.0), ("b", "L", 2, 2, 1.0), ("c", None, 1, 1, 1.0)], "id string, def string, tx_begin long, ord long, weight double")
+    order = ["tx_begin", "ord"]
+    assert [r.id for r in temporal.newest(df, order, F.col("def") == "K").collect()] == ["a"]
+    assert [r.id for r in temporal.newest(df, order, F.col("def") == "L").collect()] == ["b"] and temporal.newest(df, order).count() == 3
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_reach_the_scan(spark, small):
+    from lodeframe.plans import fixtures
+
+    q = Engine(spark, catalog=fixtures.catalog(spark, small)).query()
+    plan = scans(q.being("c:42").select("name").execute())
+    assert plan.count("FileScan") == 1 and "EqualTo(c_custkey,42)" in plan
+    plan = scans(q.scan("Event").filter("created_at", ">=", 1704672000000000000).filter("created_at", "<", 1705276800000000001).select("name").execute())
+    assert plan.count("FileScan") == 1 and "GreaterThanOrEqual(ts,2024-01-08T00:00)" in plan and "LessThan(ts,2024-01-15T00:00:00.000001)" in plan
+    assert q.being("c:x").execute().count() == 0 and q.being("?:1").execute().count() == 0 and q.being("c:" + "9" * 30).execute().count() == 0 and q.scan("None").execute().count() == 0
+    assert q.scan("Order").being("c:1").execute().count() == 1
+
+
+def test_a_sorted_store_is_read_in_part(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.write_batch(spark.range(4000).select(F.format_string("%036d", "id").alias("id"), F.lit("T").alias("def"), F.lit("n").alias("name")))
+    e.store.compact("beings", 8, "id")
+    df = e.store.read("beings").where(F.col("id") == f"{1234:036d}")
+    assert "EqualTo(id," in scans(df) and df.count() == 1
+    rows = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    read = [int(m) for m in [rows.collectLeaves().apply(0).metrics().apply("numOutputRows").value()]]
+    assert 0 < read[0] <= 600  # one file of eight
+
+
+def test_exact_percentiles_of_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"n": rng.standard_normal(2000), "ties": rng.integers(-2, 3, 999).astype(float), "wide": rng.standard_normal(500) * 10.0 ** rng.uniform(-200, 200, 500), "one": np.array([7.0]), None: np.array([3.0, 9.0]), "none": None}
+    rows = [(k, None if x is None else float(x)) for k, v in groups.items() for x in ([None] if v is None else v)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for p in (0, 37, 50, 99.9, 100):
+        got = {r.k: r.aggregate for r in aggregates.grouped_aggregate(df, ["k"], F.col("v"), f"percentile:{p}").collect()}
+        for k, v in groups.items():
+            assert got[k] is None if v is None else np.isclose(got[k], np.percentile(v, p), rtol=1e-9)
+    odd = spark.createDataFrame([(float(x),) for x in ("nan", "inf", "-inf", "0", "-0.0", "5e-324")], "v double")
+    assert aggregates.global_aggregate(odd, F.col("v"), "percentile:0").first().aggregate == float("-inf") and np.isnan(aggregates.global_aggregate(odd, F.col("v"), "percentile:100").first().aggregate)
+    assert tuple(aggregates.global_aggregate(odd.limit(0), F.col("v"), "median").first()) == (None, 0, "median")
+    assert abs(df.where("k = 'n'").agg(aggregates.aggregate("approx_median", F.col("v"))).first()[0] - np.median(groups["n"])) < 0.01
+    with pytest.raises(EngineError):
+        aggregates.grouping_sets(df, ["k"], F.col("v"), "sum", "every")
+
+
+def test_paths_have_no_longest_length(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", True, i) for i in range(12)], "from_id string, to_id string, directed boolean, ord long")
+    assert graph.shortest_path(chain, "n0", "n12").count() == 13 and graph.shortest_path(chain, "n0", "n3", 3).count() == 4
+    with pytest.raises(InvalidState, match="at most 3 hops"):
+        graph.shortest_path(chain, "n0", "n12", 3)
+    with pytest.raises(InvalidState, match="does not exist"):
+        graph.shortest_path(chain, "n3", "n0")
+
+
+def test_a_hot_source_is_walked_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SLICE_EDGES", 7)
+    star = [("hub", f"s{i}", True, 1.0, i) for i in range(300)] + [(f"s{i}", f"t{i % 5}", True, 1.0, 1000 + i) for i in range(300)] + [("t1", "hub", False, 1.0, 5000)]
+    e = spark.createDataFrame(star, "from_id string, to_id string, directed boolean, weight double, ord long")
+    rows, hot, name = graph._sliced(e)
+    assert {r.from_id for r in hot.collect()} >= {"hub"} and rows.where("from_id = 'hub'").select("piece").distinct().count() > 20
+    graph.drop(spark, name)
+    got = {r.id: r.depth for r in graph.bfs(e, start(spark, "hub"), 3).collect()}
+    assert got == {"hub": 0, **{f"s{i}": 1 for i in range(300)}, **{f"t{i}": 1 if i == 1 else 2 for i in range(5)}}
+    nodes = spark.createDataFrame([(x,) for x in got], "id string")
+    split = {r.id: r["rank"] for r in graph.pagerank(nodes, e, 4).collect()}
+    monkeypatch.setattr(graph, "SLICE_EDGES", 10**6)
+    whole = {r.id: r["rank"] for r in graph.pagerank(nodes, e, 4).collect()}
+    assert abs(sum(split.values()) - 1) < 1e-9 and all(abs(split[i] - whole[i]) < 1e-12 for i in whole)
+    assert abs(sum(r["rank"] for r in graph.pagerank(nodes, e, 0).collect()) - 1) < 1e-9
+
+
+def test_scratch_tables_can_be_deleted(spark):
+    import os
+
+    from lodeframe.sources import tables
+
+    df = tables.materialise(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    tables.discard(df)
+    assert not os.path.exists(os.path.dirname(path))

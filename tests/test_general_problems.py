@@ -70,7 +70,7 @@ def t(day, hour=0):
 LOG = "log_no long, source_table string, run_no long, event string, read_upto timestamp_ntz, logged_at timestamp_ntz, extra string"
 
 
-def test_runs_take_what_no_earlier_run_took(spark):
+def test_runs_take_what_no_earlier_run_took(spark, tmp_path):
     log = spark.createDataFrame(
         [
             (1, "x", 1, "started", t(2), t(2), ""), (2, "x", 1, " Succeeded", t(2), t(2, 1), ""), (3, "x", 2, "succeeded", t(4), t(4), ""), (4, "x", 2, "ROLLED_BACK ", t(4), t(5), ""),
@@ -81,25 +81,50 @@ def test_runs_take_what_no_earlier_run_took(spark):
     windows, following = incremental.run_windows(log, "x")
     assert windows == [(1, t(2)), (3, t(3))] and following == 7
     recs = spark.createDataFrame([("a", 1, t(1)), ("a", 1, t(5)), ("b", 1, t(2)), ("c", 1, t(2, 1)), ("d", 1, t(3, 1)), ("e", None, None)], "rec_id string, rec_version long, arrived_at timestamp_ntz")
-    got = {r.rec_id: r.run_no for r in incremental.assign_runs(recs, windows, following).collect()}
-    assert got == {"a": 1, "b": 1, "c": 3, "d": 7, "e": 7}
+    runs = lambda lg, r, at: {x.rec_id: x.run_no for x in incremental.runs_of_records(lg, {"x": (r, r)}, str(tmp_path / at)).collect()}
+    assert runs(log, recs, "1") == {"a": 1, "b": 1, "c": 3, "d": 7, "e": 7}
     assert incremental.run_windows(log.limit(0), "x") == ([], 1)
-    assert {r.run_no for r in incremental.assign_runs(recs, [], 1).collect()} == {1}
-    assert rows(incremental.assign_runs(recs.limit(0), windows, following)) == []
+    assert set(runs(log.limit(0), recs, "2").values()) == {1}
+    assert runs(log, recs.limit(0), "3") == {}
+
+
+def test_a_run_that_dies_between_plan_and_commit(spark, tmp_path, monkeypatch):
+    log = spark.createDataFrame([(i, "x", i, "succeeded", t(i + 1), t(i + 1), "") for i in range(1, 9)], LOG)
+    recs = spark.createDataFrame([(f"r{i % 40}", i % 3, t(1 + i % 12, i % 24)) for i in range(200)], "rec_id string, rec_version long, arrived_at timestamp_ntz")
+    want = rows(incremental.runs_of_records(log, {"x": (recs, recs)}, str(tmp_path / "whole")))
+    path = str(tmp_path / "dies")
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    for where in ("write", "commit"):
+        with monkeypatch.context() as m:
+            if where == "write":  # half of the rows reach the sink
+                whole = incremental._batch
+                m.setattr(incremental, "_batch", lambda *a: (whole(*a, F.pmod(F.xxhash64("rec_id"), F.lit(2)) == 0), dies()))
+            else:
+                m.setattr(incremental.BatchLedger, "commit", dies)
+            with pytest.raises(RuntimeError):
+                incremental.runs_of_records(log, {"x": (recs, recs)}, path)
+    plan = incremental.BatchLedger(spark, f"{path}/x").plan({"x": 0})
+    # later rows are not the replayed batch's: its plan was written before they came
+    more = recs.unionByName(spark.createDataFrame([("late", 1, t(28))], recs.schema))
+    assert rows(incremental.runs_of_records(log, {"x": (more, more)}, path)) == want
+    assert plan["batch"] == 0 and incremental.BatchLedger(spark, f"{path}/x").plan({"x": 9})["batch"] == 1
 
 
 def test_a_failed_batch_is_replayed_and_adds_nothing_twice(spark, tmp_path):
-    ledger = incremental.BatchLedger(str(tmp_path / "ledger"))
-    src = spark.createDataFrame([("p", i, f"k{i}") for i in range(1, 6)] + [("q", 1, "z"), ("q", None, "n")], "part string, off long, k string")
+    ledger = incremental.BatchLedger(spark, str(tmp_path / "ledger"))
+    src = spark.createDataFrame([("p", i, f"k{i}") for i in range(1, 6)] + [("q", 1, "z"), ("q", None, "n"), (None, 1, "m")], "part_of string, off long, k string")
     first = ledger.plan({"p": 3})
-    sunk = ledger.sink(ledger.read(src, first, "part", "off"), "k", "off", None)
+    sunk = ledger.sink(ledger.read(src, first, "part_of", "off"), "k", "off", None)
     assert sunk.count() == 3
-    again = incremental.BatchLedger(str(tmp_path / "ledger")).plan({"p": 5, "q": 1})
+    again = incremental.BatchLedger(spark, str(tmp_path / "ledger")).plan({"p": 5, "q": 1})
     assert again == first  # not committed, so the same offsets once more
-    assert ledger.sink(ledger.read(src, again, "part", "off"), "k", "off", sunk).count() == 0
+    assert ledger.sink(ledger.read(src, again, "part_of", "off"), "k", "off", sunk).count() == 0
     ledger.commit(first)
-    second = ledger.plan({"p": 5, "q": 1})
-    assert sorted(r.k for r in ledger.read(src, second, "part", "off").collect()) == ["k4", "k5", "z"]
+    second = ledger.plan({"p": 5, "q": 1}, {"p": [(7, 4), (8, 5), (9, 99)]})
+    assert sorted((r.k, r.part) for r in ledger.read(src, second, "part_of", "off").collect()) == [("k4", 7), ("k5", 8), ("z", None)]
 
 
 def test_a_replay_adds_no_null_key_and_partitions_stay_apart(spark):
@@ -182,6 +207,22 @@ def test_gaps_and_touching_periods(spark):
     assert rows(history.periods(empty)) == [] and rows(history.ledger(empty)) == []
 
 
+def test_a_begin_with_most_captures_is_split(spark, monkeypatch):
+    monkeypatch.setattr(history, "HOT_ROWS", 20)
+    monkeypatch.setattr(history, "PIECES", 8)
+    rng = random.Random(40)
+    data = [node(i, A, rng.choice([7, 7, 7, 30, 50]), rng.choice([None, 60]), rng.choice([None, *range(40)]), rng.randrange(3)) for i in range(300)]
+    df = spark.createDataFrame(data, NODE)
+    assert history._hot_bounds(history.captures(df))[1]
+    assert sorted(map(tuple, history.periods(df).drop("attrs").collect())) == brute_periods(data)
+    got = history.ledger(df).collect()
+    assert len(got) == 300 and sum(r.believed for r in got) == 3
+    for begin in (7, 30, 50):
+        times = sorted((r[4] if r[4] is not None else -1, r[0]) for r in data if r[2] == begin)
+        want = {no: after for (_, no), (after, _) in zip(times, times[1:])}
+        assert {r.node_no: -1 if r.superseded_at is None else r.superseded_at for r in got if r.tx_begin == begin and not r.believed} == want
+
+
 def test_the_ledger_keeps_what_was_superseded(spark):
     data = [node(1, A, 1, 5, 10), node(2, A, 1, 7, 20)]
     got = {r.node_no: r.superseded_at for r in history.ledger(spark.createDataFrame(data, NODE)).collect()}
