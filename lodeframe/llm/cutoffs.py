@@ -1,15 +1,18 @@
 """Texts that were cut off by a limit or in transfer.
 
-A text that stops inside its last word or sentence is a strict prefix of something longer. Whole longer copies are
-rare, so the self-join by prefix is done on windows: the last 1 to 12 tokens of each text that has no proper end are
+A text that stops inside its last word or sentence is a strict prefix of something longer. First the whole values are joined by
+prefix: fixed-length prefixes of all values are hashed, and those that share one with an unfinished value are hashed at
+the lengths of the unfinished ones, so every value that goes on in a longer copy is found. Second, as whole longer copies
+are rare, the same self-join is done on windows: the last 2 to 12 tokens of each text that has no proper end are
 hashed, and so are all windows of that many tokens of all texts, with what follows them. A tail that elsewhere goes
 on (with more words, or with more letters of its last word) was cut; one that elsewhere ends was not. The longest
-window that occurs elsewhere decides. Numbers are masked, and lines of lists, key-value pairs, headings, signatures and
+window that occurs elsewhere decides; where none of two or more tokens does, nothing is known, and the text counts as
+complete. Numbers are masked, and lines of lists, key-value pairs, headings, signatures and
 titles are compared only with their like, as they end without a stop. Last, the lengths at which a source cuts
-show as peaks: an unfinished text of just that length was cut as well.
+show as peaks among its cut texts: an unfinished text of just that length was cut as well.
 
-Nothing is sampled: every window of every text counts, if its hash is in a Bloom filter of the tails' hashes (of bounded
-size; false positives cost time only, as the join on the hash follows).
+Nothing is sampled: every prefix and window of every text counts, if its hash is in a Bloom filter of the hashes asked for (of
+bounded size; false positives cost time only, as the join on the hash follows).
 """
 
 from __future__ import annotations
@@ -20,22 +23,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm.leaks import pieces
-from lodeframe.sources.tables import materialise
+from lodeframe.operators.skew import heavy_candidates
+from lodeframe.sources.tables import discard, materialise
 
 #: Window lengths in tokens, and those at which the letters of a broken last word are compared.
-ORDERS = (1, 2, 3, 4, 5, 6, 8, 10, 12)
+ORDERS = (2, 3, 4, 5, 6, 8, 10, 12)
 PREFIX_ORDERS = (2, 4)
+#: Length in characters of the prefixes that whole values are joined by first; a shorter value says too little.
+WHOLE = 48
+#: What the number of a window says: at most 12 tokens; letters of the last word; the same as prose; the whole value.
+LETTERS, AS_PROSE, VALUE, STEM = 100, 200, 300, 400
 #: A window decides from so many occurrences on; the longest that a text has (a title apart) from one on, as a single longer copy is enough.
 ENOUGH = 2
-#: Bits of the Bloom filter: some eight for each key, but at most 32 MB; with more keys it lets more windows pass.
-BLOOM_PER_KEY, BLOOM_LEAST, BLOOM_MOST = 8, 1 << 16, 1 << 28
-#: A length is a limit of a source if so many of its texts, and this share of them, stop there unfinished, and this many times
-#: as many as at the two lengths before and after it.
-LIMIT_TEXTS, LIMIT_SHARE, LIMIT_PEAK = 8, 0.02, 3
+#: Bits of the Bloom filter: some 16 for each key, but at most 64 MB; with more keys it lets more windows pass.
+BLOOM_PER_KEY, BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES = 16, 1 << 16, 1 << 29, 3
+#: A length is a limit of a source if this share of the source's cut texts, and at least PEAK, were cut there, PEAK times as many as at
+#: the two lengths before and after it, and most of the unfinished texts of that length. All but PEAK are ratios, so size plays no part.
+LIMIT_SHARE, PEAK = 0.1, 3
+#: Keys with more than this share of all tails are joined by broadcast.
+HOT_SHARE = 0.001
 
 CJK = "぀-ヿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"[{CJK}]|[0-9]+|[^\W0-9{CJK}]+|\.\.\.|[^\s\w]")
@@ -43,19 +53,19 @@ ENDS = frozenset([".", "!", "?", "。", "！", "？", "…", "..."])
 CLOSERS = "\"'”’»›)]}*_）】」』"
 OPENERS = ",;:(-–—/[{、，；：（¿¡“„«‘‚‹"
 MARK = re.compile(r"(?:\s*(?:\.\.\.|…|\[[^\]\n]{1,12}\]))+$")
+IDEOGRAM = re.compile(f"[{CJK}]")
 INVISIBLE = re.compile("[​-‏⁠-⁤﻿­]+")
 APART = re.compile(r"(?<=[.!?。！？…\"'`])[ \t]+(?=[—–] |- )")
-KINDS = (
-    (1, re.compile(r"\s*(?:[-*+•]|[0-9]{1,3}[.)])\s")),
-    (2, re.compile(r"\s*(?:—|–|--)\s?")),
-    (3, re.compile(r"\s*[\w ]{1,30}:(?:\s+\S+){0,3}\s*$")),
-    (4, re.compile(r"\s*#{1,6}\s")),
-)
+# lists, signatures, key-value pairs, headings: the number of the group is the kind
+KINDS = re.compile(r"\s*(?:((?:[-*+•]|[0-9]{1,3}[.)])\s)|((?:—|–|--)\s?)|([\w ]{1,30}:(?:\s+\S+){0,3}\s*$)|(#{1,6}\s))")
 PROSE, TITLE, NEWLINE = 0, 5, "\n"
 TITLE_TOKENS = 12
 
+#: The multipliers of the hashes.
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_LETTER = 0x2545F4914F6CDD1D
+_WRAP = (1 << 64) - 1
 _KEPT: dict[str, int] = {}
 
 
@@ -71,17 +81,36 @@ def _hash(s: str) -> int:
     return h
 
 
-def _tokens(text: str) -> tuple[list[str], list[int]]:
-    """Tokens in lower case and their kinds."""
+def _powers(n: int, base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.full(max(n, 1), base, dtype=np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+
+def _prefix_sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the text up to and with each character, all texts in a row; where each begins; how long each is)."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    at = np.arange(len(code)) - np.repeat(begin, size)
+    with np.errstate(over="ignore"):
+        total = np.cumsum(code * _powers(int(size.max(initial=1)), _LETTER)[at], dtype=np.uint64)
+        before = np.concatenate([np.zeros(1, dtype=np.uint64), total])[begin]
+        return total - np.repeat(before, size), begin, size
+
+
+def _tokens(text: str, first: bool = True) -> tuple[list[str], list[int]]:
+    """Tokens in lower case and their kinds. first: whether no line with tokens precedes."""
     toks, kinds = [NEWLINE], [PROSE]
-    first = True
     for raw in text.lower().splitlines():
         dashed = "— " in raw or "– " in raw or "- " in raw
         for line in APART.split(raw) if dashed else (raw,):
             found = TOKEN.findall(line)
             if not found:
                 continue
-            kind = next((k for k, p in KINDS if p.match(line)), PROSE)
+            m = KINDS.match(line)
+            kind = m.lastindex if m else PROSE
             if kind == PROSE and first and len(found) <= TITLE_TOKENS and found[-1] not in ENDS:
                 kind = TITLE
             kinds += [kind] * len(found)
@@ -94,13 +123,33 @@ def _tokens(text: str) -> tuple[list[str], list[int]]:
     return toks, kinds
 
 
+def _tail(body: str) -> tuple[list[str], int]:
+    """At least the last 12 tokens of a text (all, if there are fewer) and the kind of the last."""
+    lines = body.splitlines()
+    n = 2
+    while True:
+        own, before = lines[-n:], lines[:-n]
+        toks, kinds = _tokens("\n".join(own), not any(TOKEN.search(x) for x in before))
+        if len(toks) > max(ORDERS) or not before:
+            return toks, kinds[-1]
+        n *= 2
+
+
 def split_end(text: str) -> tuple[str, bool, bool]:
     """The text without blanks, invisible characters and marks of omission at its end; whether it had a mark; broken."""
     s = text.rstrip() if text.isascii() else INVISIBLE.sub("", text).rstrip()
     broken = s.endswith("�")
     s = s.rstrip("�").rstrip()
-    m = MARK.search(s)
-    return (s[: m.start()].rstrip() if m else s), m is not None, broken
+    if not s or s[-1] not in ".…]":
+        return s, False, broken
+    n = 64
+    while True:  # marks lie at the end, so only that is searched
+        at = max(0, len(s) - n)
+        m = MARK.search(s[at:])
+        if m and m.start() == 0 and at:
+            n *= 2
+            continue
+        return (s[: at + m.start()].rstrip() if m else s), m is not None, broken
 
 
 def _finish(g: np.ndarray, n: int, kind) -> np.ndarray:
@@ -108,117 +157,177 @@ def _finish(g: np.ndarray, n: int, kind) -> np.ndarray:
     return k ^ (k >> np.uint64(29))
 
 
-def tail_keys(toks: list[str], kind: int) -> tuple[list[int], list[int]]:
-    """Hashes of the last windows, by ORDERS; and by PREFIX_ORDERS those whose last word may go on (0: no such window)."""
+def _stem(letters: np.ndarray | int, length: np.ndarray | int) -> np.ndarray:
+    """Hash of a word's beginning from the sum of its letters."""
+    return _finish(np.asarray(letters, dtype=np.uint64), STEM, length)
+
+
+def tail_keys(toks: list[str], kind: int, stem: int = 0) -> tuple[list[int], list[int]]:
+    """Hashes of the last windows, by ORDERS; and by PREFIX_ORDERS those whose last word, of hash ``stem``, may go on (0: no such window)."""
     h = [_hash(t) for t in toks[-max(ORDERS) :]][::-1]
     sums, total, p = [], 0, 1
-    mask = (1 << 64) - 1
     for x in h:
-        total = (total + x * p) & mask
+        total = (total + x * p) & _WRAP
         sums.append(total)
-        p = (p * int(_P)) & mask
-    key = lambda g, n: int(np.int64(_finish(np.array([g], dtype=np.uint64), n, kind)[0].astype(np.int64)))
+        p = (p * int(_P)) & _WRAP
     with np.errstate(over="ignore"):
-        follow = [key(sums[n - 1], n) if n <= len(sums) else 0 for n in ORDERS]
-        word = toks[-1]
-        part = []
-        for n in PREFIX_ORDERS:
-            if n > len(sums) or not word[0].isalpha() or re.match(f"[{CJK}]", word):
-                part.append(0)
-            else:
-                g = (sums[n - 1] - h[0] + _hash("<" + word)) & mask
-                part.append(key(g, 100 + n))
+        known = [n for n in ORDERS if n <= len(sums)]
+        keys = _finish(np.array([sums[n - 1] for n in known], dtype=np.uint64), np.array(known, dtype=np.uint64), kind)
+        follow = keys.astype(np.int64).tolist() + [0] * (len(ORDERS) - len(known))
+        letters = [n for n in PREFIX_ORDERS if n <= len(sums) and stem]
+        keys = _finish(np.array([(sums[n - 1] - h[0] + stem) & _WRAP for n in letters], dtype=np.uint64), np.array([LETTERS + n for n in letters], dtype=np.uint64), kind)
+        part = keys.astype(np.int64).tolist() + [0] * (len(PREFIX_ORDERS) - len(letters))
     return follow, part
 
 
+def _stems(words: list[str]) -> list[int]:
+    """Hashes of whole words as beginnings of longer ones; 0 for what isn't a word of letters."""
+    ok = [bool(w) and w[0].isalpha() and not IDEOGRAM.match(w) for w in words]
+    sums, begin, size = _prefix_sums([w if k else "" for w, k in zip(words, ok)])
+    with np.errstate(over="ignore"):
+        return [int(_stem(sums[b + n - 1], n)) if k else 0 for b, n, k in zip(begin, size, ok)]
+
+
+def _values(texts: list[str]) -> list[tuple[int, int]]:
+    """Of each text of WHOLE or more characters the keys of its first WHOLE characters and of all; (0, 0) for others."""
+    long = [t if len(t) >= WHOLE else "" for t in texts]
+    sums, begin, size = _prefix_sums(long)
+    with np.errstate(over="ignore"):
+        at = begin[size > 0]
+        first = _finish(sums[at + WHOLE - 1], VALUE, WHOLE).astype(np.int64)
+        whole = _finish(sums[at + size[size > 0] - 1], VALUE + 1, size[size > 0].astype(np.uint64)).astype(np.int64)
+    got = iter(zip(first.tolist(), whole.tolist()))
+    return [next(got) if n else (0, 0) for n in size]
+
+
+ENDING = (
+    "doc_id bigint, source string, n_chars bigint, n_bytes bigint, mark boolean, rule int, kind int, twin bigint, "
+    "body int, first bigint, value bigint, stem bigint, follow array<bigint>, part array<bigint>, prose array<bigint>"
+)
+
+
 def endings(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_chars, n_bytes, mark, rule, kind, twin, follow, part, prose of every text without a proper end.
+    """A row (see ENDING) for every text without a proper end.
 
     rule: 1 cut for certain (broken character, open code block), 0 to be asked. Null, empty and blank texts, and texts with
     a proper end (a final stop, perhaps before closing signs or a mark; a closed code block; a sign such as an
-    emoji) give no row. ``twin`` is a hash of the text's last part, the same for copies.
+    emoji) give no row. ``twin`` is a hash of the text's last part, the same for copies; ``body`` the length without marks of omission, ``first``
+    and ``value`` the keys of its first characters and of all.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, bodies, words = [], [], []
             for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
                 if not isinstance(text, str):
                     continue
                 body, mark, broken = split_end(text)
                 if not body:
                     continue
-                toks, kinds = _tokens(body)
-                last = toks[-1]
                 rule = 1 if broken or body.count("```") % 2 else 0
                 if not rule:
                     bare = body.rstrip(CLOSERS)
-                    if body.endswith("```") or last in ENDS or (bare and bare[-1] in ENDS):
+                    if body.endswith("```") or body[-1] in ENDS or (bare and bare[-1] in ENDS):
                         continue
-                    if not (last[0].isalnum() or "_" in last or last in OPENERS or last in CLOSERS):
-                        continue
-                if len(toks) < 2:
+                toks, kind = _tail(body)
+                last = toks[-1]
+                if len(toks) < 2 or not (rule or last[0].isalnum() or "_" in last or last in OPENERS or last in CLOSERS):
                     continue
-                follow, part = tail_keys(toks, kinds[-1])
+                bodies.append(body)
+                words.append(last)
+                twin = int(np.uint64(xxhash.xxh64_intdigest(body[-200:].encode("utf-8", "surrogatepass"))).astype(np.int64))
+                out.append((doc_id, source, len(text), len(text.encode("utf-8", "surrogatepass")), mark, rule, kind, twin, len(body), toks))
+            rows = []
+            for (*own, toks), stem, (first, value) in zip(out, _stems(words), _values(bodies)):
+                kind = own[6]
+                follow, part = tail_keys(toks, kind, stem)
                 # what looks like a title may be a first sentence that was cut, so it is held against prose as well
-                prose = tail_keys(toks, PROSE)[0] if kinds[-1] == TITLE else []
-                out.append((doc_id, source, len(text), len(text.encode("utf-8", "replace")), mark, rule, kinds[-1], int(np.uint64(xxhash.xxh64_intdigest(body[-200:])).astype(np.int64)), follow, part, prose))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "n_chars", "n_bytes", "mark", "rule", "kind", "twin", "follow", "part", "prose"])
+                prose = tail_keys(toks, PROSE)[0] if kind == TITLE else []
+                rows.append((*own, first, value, int(np.uint64(stem).astype(np.int64)), follow, part, prose))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENDING.split(", ")])
 
-    schema = "doc_id bigint, source string, n_chars bigint, n_bytes bigint, mark boolean, rule int, kind int, twin bigint, follow array<bigint>, part array<bigint>, prose array<bigint>"
-    return docs.select("doc_id", "source", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "source", "text").mapInPandas(run, ENDING)
 
 
 def bloom(keys: DataFrame, n: int) -> bytes:
-    """A Bloom filter with one hash function of a column key with about ``n`` values. Its size is bounded by BLOOM_MOST."""
-    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_PER_KEY * max(1, n)).bit_length()))
-    bit = F.col("key").bitwiseAND(F.lit(size - 1))
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((key & {size - 1}) % 64 as int))").alias("b"))
+    """A Bloom filter of a column key with about ``n`` values. Its size is bounded by BLOOM_MOST."""
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_PER_KEY * max(1, n) - 1).bit_length()))
+    bits = F.array(*[F.expr(f"shiftright(key, {21 * i}) & {size - 1}") for i in range(BLOOM_HASHES)])
+    words = keys.select(F.explode(bits).alias("bit")).select(F.shiftright("bit", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b"))
     rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BLOOM_MOST / 64 rows
     out = np.zeros(size // 64, dtype=np.uint64)
     out[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).astype(np.uint64)
     return out.view(np.uint8).tobytes()
 
 
-def window_counts(docs: DataFrame, filter_bits: bytes) -> DataFrame:
-    """key, n_on, n_end, n_all: how often a window goes on with more text, ends, or occurs, inside of texts.
+def _kept(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The positions of the keys that the filter lets pass."""
+    at = np.arange(len(keys))
+    signed, mask = keys.view(np.int64), np.int64(8 * len(bits) - 1)
+    for i in range(BLOOM_HASHES):
+        b = (signed[at] >> np.int64(21 * i)) & mask
+        at = at[(bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def window_counts(docs: DataFrame, filter_bits: bytes, lengths: np.ndarray) -> DataFrame:
+    """key, n_on, n_end, n_all: how often a window or value goes on with more text, ends, or occurs, inside of texts.
 
-    For the keys of ``part``: how often the word goes on with more letters (n_on). Counted per batch before any shuffle.
+    For the keys of ``part``: how often the word goes on with more letters (n_on). lengths: whether an unfinished value has that
+    many characters. Counted per batch before any shuffle.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(filter_bits)
+    shared = sc.broadcast((filter_bits, lengths))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(shared.value, dtype=np.uint8)
+        packed, lengths = shared.value
+        bits = np.frombuffer(packed, dtype=np.uint8)
         for pdf in batches:
             texts = [t for t in pdf["text"] if isinstance(t, str)]
             for a, b in pieces(texts):
-                yield _count(texts[a:b], bits)
+                yield _count(texts[a:b], bits, lengths)
 
-    return docs.select("text").mapInPandas(run, "key bigint, n_on bigint, n_end bigint, n_all bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_on", "n_end", "n_all")])
+    return docs.select("text").mapInPandas(run, "key bigint, n_on bigint, n_end bigint, n_all bigint")
 
 
-def _kept(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    b = keys & np.uint64(8 * len(bits) - 1)
-    return (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _count(texts: list[str], bits: np.ndarray) -> pd.DataFrame:
+def _longer_values(texts: list[str], bits: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, whether the value goes on in its line, whether it ends there) of the beginnings of texts that are asked for."""
+    long = [t for t in texts if len(t) > WHOLE]
+    if not long or not lengths.any():
+        return
+    with np.errstate(over="ignore"):
+        sums, begin, size = _prefix_sums([t[:WHOLE] for t in long])
+        own = _kept(_finish(sums[begin + size - 1], VALUE, WHOLE), bits)
+        if not len(own):
+            return
+        long = [long[i] for i in own]
+        sums, begin, size = _prefix_sums(long)
+        n = np.arange(len(sums)) - np.repeat(begin, size) + 1
+        ok = np.flatnonzero((n < np.repeat(size, size)) & lengths[np.minimum(n, len(lengths) - 1)] & (n < len(lengths)))
+        keys = _finish(sums[ok], VALUE + 1, n[ok].astype(np.uint64))
+        hit = _kept(keys, bits)
+    which = np.searchsorted(begin, ok[hit], side="right") - 1
+    rest = [long[t][k : k + 40].lstrip(" \t") for t, k in zip(which, n[ok[hit]])]
+    ends = np.array([not r or r[0] in ENDS or r[0] in "\r\n" for r in rest], dtype=bool)
+    yield keys[hit], ~ends, ends
+
+
+def _count(texts: list[str], bits: np.ndarray, lengths: np.ndarray) -> pd.DataFrame:
     flat: list[str] = []
     kinds: list[int] = []
-    lengths = []
+    sizes = []
     for t in texts:
         body, _, _ = split_end(t)
         a, k = _tokens(body)
         flat += a
         kinds += k
-        lengths.append(len(a))
+        sizes.append(len(a))
     n = len(flat)
     codes, words = pd.factorize(np.array(flat, dtype=object))
     hashes = np.array([_hash(w) for w in words], dtype=np.uint64)[codes]
-    pos = np.arange(n) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
+    pos = np.arange(n) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
     last = np.zeros(n, dtype=bool)
-    last[np.cumsum(lengths) - 1] = True
+    last[np.cumsum(sizes) - 1] = True
     kind = np.array(kinds, dtype=np.uint64)
     is_end = np.array([w in ENDS for w in words])[codes]
     is_line = np.array([w == NEWLINE for w in words])[codes]
@@ -226,7 +335,7 @@ def _count(texts: list[str], bits: np.ndarray) -> pd.DataFrame:
     ends = is_end[nxt] | (is_line[nxt] & (kind != PROSE))
     on = ~is_end[nxt] & ~is_line[nxt]
     inner = ~last & ~is_line  # the last token's follower is the end of the text; that is counted from the endings
-    keys, got_on, got_end = [], [], []
+    found = list(_longer_values(texts, bits, lengths))
     g = np.zeros(n, dtype=np.uint64)
     sums = {}
     with np.errstate(over="ignore"):
@@ -241,97 +350,117 @@ def _count(texts: list[str], bits: np.ndarray) -> pd.DataFrame:
                 ok = np.flatnonzero(inner & (pos >= m - 1))
                 k = _finish(g[ok], m, kind[ok])
                 hit = _kept(k, bits)
-                keys.append(k[hit])
-                got_on.append(on[ok][hit])
-                got_end.append(ends[ok][hit])
-        # strict prefixes of words
-        stems = [[_hash("<" + w[:i]) for i in range(1, len(w))] if len(w) > 1 and w[0].isalpha() else [] for w in words]
-        size = np.array([len(s) for s in stems])
-        begin = np.cumsum([0, *size[:-1]])
-        stem = np.array([x for s in stems for x in s], dtype=np.uint64)
+                found.append((k[hit], on[ok][hit], ends[ok][hit]))
+        # beginnings of words: first those with which some text ends, then their windows
+        plain = [w if w[0].isalpha() and len(w) > 1 else "" for w in words]
+        letters, begin, size = _prefix_sums(plain)
+        word = np.repeat(np.arange(len(words)), size)
+        length = np.arange(len(letters)) - np.repeat(begin, size) + 1
+        ok = np.flatnonzero(length < size[word])
+        stem = _stem(letters[ok], length[ok].astype(np.uint64))
+        hit = _kept(stem, bits)
+        stem, word = stem[hit], word[ok[hit]]
+        many = np.bincount(word, minlength=len(words))
+        begin = np.cumsum(many) - many
         for m in PREFIX_ORDERS:
-            ok = np.flatnonzero((pos >= m - 1) & (size[codes] > 0))
+            ok = np.flatnonzero((pos >= m - 1) & (many[codes] > 0))
             if not len(ok):
                 continue
-            c = size[codes[ok]]
+            c = many[codes[ok]]
             rep = np.repeat(ok, c)
             at = np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[codes[ok]], c)
-            k = _finish(sums[m][rep] - hashes[rep] + stem[at], 100 + m, kind[rep])
+            k = _finish(sums[m][rep] - hashes[rep] + stem[at], LETTERS + m, kind[rep])
             hit = _kept(k, bits)
-            keys.append(k[hit])
-            got_on.append(np.ones(int(hit.sum()), dtype=bool))
-            got_end.append(np.zeros(int(hit.sum()), dtype=bool))
-    key = np.concatenate(keys).astype(np.int64)
-    u, inv, every = np.unique(key, return_inverse=True, return_counts=True)
-    return pd.DataFrame(
-        {
-            "key": u,
-            "n_on": np.bincount(inv, np.concatenate(got_on), len(u)).astype(np.int64),
-            "n_end": np.bincount(inv, np.concatenate(got_end), len(u)).astype(np.int64),
-            "n_all": every,
-        }
-    )
+            found.append((k[hit], np.ones(len(hit), dtype=bool), np.zeros(len(hit), dtype=bool)))
+    key, goes, stops = (np.concatenate(x) for x in zip(*found))
+    u, inv, every = np.unique(key.view(np.int64), return_inverse=True, return_counts=True)
+    sum_of = lambda x: np.bincount(inv, x, len(u)).astype(np.int64)
+    return pd.DataFrame({"key": u, "n_on": sum_of(goes), "n_end": sum_of(stops), "n_all": every})
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, why (rule, word, sentence, limit) of each text that was cut off.
+def _facts(docs: DataFrame, tails: DataFrame, filter_bits: bytes, lengths: np.ndarray) -> DataFrame:
+    """key, n_on, n_end, n_all, n_tails: of each key that was asked for; n_tails is how many texts end with it, copies once."""
+    zero = [F.lit(0).cast("long").alias(c) for c in ("n_on", "n_end", "n_all")]
+    alike = tails.where(F.col("n") < LETTERS).select("key", "twin").distinct().select("key", *zero, F.lit(1).cast("long").alias("n_tails"))
+    inside = window_counts(docs, filter_bits, lengths).withColumn("n_tails", F.lit(0).cast("long"))
+    return inside.unionByName(alike).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_on", "n_end", "n_all", "n_tails")])
+
 
-    Ties go to the text: as many occurrences that end as go on mean that it was complete. A tail seen nowhere else was
-    cut if it is prose, complete if it is a list, heading, signature or first line. Copies of the text itself count once.
-    Extra columns are ignored; a null source is a source of its own.
+def _seen(tails: DataFrame, facts: DataFrame) -> DataFrame:
+    """tails with the facts of their keys. Keys that very many texts end with are joined by broadcast, so they fill no task."""
+    hot = F.broadcast(heavy_candidates(tails, "key", HOT_SHARE))  # at most 2 / HOT_SHARE keys
+    facts = materialise(facts, "facts")
+    few = F.broadcast(facts.join(hot, "key", "left_semi"))
+    return tails.join(hot, "key", "left_semi").join(few, "key").unionByName(tails.join(hot, "key", "left_anti").join(facts, "key"))
+
+
+def _told(seen: DataFrame) -> DataFrame:
+    """row, why (prefix, word or sentence): the texts whose tails go on elsewhere.
+
+    Ties go to the text: as many occurrences that end as go on mean that it was complete.
     """
-    ends = materialise(endings(docs), "endings")
-    asked = ends.where("rule = 0")
-    numbers = F.array(*[F.lit(n) for n in (*ORDERS, *[100 + n for n in PREFIX_ORDERS], *[200 + n for n in ORDERS])])
-    every = F.arrays_zip(numbers.alias("n"), F.concat("follow", "part", "prose").alias("key"))
-    longest = F.element_at(F.array(*[F.lit(n) for n in ORDERS]), F.size(F.filter("follow", lambda k: k != 0)))
-    tails = asked.select("doc_id", "kind", "twin", longest.alias("longest"), F.inline(every)).toDF("doc_id", "kind", "twin", "longest", "n", "key").where("key is not null and key <> 0")
-    n = asked.agg(F.sum(F.size("follow") + F.size("part") + F.size("prose"))).first()[0] or 0
-    counts = window_counts(docs, bloom(tails.select("key"), n))
-    # how many other texts end in the same window; copies count once
-    alike = tails.where("n < 100").groupBy("key", "twin").agg(F.lit(1).alias("one")).groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n_tails"))
-    both = counts.join(alike, "key", "full")
-    seen = tails.join(both, "key", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    on, end, inside, others = zero("n_on"), zero("n_end"), zero("n_all"), zero("n_tails")
-    fact = F.struct("n", on.alias("on"), (end + others).alias("end"))
-    told_by = lambda low, least: F.max(F.when((F.col("n") >= low + least) & (F.col("n") < low + 100) & (on + end + others >= F.when((F.col("n") == low + 1) | ((F.col("n") == low + F.col("longest")) & (F.col("kind") != TITLE)), 1).otherwise(ENOUGH)), fact))
-    at = lambda n, c: F.sum(F.when(F.col("n") == n, c)).alias
-    per = seen.groupBy("doc_id", "kind").agg(
-        F.coalesce(told_by(0, F.when(F.col("kind") == TITLE, 2).otherwise(1)), told_by(200, 1)).alias("best"),
-        *[at(n, inside)(f"i{n}") for n in PREFIX_ORDERS],
-        *[at(100 + n, on)(f"p{n}") for n in PREFIX_ORDERS],
-    )
+    on, end = F.col("n_on"), F.col("n_end") + F.greatest(F.col("n_tails") - 1, F.lit(0))
+    longest = F.col("n") == F.col("longest")
+
+    def told_by(low: int, single: Column) -> Column:
+        least = F.when(single, 1).otherwise(ENOUGH)
+        return F.max(F.when((F.col("n") > low) & (F.col("n") < low + LETTERS) & (on + end >= least), F.struct("n", on.alias("on"), end.alias("end"))))
+
+    at = lambda n, c: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias
+    per = seen.groupBy("row").agg(
+        F.coalesce(told_by(0, longest & (F.col("kind") != TITLE)), told_by(AS_PROSE, F.lit(False))).alias("best"),
+        (at(VALUE + 1, "n_on")("value_on")), (at(VALUE + 1, "n_end")("value_end")),
+        *[at(n, "n_all")(f"i{n}") for n in PREFIX_ORDERS],
+        *[at(LETTERS + n, "n_on")(f"p{n}") for n in PREFIX_ORDERS],
+    )
     word = F.lit(None).cast("boolean")
     for n in sorted(PREFIX_ORDERS, reverse=True):
-        i, p = F.coalesce(F.col(f"i{n}"), F.lit(0)), F.coalesce(F.col(f"p{n}"), F.lit(0))
+        i, p = F.col(f"i{n}"), F.col(f"p{n}")
         word = F.coalesce(word, F.when(i + p > 0, (i == 0) & (p > 0)))
-    word = F.coalesce(word, F.lit(False))
-    told = per.select(
-        "doc_id",
-        F.when(word, F.lit("word"))
-        .when(F.col("best").isNull(), F.when(F.col("kind") == PROSE, F.lit("sentence")))
-        .when(F.col("best.on") > F.col("best.end"), F.lit("sentence"))
-        .alias("why"),
-    )
-    all_ends = ends.join(told, "doc_id", "left").withColumn("why", F.when(F.col("rule") == 1, F.lit("rule")).otherwise(F.col("why")))
-    return _limits(all_ends, docs)
-
-
-def _limits(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    goes_on = F.col("best.on") > F.col("best.end")
+    why = F.when(F.col("value_on") > F.col("value_end"), F.lit("prefix")).when(word, F.lit("word")).when(goes_on, F.lit("sentence"))
+    return per.select("row", why.alias("why")).where("why is not null")
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, source, why of each text that was cut off.
+
+    why: prefix (a longer copy of the whole value goes on), word or sentence (the longest known window does, inside the last word
+    or after it), limit (it ends at the length at which its source cuts), rule (a broken character or an open code block at its end). Copies
+    of the text itself count once. Extra columns are ignored; a null source is a source of its own.
+    """
+    ends = materialise(endings(docs).withColumn("row", F.monotonically_increasing_id()), "endings")
+    asked = ends.where("rule = 0")
+    numbers = F.array(*[F.lit(n) for n in (*ORDERS, *[LETTERS + n for n in PREFIX_ORDERS], VALUE + 1, *[AS_PROSE + n for n in ORDERS])])
+    every = F.arrays_zip(numbers.alias("n"), F.concat("follow", "part", F.array("value"), "prose").alias("key"))
+    longest = F.element_at(F.array(*[F.lit(n) for n in ORDERS]), F.greatest(F.size(F.filter("follow", lambda k: k != 0)), F.lit(1)))
+    tails = asked.select("row", "kind", "twin", longest.alias("longest"), F.inline(every)).toDF("row", "kind", "twin", "longest", "n", "key")
+    tails = materialise(tails.where("key is not null and key <> 0"), "tails")
+    keys = tails.select("key").unionByName(asked.select(F.explode(F.array("stem", "first")).alias("key")).where("key <> 0"))
+    body = asked.where("value <> 0").select("body").distinct().toPandas()["body"].to_numpy(dtype=np.int64)  # lengths, as many as a text may have
+    lengths = np.zeros(int(body.max(initial=0)) + 1, dtype=bool)
+    lengths[body] = True
+    n = keys.agg(F.approx_count_distinct("key", 0.01)).first()[0]
+    told = _told(_seen(tails, _facts(docs, tails, bloom(keys, n), lengths)))
+    all_ends = materialise(ends.join(told, "row", "left").withColumn("why", F.when(F.col("rule") == 1, F.lit("rule")).otherwise(F.col("why"))).select("doc_id", "source", "n_chars", "n_bytes", "mark", "kind", "why"), "told")
+    discard(ends, tails)
+    return _limits(all_ends)
+
+
+def _limits(ends: DataFrame) -> DataFrame:
     """Adds the texts that end in prose, without a mark of omission, and are exactly as long as a limit of their source."""
-    source = F.coalesce("source", F.lit("\0"))
-    ends = ends.withColumn("_s", source)
-    sizes = docs.groupBy(source.alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    ends = ends.withColumn("_s", F.coalesce("source", F.lit("\0")))
     long = ends.select("_s", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("b").alias("unit"), F.col("n_bytes").alias("length")))).alias("l"), F.col("why").isNotNull().alias("cut"))
     peaks = long.groupBy("_s", F.col("l.unit").alias("unit"), F.col("l.length").alias("length")).agg(F.sum(F.col("cut").cast("int")).alias("k"), F.count(F.lit(1)).alias("m"))
     around = F.sum("k").over(Window.partitionBy("_s", "unit").orderBy("length").rangeBetween(-2, 2))  # over the lengths that occur
-    peaks = peaks.withColumn("others", around - F.col("k")).where(F.col("k") >= LIMIT_PEAK * F.col("others"))
-    peaks = peaks.join(sizes, "_s").where((F.col("k") >= LIMIT_TEXTS) & (F.col("k") >= LIMIT_SHARE * F.col("n")) & (F.col("k") * 2 > F.col("m")))
-    # at most 1 / LIMIT_SHARE lengths in each unit for a source
-    peaks = peaks.groupBy("_s").agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
-    out = ends.join(peaks, "_s", "left")
-    here = F.exists("limits", lambda x: F.when(x["unit"] == "c", x["length"] == F.col("n_chars")).otherwise((F.col("n_bytes") <= x["length"]) & (F.col("n_bytes") > x["length"] - 4)))
+    cuts = F.sum("k").over(Window.partitionBy("_s", "unit"))
+    peaks = peaks.withColumn("others", around - F.col("k")).withColumn("cuts", cuts).where((F.col("k") >= PEAK) & (F.col("k") >= LIMIT_SHARE * F.col("cuts")) & (F.col("k") >= PEAK * F.col("others")) & (F.col("k") * 2 > F.col("m")))
+    units = {u: peaks.where(F.col("unit") == u).select("_s", F.col("length").alias(f"n_{w}"), F.lit(True).alias(f"at_{u}")) for u, w in (("c", "chars"), ("b", "limit"))}
+    # a limit in bytes may leave up to three bytes of a character unused
+    cases = F.explode(F.sequence(F.col("n_bytes"), F.col("n_bytes") + 3))
+    near = ends.select("_s", "n_bytes").distinct().select("_s", "n_bytes", cases.alias("n_limit")).join(units["b"], ["_s", "n_limit"]).select("_s", "n_bytes", "at_b").distinct()
+    out = ends.join(units["c"], ["_s", "n_chars"], "left").join(near, ["_s", "n_bytes"], "left")
+    here = F.coalesce("at_c", "at_b", F.lit(False))
     out = out.withColumn("why", F.coalesce("why", F.when(here & ~F.col("mark") & (F.col("kind") == PROSE), F.lit("limit"))))
     return out.where("why is not null").select("doc_id", "source", "why")
 

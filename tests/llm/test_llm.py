@@ -347,18 +347,89 @@ def test_one_longer_copy_is_enough(spark):
     assert {r.doc_id for r in cutoffs.cut_texts(df).collect()} & {2, 3, *range(10, 16)} == {2, 3}
 
 
+def test_a_value_that_goes_on_elsewhere_was_cut(spark):
+    whole = "Vor dem Umbau wurden die Messwerte der nordlichen Anlage mit denen des Archivs verglichen und neu geordnet"
+    title = "A heading of some length that stands above the text of a report"
+    texts = {1: whole + ", ehe sie gingen.", 2: whole, 3: whole[:-3] + "...", 4: whole[:40], 5: title, 6: title + "\n\nText below it.", 7: whole[:60] + "\n", 8: "x" + whole[:70], 9: whole + "."}
+    df = spark.createDataFrame([(i, t, None, 0, 0) for i, t in texts.items()] + [(2, whole, None, 0, 0)], DOC).repartition(3)
+    got = sorted((r.doc_id, r.why) for r in cutoffs.cut_texts(df).collect() if r.why == "prefix")
+    # 2 goes on in 1 and ends in 9: a tie goes to the text; 4 is too short for a whole value, 8 no beginning of another
+    assert got == [(3, "prefix"), (7, "prefix")]
+    longer = df.where("doc_id <> 9")
+    assert sorted(r.doc_id for r in cutoffs.cut_texts(longer).collect() if r.why == "prefix") == [2, 2, 3, 7]
+
+
+def test_values_against_brute_force():
+    rng = np.random.default_rng(15)
+    base = ["".join(rng.choice(list("ab c\n"), 300)) for _ in range(4)]
+    texts = [b[: rng.integers(1, 300)] for b in base for _ in range(40)]
+    values = cutoffs._values(texts)
+    lengths = np.zeros(301, dtype=bool)
+    lengths[[len(t) for t in texts]] = True
+    everything = np.full(1 << 10, 255, dtype=np.uint8)
+    found = {}
+    for keys, on, end in cutoffs._longer_values(texts, everything, lengths):
+        for k, a, b in zip(keys.view(np.int64).tolist(), on, end):
+            x = found.setdefault(k, [0, 0])
+            x[0] += a
+            x[1] += b
+    for t, (_, k) in zip(texts, values):
+        longer = [x[len(t) :].lstrip(" \t")[:1] for x in texts if len(x) > len(t) and x.startswith(t)]
+        stops = sum(c in ("", "\n") for c in longer)
+        assert (k == 0) == (len(t) < cutoffs.WHOLE) and (k == 0 or found.get(k, [0, 0]) == [len(longer) - stops, stops])
+
+
+def test_limits_of_a_source(spark):
+    ends = [(i, "a", 500, 500, False, 0, "word") for i in range(20)] + [(20 + i, "a", 300 + 7 * i, 300, False, 0, "word") for i in range(5)] + [(40, "a", 500, 500, False, 0, None), (41, "a", 500, 500, True, 0, None), (42, "b", 500, 500, False, 0, None), (43, "a", 307, 307, False, 0, None), (44, "a", 500, 500, False, 1, None)]
+    ends += [(60 + i, None, 250 - i % 3, 255 - i % 4, False, 0, "word") for i in range(12)] + [(80, None, 249, 253, False, 0, None)]
+    df = spark.createDataFrame(ends, "doc_id long, source string, n_chars long, n_bytes long, mark boolean, kind int, why string")
+    assert sorted(r.doc_id for r in cutoffs._limits(df).collect() if r.why == "limit") == [40]
+    assert cutoffs._limits(df.limit(0)).count() == 0
+
+
 def test_keys_of_tails_are_keys_of_windows():
     text = "One two three four five six seven eight nine ten eleven twelve"
-    toks, kinds = cutoffs._tokens(text)
-    follow, part = cutoffs.tail_keys(toks, cutoffs.PROSE)
-    everything = np.full(1 << 10, 255, dtype=np.uint8)
-    inside = cutoffs._count(["First line here.\n" + text + "s are there and more."], everything)
+    toks, kind = cutoffs._tail("Above.\n\n" + text)
+    assert toks[-13:] == [cutoffs.NEWLINE, *text.lower().split()] and kind == cutoffs.PROSE
+    stem = cutoffs._stems([toks[-1]])[0]
+    follow, part = cutoffs.tail_keys(toks, kind, stem)
+    everything, none = np.full(1 << 10, 255, dtype=np.uint8), np.zeros(1, dtype=bool)
+    inside = cutoffs._count(["First line here.\n" + text + "s are there and more."], everything, none)
     assert set(part) <= set(inside["key"]) and not set(follow) & set(inside["key"])
-    inside = cutoffs._count(["First line here.\n" + text + " and more."], everything)
+    inside = cutoffs._count(["First line here.\n" + text + " and more."], everything, none)
     assert set(follow) <= set(inside["key"])
     assert inside.set_index("key").loc[follow[-1], "n_on"] == 1
 
 
+def test_the_end_alone_gives_the_same_tail():
+    for text in [t for t in corpus() if t] + ["a", "- x", "Title only", "\n\nword", "one\n\n\n\n\ntwo three", " \n \n- a b\n— c d", "x " * 40 + "\n" * 9 + "Key: value"]:
+        body = cutoffs.split_end(text)[0]
+        toks, kinds = cutoffs._tokens(body)
+        own, kind = cutoffs._tail(body)
+        assert kind == kinds[-1] and own[-12:] == toks[-12:] and (len(own) > 12 or own == toks)
+
+
+def test_marks_of_omission_are_found_at_the_end_alone():
+    for text, want in {"a b...": ("a b", True), "a [more] …": ("a", True), "a. [x] b": ("a. [x] b", False), "...": ("", True), "a" + " ..." * 60: ("a", True), "x [not a mark, far too long] ": ("x [not a mark, far too long]", False), "end.": ("end.", False), "a. ...": ("a.", True)}.items():
+        assert cutoffs.split_end(text)[:2] == want
+        m = cutoffs.MARK.search(text.rstrip())
+        assert (text.rstrip()[: m.start()].rstrip() if m else text.rstrip()) == want[0]
+
+
+def test_the_filter_lets_pass_what_is_asked_for(spark):
+    keys = np.random.default_rng(16).integers(-(2**63), 2**63, 5000)
+    bits = np.frombuffer(cutoffs.bloom(spark.createDataFrame(pd.DataFrame({"key": keys[:2500]})), 2500), dtype=np.uint8)
+    passed = cutoffs._kept(keys.view(np.uint64), bits)
+    assert set(range(2500)) <= set(passed.tolist()) and len(passed) < 2600
+
+
+def test_hot_tails_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t + (" and then our tester reloaded the" if i % 5 == 0 else ""), "s", 0, 0) for i, t in enumerate(corpus())], DOC)
+    want = sorted(map(tuple, cutoffs.cut_texts(df).collect()))
+    monkeypatch.setattr(cutoffs, "HOT_SHARE", 0.9)
+    assert sorted(map(tuple, cutoffs.cut_texts(df).collect())) == want and want
+
+
 def test_the_subpackage_is_optional():
     import ast
     from pathlib import Path
