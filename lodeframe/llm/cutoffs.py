@@ -17,8 +17,10 @@ bounded size; false positives cost time only, as the join on the hash follows).
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,7 +55,6 @@ ENDS = frozenset([".", "!", "?", "。", "！", "？", "…", "..."])
 CLOSERS = "\"'”’»›)]}*_）】」』"
 OPENERS = ",;:(-–—/[{、，；：（¿¡“„«‘‚‹"
 MARK = re.compile(r"(?:\s*(?:\.\.\.|…|\[[^\]\n]{1,12}\]))+$")
-IDEOGRAM = re.compile(f"[{CJK}]")
 INVISIBLE = re.compile("[​-‏⁠-⁤﻿­]+")
 APART = re.compile(r"(?<=[.!?。！？…\"'`])[ \t]+(?=[—–] |- )")
 # lists, signatures, key-value pairs, headings: the number of the group is the kind
@@ -65,27 +66,19 @@ TITLE_TOKENS = 12
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LETTER = 0x2545F4914F6CDD1D
+_UNLETTER = pow(_LETTER, -1, 1 << 64)
 _WRAP = (1 << 64) - 1
-_KEPT: dict[str, int] = {}
-
-
-def _hash(s: str) -> int:
-    """Of a token; all numbers are alike."""
-    if s[0].isdigit():
-        s = "#"
-    h = _KEPT.get(s)
-    if h is None:
-        if len(_KEPT) > 200_000:
-            _KEPT.clear()
-        h = _KEPT[s] = xxhash.xxh64_intdigest(s)
-    return h
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(n: int, base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(max(n, 1), base, dtype=np.uint64)
+    """At least the first n powers."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
-        return np.multiply.accumulate(out)
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base]
 
 
 def _prefix_sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,39 +93,118 @@ def _prefix_sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return total - np.repeat(before, size), begin, size
 
 
-def _tokens(text: str, first: bool = True) -> tuple[list[str], list[int]]:
-    """Tokens in lower case and their kinds. first: whether no line with tokens precedes."""
-    toks, kinds = [NEWLINE], [PROSE]
+SPACE, LINE, SIGN, LETTERED, DIGITS, IDEOGRAPHIC = range(6)
+
+
+@functools.cache
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character its class, whether it is a digit of any script, whether it ends a sentence."""
+    chars = [chr(i) for i in range(0x110000)]
+    out = np.array([LETTERED if c.isalnum() or c == "_" else SPACE if c.isspace() else SIGN for c in chars], dtype=np.uint8)
+    out[ord("0") : ord("9") + 1] = DIGITS
+    out[ord("\n")] = LINE
+    out[0] = SPACE  # stands between texts
+    for m in re.finditer("(.)-(.)", CJK):
+        out[ord(m.group(1)) : ord(m.group(2)) + 1] = IDEOGRAPHIC
+    digit = np.array([c.isdigit() for c in chars])
+    ends = np.zeros(0x110000, dtype=bool)
+    ends[[ord(c) for c in ENDS if len(c) == 1]] = True
+    return out, digit, ends
+
+
+@dataclass
+class Tokens:
+    """The tokens of texts, all in a row; each text begins with a line break, and lines without tokens are left out."""
+
+    hash: np.ndarray
+    text: np.ndarray  # the number of the text
+    kind: np.ndarray  # of the token's line; PROSE for line breaks
+    is_end: np.ndarray
+    is_line: np.ndarray
+    begin: np.ndarray  # of its characters
+    size: np.ndarray  # in characters; 0 for what isn't a word of letters
+    sums: np.ndarray  # of the hashed characters before each, one more than there are
+
+    def stems(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``length`` characters of the tokens ``at``."""
+        b = self.begin[at]
+        letters = (self.sums[b + length] - self.sums[b]) * _powers(len(self.sums), _UNLETTER)[b]
+        return _finish(letters, STEM, length.astype(np.uint64))
+
+
+def _lines(text: str) -> list[str]:
+    """The lines of a text in lower case, those without tokens left out; what is signed in its line is two lines."""
+    out = []
     for raw in text.lower().splitlines():
-        dashed = "— " in raw or "– " in raw or "- " in raw
-        for line in APART.split(raw) if dashed else (raw,):
-            found = TOKEN.findall(line)
-            if not found:
-                continue
-            m = KINDS.match(line)
-            kind = m.lastindex if m else PROSE
-            if kind == PROSE and first and len(found) <= TITLE_TOKENS and found[-1] not in ENDS:
-                kind = TITLE
-            kinds += [kind] * len(found)
-            first = False
-            toks += found
-            toks.append(NEWLINE)
-            kinds.append(PROSE)
-    if toks[-1] == NEWLINE and len(toks) > 1:
-        toks.pop(), kinds.pop()
-    return toks, kinds
-
-
-def _tail(body: str) -> tuple[list[str], int]:
-    """At least the last 12 tokens of a text (all, if there are fewer) and the kind of the last."""
-    lines = body.splitlines()
-    n = 2
-    while True:
-        own, before = lines[-n:], lines[:-n]
-        toks, kinds = _tokens("\n".join(own), not any(TOKEN.search(x) for x in before))
-        if len(toks) > max(ORDERS) or not before:
-            return toks, kinds[-1]
-        n *= 2
+        if "— " in raw or "– " in raw or "- " in raw:
+            out += [x for x in APART.split(raw) if x.strip()]
+        elif raw.strip():
+            out.append(raw.replace("\0", " ") if "\0" in raw else raw)
+    return out
+
+
+def _kind(line: str) -> int:
+    m = KINDS.match(line)
+    return m.lastindex if m else PROSE
+
+
+def scan(texts: list[list[str]], whole: list[bool] | None = None) -> Tokens:
+    """The tokens of texts given as lines. whole: whether a text's first line is its first at all, and so may be a title."""
+    classes, digits, ends = _classes()
+    kinds = np.array([_kind(x) for t in texts for x in t] or [0], dtype=np.uint64)
+    flat = "\0".join("\n" + "\n".join(t) for t in texts)
+    code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    cls = classes[code]
+    is_line = cls == LINE
+    # a line break is a token, though a text without lines has but the one it begins with
+    before = np.concatenate([np.zeros(1, dtype=np.uint8), cls[:-1]])
+    start = (cls != SPACE) & ((cls != before) | (cls == SIGN) | (cls == IDEOGRAPHIC) | is_line)
+    dots = np.zeros(len(code), dtype=bool)
+    if "..." in flat:  # three dots are one token
+        for m in re.finditer(r"\.\.\.", flat):
+            start[m.start() + 1 : m.end()] = False
+            dots[m.start()] = True
+    with np.errstate(over="ignore"):
+        total = np.cumsum((code + np.uint64(1)) * _powers(len(code), _LETTER)[: len(code)], dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), total])
+    begin = np.flatnonzero(start)
+    # a token ends before the next, or where blanks begin
+    stop = np.flatnonzero(np.append((cls[1:] != cls[:-1]) | start[1:], True)) + 1 if len(code) else begin
+    end = stop[np.searchsorted(stop, begin, side="right")] if len(begin) else begin
+    three = dots[begin]
+    end = np.where(three, begin + 3, end)
+    first = code[begin]
+    c = cls[begin]
+    size = np.where((c == LETTERED) & ~digits[first] & (first != ord("_")), end - begin, 0)
+    with np.errstate(over="ignore"):
+        h = (sums[end] - sums[begin]) * _powers(len(sums), _UNLETTER)[begin]
+        h = _finish(np.where(digits[first], np.uint64(0), h), 0, np.where(digits[first], 0, end - begin).astype(np.uint64))
+    line = c == LINE
+    text = np.cumsum(code == 0)[begin] if len(begin) else begin
+    number = np.cumsum(line) - 1  # of the line, counted with the break before it
+    is_end = three | (ends[first] & (end - begin == 1))
+    # the first line of a text, if it is short prose without an end, is a title; a text without lines has one of its own here
+    lines = np.array([max(1, len(t)) for t in texts], dtype=np.int64)
+    own = np.zeros(int(lines.sum()), dtype=np.uint64)
+    own[np.repeat([len(t) > 0 for t in texts], lines)] = kinds[: sum(map(len, texts))]
+    count = np.bincount(number, minlength=len(own)) - 1
+    last = np.cumsum(count + 1) - 1
+    heads = np.cumsum(lines) - lines
+    if whole is not None:
+        heads = heads[np.array(whole, dtype=bool)]
+    titles = heads[(own[heads] == PROSE) & (count[heads] > 0) & (count[heads] <= TITLE_TOKENS) & ~is_end[last[heads]]]
+    own[titles] = TITLE
+    return Tokens(h, text, np.where(line, np.uint64(PROSE), own[number]), is_end, line, begin, size, sums)
+
+
+def _tail(lines: list[str]) -> tuple[list[str], bool]:
+    """The last lines of a text, with at least 12 tokens if it has so many; and whether they are all."""
+    n = len(lines)
+    k, tokens = n, 0
+    while k and tokens <= max(ORDERS):
+        k -= 1
+        tokens += 1 + len(TOKEN.findall(lines[k]))
+    return lines[k:], k == 0
 
 
 def split_end(text: str) -> tuple[str, bool, bool]:
@@ -157,37 +229,25 @@ def _finish(g: np.ndarray, n: int, kind) -> np.ndarray:
     return k ^ (k >> np.uint64(29))
 
 
-def _stem(letters: np.ndarray | int, length: np.ndarray | int) -> np.ndarray:
-    """Hash of a word's beginning from the sum of its letters."""
-    return _finish(np.asarray(letters, dtype=np.uint64), STEM, length)
-
-
-def tail_keys(toks: list[str], kind: int, stem: int = 0) -> tuple[list[int], list[int]]:
-    """Hashes of the last windows, by ORDERS; and by PREFIX_ORDERS those whose last word, of hash ``stem``, may go on (0: no such window)."""
-    h = [_hash(t) for t in toks[-max(ORDERS) :]][::-1]
+def tail_keys(t: Tokens, at: int, n: int, kind: int, stem: int) -> tuple[list[int], list[int]]:
+    """Hashes of the windows that end with the token ``at``, ``n`` tokens being there, by ORDERS; and by PREFIX_ORDERS those whose last word, of hash
+    ``stem``, may go on (0: no such window)."""
+    h = [int(x) for x in t.hash[at - min(n, max(ORDERS)) + 1 : at + 1][::-1]]
     sums, total, p = [], 0, 1
     for x in h:
         total = (total + x * p) & _WRAP
         sums.append(total)
         p = (p * int(_P)) & _WRAP
     with np.errstate(over="ignore"):
-        known = [n for n in ORDERS if n <= len(sums)]
-        keys = _finish(np.array([sums[n - 1] for n in known], dtype=np.uint64), np.array(known, dtype=np.uint64), kind)
+        known = [m for m in ORDERS if m <= len(sums)]
+        keys = _finish(np.array([sums[m - 1] for m in known], dtype=np.uint64), np.array(known, dtype=np.uint64), kind)
         follow = keys.astype(np.int64).tolist() + [0] * (len(ORDERS) - len(known))
-        letters = [n for n in PREFIX_ORDERS if n <= len(sums) and stem]
-        keys = _finish(np.array([(sums[n - 1] - h[0] + stem) & _WRAP for n in letters], dtype=np.uint64), np.array([LETTERS + n for n in letters], dtype=np.uint64), kind)
+        letters = [m for m in PREFIX_ORDERS if m <= len(sums) and stem]
+        keys = _finish(np.array([(sums[m - 1] - h[0] + stem) & _WRAP for m in letters], dtype=np.uint64), np.array([LETTERS + m for m in letters], dtype=np.uint64), kind)
         part = keys.astype(np.int64).tolist() + [0] * (len(PREFIX_ORDERS) - len(letters))
     return follow, part
 
 
-def _stems(words: list[str]) -> list[int]:
-    """Hashes of whole words as beginnings of longer ones; 0 for what isn't a word of letters."""
-    ok = [bool(w) and w[0].isalpha() and not IDEOGRAM.match(w) for w in words]
-    sums, begin, size = _prefix_sums([w if k else "" for w, k in zip(words, ok)])
-    with np.errstate(over="ignore"):
-        return [int(_stem(sums[b + n - 1], n)) if k else 0 for b, n, k in zip(begin, size, ok)]
-
-
 def _values(texts: list[str]) -> list[tuple[int, int]]:
     """Of each text of WHOLE or more characters the keys of its first WHOLE characters and of all; (0, 0) for others."""
     long = [t if len(t) >= WHOLE else "" for t in texts]
@@ -217,7 +277,7 @@ def endings(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, bodies, words = [], [], []
+            out, bodies, tails = [], [], []
             for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
                 if not isinstance(text, str):
                     continue
@@ -229,21 +289,27 @@ def endings(docs: DataFrame) -> DataFrame:
                     bare = body.rstrip(CLOSERS)
                     if body.endswith("```") or body[-1] in ENDS or (bare and bare[-1] in ENDS):
                         continue
-                toks, kind = _tail(body)
-                last = toks[-1]
-                if len(toks) < 2 or not (rule or last[0].isalnum() or "_" in last or last in OPENERS or last in CLOSERS):
+                lines, all_of_it = _tail(_lines(body))
+                last = TOKEN.findall(lines[-1])[-1] if lines else ""
+                if not last or not (rule or last[0].isalnum() or "_" in last or last in OPENERS or last in CLOSERS):
                     continue
                 bodies.append(body)
-                words.append(last)
+                tails.append((lines, all_of_it))
                 twin = int(np.uint64(xxhash.xxh64_intdigest(body[-200:].encode("utf-8", "surrogatepass"))).astype(np.int64))
-                out.append((doc_id, source, len(text), len(text.encode("utf-8", "surrogatepass")), mark, rule, kind, twin, len(body), toks))
+                out.append((doc_id, source, len(text), len(text.encode("utf-8", "surrogatepass")), mark, rule, twin, len(body)))
             rows = []
-            for (*own, toks), stem, (first, value) in zip(out, _stems(words), _values(bodies)):
-                kind = own[6]
-                follow, part = tail_keys(toks, kind, stem)
-                # what looks like a title may be a first sentence that was cut, so it is held against prose as well
-                prose = tail_keys(toks, PROSE)[0] if kind == TITLE else []
-                rows.append((*own, first, value, int(np.uint64(stem).astype(np.int64)), follow, part, prose))
+            if out:
+                t = scan([x for x, _ in tails], [x for _, x in tails])
+                size = np.bincount(t.text, minlength=len(out))
+                at = np.cumsum(size) - 1
+                with np.errstate(over="ignore"):
+                    stems = np.where(t.size[at] > 0, t.stems(at, t.size[at]), np.uint64(0))
+                for own, i, n, stem, (first, value) in zip(out, at, size, stems, _values(bodies)):
+                    kind = int(t.kind[i])
+                    follow, part = tail_keys(t, i, n, kind, int(stem))
+                    # what looks like a title may be a first sentence that was cut, so it is held against prose as well
+                    prose = tail_keys(t, i, n, PROSE, 0)[0] if kind == TITLE else []
+                    rows.append((*own[:6], kind, *own[6:], first, value, int(stem.astype(np.int64)), follow, part, prose))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENDING.split(", ")])
 
     return docs.select("doc_id", "source", "text").mapInPandas(run, ENDING)
@@ -313,54 +379,40 @@ def _longer_values(texts: list[str], bits: np.ndarray, lengths: np.ndarray) -> I
 
 
 def _count(texts: list[str], bits: np.ndarray, lengths: np.ndarray) -> pd.DataFrame:
-    flat: list[str] = []
-    kinds: list[int] = []
-    sizes = []
-    for t in texts:
-        body, _, _ = split_end(t)
-        a, k = _tokens(body)
-        flat += a
-        kinds += k
-        sizes.append(len(a))
-    n = len(flat)
-    codes, words = pd.factorize(np.array(flat, dtype=object))
-    hashes = np.array([_hash(w) for w in words], dtype=np.uint64)[codes]
-    pos = np.arange(n) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    t = scan([_lines(split_end(x)[0]) for x in texts])
+    n = len(t.hash)
+    sizes = np.bincount(t.text, minlength=len(texts))
+    pos = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     last = np.zeros(n, dtype=bool)
     last[np.cumsum(sizes) - 1] = True
-    kind = np.array(kinds, dtype=np.uint64)
-    is_end = np.array([w in ENDS for w in words])[codes]
-    is_line = np.array([w == NEWLINE for w in words])[codes]
+    hashes, kind = t.hash, t.kind
     nxt = np.append(np.arange(1, n), 0)
-    ends = is_end[nxt] | (is_line[nxt] & (kind != PROSE))
-    on = ~is_end[nxt] & ~is_line[nxt]
-    inner = ~last & ~is_line  # the last token's follower is the end of the text; that is counted from the endings
+    ends = t.is_end[nxt] | (t.is_line[nxt] & (kind != PROSE))
+    on = ~t.is_end[nxt] & ~t.is_line[nxt]
+    inner = ~last & ~t.is_line  # the last token's follower is the end of the text; that is counted from the endings
     found = list(_longer_values(texts, bits, lengths))
     g = np.zeros(n, dtype=np.uint64)
     sums = {}
     with np.errstate(over="ignore"):
         p = np.uint64(1)
         for m in range(1, max(ORDERS) + 1):
-            g = g.copy()
             g[m - 1 :] += hashes[: n - m + 1] * p
             p = p * _P
             if m in PREFIX_ORDERS:
-                sums[m] = g
+                sums[m] = g.copy()
             if m in ORDERS:
                 ok = np.flatnonzero(inner & (pos >= m - 1))
                 k = _finish(g[ok], m, kind[ok])
                 hit = _kept(k, bits)
                 found.append((k[hit], on[ok][hit], ends[ok][hit]))
         # beginnings of words: first those with which some text ends, then their windows
-        plain = [w if w[0].isalpha() and len(w) > 1 else "" for w in words]
-        letters, begin, size = _prefix_sums(plain)
-        word = np.repeat(np.arange(len(words)), size)
-        length = np.arange(len(letters)) - np.repeat(begin, size) + 1
-        ok = np.flatnonzero(length < size[word])
-        stem = _stem(letters[ok], length[ok].astype(np.uint64))
+        _, one, codes = np.unique(hashes, return_index=True, return_inverse=True)
+        size = np.maximum(t.size[one] - 1, 0)
+        word = np.repeat(np.arange(len(one)), size)
+        stem = t.stems(one[word], np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + 1)
         hit = _kept(stem, bits)
-        stem, word = stem[hit], word[ok[hit]]
-        many = np.bincount(word, minlength=len(words))
+        stem, word = stem[hit], word[hit]
+        many = np.bincount(word, minlength=len(one))
         begin = np.cumsum(many) - many
         for m in PREFIX_ORDERS:
             ok = np.flatnonzero((pos >= m - 1) & (many[codes] > 0))

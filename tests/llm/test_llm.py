@@ -387,12 +387,18 @@ def test_limits_of_a_source(spark):
     assert cutoffs._limits(df.limit(0)).count() == 0
 
 
+def keys_of_the_end(text):
+    lines, first = cutoffs._tail(cutoffs._lines(text))
+    t = cutoffs.scan([lines], [first])
+    at = len(t.hash) - 1
+    with np.errstate(over="ignore"):
+        stem = int(t.stems(np.array([at]), t.size[[at]])[0])
+    return cutoffs.tail_keys(t, at, len(t.hash), cutoffs.PROSE, stem)
+
+
 def test_keys_of_tails_are_keys_of_windows():
     text = "One two three four five six seven eight nine ten eleven twelve"
-    toks, kind = cutoffs._tail("Above.\n\n" + text)
-    assert toks[-13:] == [cutoffs.NEWLINE, *text.lower().split()] and kind == cutoffs.PROSE
-    stem = cutoffs._stems([toks[-1]])[0]
-    follow, part = cutoffs.tail_keys(toks, kind, stem)
+    follow, part = keys_of_the_end("Above.\n\n" + text)
     everything, none = np.full(1 << 10, 255, dtype=np.uint8), np.zeros(1, dtype=bool)
     inside = cutoffs._count(["First line here.\n" + text + "s are there and more."], everything, none)
     assert set(part) <= set(inside["key"]) and not set(follow) & set(inside["key"])
@@ -401,12 +407,46 @@ def test_keys_of_tails_are_keys_of_windows():
     assert inside.set_index("key").loc[follow[-1], "n_on"] == 1
 
 
+ODD = ["a", "- x", "Title only", "\n\nword", "one\n\n\n\n\ntwo three", " \n \n- a b\n— c d", "x " * 40 + "\n" * 9 + "Key: value", "", "  ", "....... a... b....c", "中文字 abc中d 12ab_3 _x ²³ ١٢", "1) first\n2. second\n# Head\n## y", "wait… — no - name\nA. — Bob", "\x00a\x85b\u2028c", "naïve café!?", "...", "a...\n...b"]
+
+
+def plain_tokens(text):
+    """(token, kind) one by one, as the arrays should have them."""
+    out, first = [("\n", 0)], True
+    for line in cutoffs._lines(text):
+        found = cutoffs.TOKEN.findall(line.replace("\0", " "))
+        kind = cutoffs._kind(line)
+        if kind == 0 and first and len(found) <= cutoffs.TITLE_TOKENS and found[-1] not in cutoffs.ENDS:
+            kind = cutoffs.TITLE
+        first = False
+        out += [(w, kind) for w in found] + [("\n", 0)]
+    return out[:-1] if len(out) > 1 else out
+
+
+def test_arrays_of_tokens_against_plain_ones():
+    texts = [t for t in corpus() if t] + ODD
+    t = cutoffs.scan([cutoffs._lines(x) for x in texts])
+    want = [(i, *w) for i, x in enumerate(texts) for w in plain_tokens(x)]
+    assert t.text.tolist() == [i for i, *_ in want] and t.kind.tolist() == [k for *_, k in want]
+    assert t.is_line.tolist() == [w == "\n" for _, w, _ in want] and t.is_end.tolist() == [w in cutoffs.ENDS for _, w, _ in want]
+    assert t.size.tolist() == [len(w) if w[0].isalpha() and len(cutoffs.TOKEN.findall(w[0] + "a")) == 1 else 0 for _, w, _ in want]
+    same = {}
+    for h, (_, w, _) in zip(t.hash.tolist(), want):
+        assert same.setdefault("0" if w[0].isdigit() else w, h) == h
+    assert len(set(same.values())) == len(same)
+    with np.errstate(over="ignore"):
+        at = np.flatnonzero(t.size > 2)
+        beginnings = dict(zip(t.stems(at, t.size[at] - 1).tolist(), [want[i][1][:-1] for i in at]))
+        whole = {want[i][1]: int(h) for i, h in zip(np.flatnonzero(t.size), t.stems(np.flatnonzero(t.size), t.size[t.size > 0]))}
+    assert all(whole.get(w, h) == h for h, w in beginnings.items())
+
+
 def test_the_end_alone_gives_the_same_tail():
-    for text in [t for t in corpus() if t] + ["a", "- x", "Title only", "\n\nword", "one\n\n\n\n\ntwo three", " \n \n- a b\n— c d", "x " * 40 + "\n" * 9 + "Key: value"]:
-        body = cutoffs.split_end(text)[0]
-        toks, kinds = cutoffs._tokens(body)
-        own, kind = cutoffs._tail(body)
-        assert kind == kinds[-1] and own[-12:] == toks[-12:] and (len(own) > 12 or own == toks)
+    for text in [t for t in corpus() if t] + ODD:
+        lines = cutoffs._lines(cutoffs.split_end(text)[0])
+        own, first = cutoffs._tail(lines)
+        a, b = cutoffs.scan([lines]), cutoffs.scan([own], [first])
+        assert a.kind[-1] == b.kind[-1] and a.hash[-12:].tolist() == b.hash[-12:].tolist() and (len(b.hash) > 12 or len(a.hash) == len(b.hash))
 
 
 def test_marks_of_omission_are_found_at_the_end_alone():
