@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm.leaks import pieces
-from lodeframe.operators.skew import heavy_candidates
 from lodeframe.sources.tables import discard, materialise
 
 #: Window lengths in tokens, and those at which the letters of a broken last word are compared.
@@ -350,7 +349,7 @@ def window_counts(docs: DataFrame, filter_bits: bytes, lengths: np.ndarray) -> D
         bits = np.frombuffer(packed, dtype=np.uint8)
         for pdf in batches:
             texts = [t for t in pdf["text"] if isinstance(t, str)]
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, 300):
                 yield _count(texts[a:b], bits, lengths)
 
     return docs.select("text").mapInPandas(run, "key bigint, n_on bigint, n_end bigint, n_all bigint")
@@ -431,19 +430,22 @@ def _count(texts: list[str], bits: np.ndarray, lengths: np.ndarray) -> pd.DataFr
 
 
 def _facts(docs: DataFrame, tails: DataFrame, filter_bits: bytes, lengths: np.ndarray) -> DataFrame:
-    """key, n_on, n_end, n_all, n_tails: of each key that was asked for; n_tails is how many texts end with it, copies once."""
-    zero = [F.lit(0).cast("long").alias(c) for c in ("n_on", "n_end", "n_all")]
-    alike = tails.where(F.col("n") < LETTERS).select("key", "twin").distinct().select("key", *zero, F.lit(1).cast("long").alias("n_tails"))
-    inside = window_counts(docs, filter_bits, lengths).withColumn("n_tails", F.lit(0).cast("long"))
-    return inside.unionByName(alike).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_on", "n_end", "n_all", "n_tails")])
+    """key, n_on, n_end, n_all, n_tails, n_rows: of each key that was asked for; n_tails is how many texts end with it, copies once, n_rows with
+    copies."""
+    numbers = ("n_on", "n_end", "n_all", "n_tails", "n_rows")
+    none = {c: F.lit(0).cast("long") for c in numbers}
+    alike = tails.groupBy("key", "twin").agg(F.max((F.col("n") < LETTERS).cast("long")).alias("n_tails"), F.count(F.lit(1)).alias("n_rows"))
+    alike = alike.withColumns({c: none[c] for c in numbers[:3]}).select("key", *numbers)
+    inside = window_counts(docs, filter_bits, lengths).withColumns({c: none[c] for c in numbers[3:]})
+    return inside.unionByName(alike).groupBy("key").agg(*[F.sum(c).alias(c) for c in numbers])
 
 
-def _seen(tails: DataFrame, facts: DataFrame) -> DataFrame:
-    """tails with the facts of their keys. Keys that very many texts end with are joined by broadcast, so they fill no task."""
-    hot = F.broadcast(heavy_candidates(tails, "key", HOT_SHARE))  # at most 2 / HOT_SHARE keys
-    facts = materialise(facts, "facts")
-    few = F.broadcast(facts.join(hot, "key", "left_semi"))
-    return tails.join(hot, "key", "left_semi").join(few, "key").unionByName(tails.join(hot, "key", "left_anti").join(facts, "key"))
+def _seen(tails: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` tails with the facts of their keys. Keys that very many texts end with are joined by broadcast, so they fill no task."""
+    facts = materialise(facts.where("n_rows > 0 and (n_all > 0 or n_tails > 1)"), "facts")
+    hot = F.broadcast(facts.where(F.col("n_rows") > HOT_SHARE * n))  # fewer than 1 / HOT_SHARE
+    rest = tails.join(hot.select("key"), "key", "left_anti").join(facts.where(F.col("n_rows") <= HOT_SHARE * n), "key")
+    return tails.join(hot, "key").unionByName(rest)
 
 
 def _told(seen: DataFrame) -> DataFrame:
@@ -492,8 +494,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     body = asked.where("value <> 0").select("body").distinct().toPandas()["body"].to_numpy(dtype=np.int64)  # lengths, as many as a text may have
     lengths = np.zeros(int(body.max(initial=0)) + 1, dtype=bool)
     lengths[body] = True
-    n = keys.agg(F.approx_count_distinct("key", 0.01)).first()[0]
-    told = _told(_seen(tails, _facts(docs, tails, bloom(keys, n), lengths)))
+    n = tails.count()
+    told = _told(_seen(tails, _facts(docs, tails, bloom(keys, n), lengths), n))
     all_ends = materialise(ends.join(told, "row", "left").withColumn("why", F.when(F.col("rule") == 1, F.lit("rule")).otherwise(F.col("why"))).select("doc_id", "source", "n_chars", "n_bytes", "mark", "kind", "why"), "told")
     discard(ends, tails)
     return _limits(all_ends)
