@@ -33,6 +33,8 @@ MAX_LEAVES = 20_000
 FAN_IN = 8
 #: The pass over what is left: nodes that all others are compared with at a time, and nodes per task aimed at.
 COMPARED, PER_TASK = 131_072, 4096
+#: Members of a cluster in a slice, when it is described.
+SLICE = 100_000
 SUMMARY = "n bigint, total array<double>"
 
 
@@ -219,29 +221,37 @@ def ward(n: np.ndarray, total: np.ndarray, limit: float = LIMIT) -> tuple[np.nda
 
 
 def _ward(n: np.ndarray, total: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Agglomeration by chains of nearest neighbours: for Ward's criterion they merge the pairs that the cheapest first would, and need the costs
+    of one summary at a time, not of all pairs."""
     n, total = n.astype(np.float64).copy(), total.astype(np.float64).copy()
     alive = np.ones(len(n), dtype=bool)
     mean = total / n[:, None]
     square = (mean * mean).sum(axis=1)
-
-    def costs(i: int) -> np.ndarray:
+    chain: list[int] = []
+    first = 0
+    while first < len(n):
+        if not alive[first]:
+            first += 1
+            continue
+        i = chain[-1] if chain else first
         s = mean @ mean[i]
-        c = np.where(alive & (s >= limit), n * n[i] / (n + n[i]) * (square + square[i] - 2 * s), np.inf)
-        c[i] = np.inf
-        return c
-
-    cost = np.stack([costs(i) for i in range(len(n))])
-    while True:
-        i, j = divmod(int(cost.argmin()), len(n))
-        if not np.isfinite(cost[i, j]):
-            return n[alive], total[alive]
-        n[i] += n[j]
-        total[i] += total[j]
-        alive[j] = False
-        cost[j, :] = cost[:, j] = np.inf
-        mean[i] = total[i] / n[i]
-        square[i] = mean[i] @ mean[i]
-        cost[i, :] = cost[:, i] = costs(i)
+        cost = np.where(alive & (s >= limit), n * n[i] / (n + n[i]) * (square + square[i] - 2 * s), np.inf)
+        cost[i] = np.inf
+        j = int(cost.argmin())
+        if not np.isfinite(cost[j]):  # only where a chain begins, as nearness is mutual; no merger brings others nearer, so it is done
+            chain = []
+            first += 1
+        elif len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+            j = chain[-2]
+            chain = chain[:-2]
+            n[i] += n[j]
+            total[i] += total[j]
+            alive[j] = False
+            mean[i] = total[i] / n[i]
+            square[i] = mean[i] @ mean[i]
+        else:
+            chain = [*chain, j] if chain else [i, j]
+    return n[alive], total[alive]
 
 
 def _centres(summaries: DataFrame, dim: int = DIM) -> Iterator[np.ndarray]:
@@ -290,7 +300,7 @@ def _apart(summaries: DataFrame, means: np.ndarray) -> DataFrame:
 
 
 def assign(nodes: DataFrame, means: np.ndarray, first: int = 0) -> DataFrame:
-    """nodes with cluster (null: none) and closeness, the average cosine to the cluster's summarised members.
+    """nodes with cluster (null: none), the summary to whose members the average cosine is largest.
 
     A node of a cluster has at least LIMIT on average; a node that has it is similar enough to some member.
     """
@@ -298,19 +308,17 @@ def assign(nodes: DataFrame, means: np.ndarray, first: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        unit_means = _units(m)
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["unit"].to_numpy())
             best, top = _nearest(x, m)
             ok = top >= LIMIT - 1e-6
-            close = (x * unit_means[best]).sum(axis=1)
             cluster = pd.array(np.where(ok, best + first, 0), dtype="Int64")
             cluster[~ok] = pd.NA
-            yield pd.DataFrame({"id": pdf["id"], "unit": pdf["unit"], "cluster": cluster, "closeness": close.astype(np.float64)})
+            yield pd.DataFrame({"id": pdf["id"], "unit": pdf["unit"], "cluster": cluster})
 
-    return nodes.select("id", "unit").mapInPandas(run, "id string, unit array<float>, cluster bigint, closeness double")
+    return nodes.select("id", "unit").mapInPandas(run, "id string, unit array<float>, cluster bigint")
 
 
 def _assigned(nodes: DataFrame, summaries: DataFrame, dim: int = DIM) -> tuple[list[DataFrame], DataFrame]:
@@ -371,34 +379,22 @@ def least_similar(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
     return reduce(DataFrame.union, map(step, range(steps))).groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
 
 
-def _compared(rest: DataFrame, size: int, dim: int) -> DataFrame:
-    """id, unit, cluster_id, size, closeness of the nodes that no summary took."""
-    kin = materialise(rest.join(least_similar(rest, size, dim), "id"), "kin")
-    total = F.array(*(F.sum(F.col("unit")[k].cast("double")) for k in range(dim)))
-    centres = kin.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), total.alias("total"))
-
-    def dot(a: str, b: str) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-
-    return kin.join(centres, "cluster_id").select("id", "unit", "cluster_id", "size", (dot("unit", "total") / F.sqrt(dot("total", "total"))).alias("closeness"))
-
-
 def clusters(nodes: DataFrame, dim: int = DIM) -> DataFrame:
-    """id, unit, cluster_id (the smallest id of the cluster), size, closeness of every usable node.
+    """id, unit, cluster_id (the smallest id of the cluster), size of every usable node.
 
     A node alone is a cluster of size 1 under its own id. Ties of closeness to two clusters go to the larger summary.
     """
     units = materialise(usable_nodes(nodes, dim), "units")
     first = partition_summaries(units, dim)
     parts, rest = _assigned(units, reduce_summaries(first, units.rdd.getNumPartitions(), dim), dim)
-    took = ["id", "unit", "cluster_id", "size", "closeness"]
     out = reduce(DataFrame.unionByName, parts) if parts else None
     if out is not None:
         groups = out.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
-        out = out.join(groups, "cluster").select(*took)
+        out = out.join(groups, "cluster").select("id", "unit", "cluster_id", "size")
     size = rest.count()
     if size or out is None:
-        single = _compared(rest, max(1, size), dim)
+        kin = materialise(rest.join(least_similar(rest, max(1, size), dim), "id"), "kin")
+        single = kin.join(kin.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")), "cluster_id").select("id", "unit", "cluster_id", "size")
         out = single if out is None else out.unionByName(single)
     return out
 
@@ -408,15 +404,25 @@ def found(nodes: DataFrame) -> DataFrame:
     return clusters(nodes).where("size >= 2").select("id", "cluster_id")
 
 
-def described(nodes: DataFrame, typical: int = 5) -> DataFrame:
+def described(nodes: DataFrame, typical: int = 5, dim: int = DIM) -> DataFrame:
     """cluster_id, size, rank, id, closeness: each cluster of two or more with its ``typical`` members nearest its centre.
 
-    Ties go to the smaller id. The members of a cluster are cut down per slice before they meet, so that a cluster
-    with most of the nodes is no burden.
+    closeness is the cosine to the mean of all members, rounded to four digits; ties go to the smaller id. A cluster meets its
+    centre, and is cut down to its best, in slices of SLICE members, so one with most of the nodes is no burden.
     """
-    rows = clusters(nodes).where("size >= 2").select("cluster_id", "size", "id", F.round("closeness", 6).alias("closeness"))
+    rows = materialise(clusters(nodes, dim).where("size >= 2"), "clusters")
+    total = F.array(*(F.sum(F.col("unit")[k].cast("double")) for k in range(dim)))
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    centres = rows.groupBy("cluster_id").agg(total.alias("total"), F.first("size").alias("_n"))
+    centres = centres.select("cluster_id", "total", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / SLICE).cast("int") - 1)).alias("_s"))
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+
+    near = rows.withColumn("_s", F.pmod(F.xxhash64("id"), slices).cast("int")).join(centres, ["cluster_id", "_s"])
+    length = F.sqrt(dot("total", "total") * dot("unit", "unit"))
+    near = near.select("cluster_id", "size", "_s", "id", F.round(F.when(length > 0, dot("unit", "total") / length).otherwise(F.lit(0.0)), 4).alias("closeness"))
     order = [F.col("closeness").desc(), F.col("id")]
-    sliced = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64)))
-    part = sliced.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id", "_s").orderBy(*order))).where(F.col("_r") <= typical)
+    part = near.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id", "_s").orderBy(*order))).where(F.col("_r") <= typical)
     ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).where(F.col("rank") <= typical)
     return ranked.select("cluster_id", "size", "rank", "id", "closeness")

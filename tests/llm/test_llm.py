@@ -66,6 +66,17 @@ def at_cosine(rng, c, size, dim=64):
     return [math.sqrt(c) * q[0] + math.sqrt(1 - c) * q[i] for i in range(1, size + 1)]
 
 
+@pytest.mark.parametrize("parts", [1, 64])
+def test_many_singles_and_small_clusters(spark, parts):
+    rng = np.random.default_rng(18)
+    small = np.concatenate([np.stack(at_cosine(rng, c, 3)) for c in (0.81, 0.85, 0.9) for _ in range(500)])
+    vs = np.concatenate([small, rng.standard_normal((40_000, 64))]).astype(np.float32)
+    at = rng.permutation(len(vs)) + 1
+    df = spark.createDataFrame(pd.DataFrame({"id": [f"{i:036x}" for i in at], "vector": vs.tolist()}), "id string, vector array<float>").coalesce(1)
+    got = {r.id: r.cluster_id for r in clusters.found(df if parts == 1 else df.repartition(parts)).collect()}
+    assert got == {f"{i:036x}": f"{min(g):036x}" for g in at[: len(small)].reshape(-1, 3).tolist() for i in g}
+
+
 @pytest.mark.parametrize("parts", [1, 6])
 def test_loose_clusters(spark, parts):
     rng = np.random.default_rng(12)
@@ -104,8 +115,9 @@ def test_pairs_in_a_large_rest(spark, monkeypatch):
     monkeypatch.setattr(clusters, "COMPARED", 100)  # in several steps
     few = clusters.usable_nodes(df.where(df.id.isin(list(want))))
     assert {r.id: r.cluster_id for r in clusters.least_similar(few, 300).collect()} == want
-    near = clusters._compared(few, 300, 64).collect()
-    assert {r.size for r in near} == {2} and all(abs(r.closeness - math.sqrt(0.905)) < 1e-5 for r in near)
+    monkeypatch.setattr(clusters, "SLICE", 1)
+    near = clusters.described(df.where(df.id.isin(list(want)))).collect()
+    assert {r.size for r in near} == {2} and {r["rank"] for r in near} == {1, 2} and all(abs(r.closeness - math.sqrt(0.905)) < 1e-4 for r in near) and len(near) == 300
 
 
 def test_no_clusters(spark):
@@ -128,6 +140,32 @@ def test_tree_and_ward():
     assert len(clusters.ward(np.zeros(0), np.zeros((0, 2)))[0]) == 0
 
 
+def test_chains_merge_what_the_cheapest_first_merges():
+    rng = np.random.default_rng(17)
+    groups = [np.stack(at_cosine(rng, 0.9, 8)) for _ in range(12)]
+    x = np.concatenate(groups)[rng.permutation(96)]
+    n = rng.integers(1, 9, 96).astype(float)
+    # average cosines of 0.95 or more only within parts of the groups
+    for limit in (0.8, 0.93):
+        a, b = clusters._ward(n, x * n[:, None], limit)
+        m, t, done = n.copy(), x * n[:, None], False
+        while not done:
+            mean = t / m[:, None]
+            s = mean @ mean.T
+            sq = np.diag(s)
+            cost = np.where(s >= limit, m[:, None] * m[None, :] / (m[:, None] + m[None, :]) * (sq[:, None] + sq[None, :] - 2 * s), np.inf)
+            np.fill_diagonal(cost, np.inf)
+            i, j = divmod(int(cost.argmin()), len(m))
+            done = not np.isfinite(cost[i, j])
+            if not done:
+                t[i] += t[j]
+                m[i] += m[j]
+                m, t = np.delete(m, j), np.delete(t, j, axis=0)
+        assert sorted(a) == sorted(m) and np.allclose(np.sort(b.sum(axis=1)), np.sort(t.sum(axis=1)))
+    a, _ = clusters._ward(np.ones(3000), clusters._units(np.ones((3000, 8)) + 0.01 * rng.standard_normal((3000, 8))), 0.8)
+    assert a.tolist() == [3000]
+
+
 def test_a_full_tree_gets_coarser(monkeypatch):
     monkeypatch.setattr(clusters, "MAX_LEAVES", 50)
     rng = np.random.default_rng(2)
