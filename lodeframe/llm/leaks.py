@@ -19,11 +19,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The shortest passage, and the words for which one edit is allowed (the problem's statement).
 PASSAGE, PER_EDIT = 20, 10
@@ -34,13 +36,18 @@ STRANGE = 2
 BITS, BLOCKS, RADIUS = 64, 4, 15
 #: Least weighted share of an item window's words that the document's window must have.
 SIMILAR = 0.65
+#: Words in a row that every passage has as they are in the item: PASSAGE words with two edits leave three runs of 18 words in all, and longer
+#: ones with one edit in ten words longer runs.
+RUN = 6
+#: Item windows of one index, which takes some 6 KB for each; more items are looked for block by block.
+INDEX_WINDOWS = 32_768
 
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>")
 BLOCK_TAGS = frozenset("p br div li ul ol td tr th table hr h1 h2 h3 h4 h5 h6 blockquote pre section article".split())
 LINK = re.compile(r"\]\([^)\s]*\)")
 BROKEN = re.compile(r"[-‐‑]\s*\n[\s>|»]*")
-UNSEEN = dict.fromkeys([0x00AD, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065)])
+UNSEEN = re.compile("[\u00ad\u180e\ufeff\u200b-\u200f\u202a-\u202e\u2060-\u2064]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -52,7 +59,9 @@ def words_of(text: str) -> list[str]:
     if "](" in text:
         text = LINK.sub("]", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(UNSEEN))
+        text = UNSEEN.sub("", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
     if "\n" in text:
         text = BROKEN.sub("", text)
     return WORD.findall(text.lower())
@@ -119,30 +128,56 @@ class Index:
                 q = np.repeat(np.arange(lo, hi), s)
                 at = np.arange(len(q)) - np.repeat(np.cumsum(s) - s, s) + np.repeat(first[lo:hi], s)
                 w = self.lists[b][at].astype(np.int64)
-                ok = np.bitwise_count(prints[q] ^ self.prints[w]) <= RADIUS
+                x = prints[q] ^ self.prints[w]
+                ok = np.bitwise_count(x) <= RADIUS
+                for earlier in range(b):  # a pair comes from the first block that is near
+                    ok &= np.bitwise_count(self.block(x, earlier)) > RADIUS // BLOCKS
                 found.append(q[ok] * m + w[ok])
                 lo = hi
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        pairs = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
         return pairs // max(m, 1), pairs % max(m, 1)
 
-    def similarity(self, windows: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The weighted share of each item window's words that occur in the document's window."""
+    def similarity(self, windows: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The weighted share of each item window w's words that occur in the document's window q; q ascends."""
         out = np.zeros(len(w))
-        for at in range(0, len(w), 20_000):
-            iw, dw = self.windows[w[at : at + 20_000]], windows[at : at + 20_000]
-            there = (iw[:, :, None] == dw[:, None, :]).any(axis=2)
-            weight = self.weight[iw]
-            out[at : at + 20_000] = (weight * there).sum(axis=1) / weight.sum(axis=1)
+        weight = self.weight[self.windows]
+        weight /= weight.sum(axis=1, keepdims=True)
+        for first in range(0, len(windows), 2048):  # so many windows as rows of a table of words
+            lo, hi = np.searchsorted(q, [first, first + 2048])
+            if lo == hi:
+                continue
+            own = windows[first : first + 2048]
+            there = np.zeros((len(own), len(self.weight)), dtype=bool)
+            there[np.arange(len(own))[:, None], own] = True
+            for at in range(lo, hi, 50_000):
+                part = slice(at, min(at + 50_000, hi))
+                out[part] = (weight[w[part]] * there[(q[part] - first)[:, None], self.windows[w[part]]]).sum(axis=1)
         return out
 
 
-def may_hold(item: np.ndarray, region: np.ndarray) -> bool:
-    """Whether some PASSAGE words in a row of the item occur in the region, all but three, in any order.
+def runs_of(item: np.ndarray, region: np.ndarray) -> int:
+    """The longest run of words of the item that the region has as it is, PASSAGE at most."""
+    same = item[:, None] == region[None, :]
+    if not same.any():
+        return 0
+    n = 1
+    while n < PASSAGE and min(same.shape) > 1:
+        same = same[1:, 1:] & (item[: same.shape[0] - 1, None] == region[None, : same.shape[1] - 1])
+        if not same.any():
+            break
+        n += 1
+    return n
+
+
+def may_hold(item: np.ndarray, region: np.ndarray, words: int) -> bool:
+    """Whether some PASSAGE words in a row of the item occur in the region, all but three, in any order. words: how many there are.
 
     Necessary for a passage: one of 30 to 39 words may have three edits in its middle, in any other some PASSAGE words in a
     row have fewer.
     """
-    there = np.concatenate([[0], np.cumsum(np.isin(item, region))])
+    known = np.zeros(words, dtype=bool)
+    known[region] = True
+    there = np.concatenate([[0], np.cumsum(known[item])])
     return bool((there[PASSAGE:] - there[:-PASSAGE] >= PASSAGE - 3).any())
 
 
@@ -194,7 +229,7 @@ def find(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
         return []
     windows = c[at[:, None] + np.arange(WINDOW)]
     q, w = index.near(index.simhash(windows))
-    ok = index.similarity(windows[q], w) >= SIMILAR
+    ok = index.similarity(windows, q, w) >= SIMILAR
     q, w = q[ok], w[ok]
     place, item = at[q], index.owner[w]
     diagonal = place - index.offset[w]
@@ -220,7 +255,10 @@ def find(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
         slack = len(words) // PER_EDIT + STRANGE
         first, last = int(ends[d] - lengths[d]), int(ends[d])
         region = c[max(first, lo - slack) : min(last, hi + len(words) + slack)]
-        if may_hold(words, region) and has_passage(words, region):
+        if not may_hold(words, region, other + 1):
+            continue
+        run = runs_of(words, region)
+        if run >= PASSAGE or (run >= RUN and has_passage(words, region)):
             done.add((d, k))
             out.append((d, index.items[k][0]))
     return out
@@ -239,24 +277,27 @@ def pieces(texts: list[str | None], most: int = 1000, chars: int = 2_000_000) ->
         yield a, len(texts)
 
 
-_INDEXES: dict[int, Index] = {}
-
-
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id: each document with each item of which it contains a passage, once.
 
     Null and empty texts, and items of fewer than PASSAGE words, contain or are no passage. Repeated documents
-    each have their rows. Extra columns are ignored. The items are a fixed, small set, whatever the corpus, and are broadcast.
+    each have their rows. Extra columns are ignored. The items are a fixed set, whatever the corpus; as many of them as have some INDEX_WINDOWS
+    windows are indexed on the driver and broadcast at a time.
     """
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-    stamp = xxhash.xxh64_intdigest(repr(rows))
+    words = F.size(F.split("text", r"\W+"))  # about
+    blocks = -(-int(items.agg(F.sum(F.greatest(words, F.lit(0)))).first()[0] or 0) // INDEX_WINDOWS) or 1
+    parts = []
+    for k in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        parts.append(_leaks_of(docs, Index([(r.item_id, r.text) for r in own.select("item_id", "text").collect()])))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _leaks_of(docs: DataFrame, index: Index) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if stamp not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[stamp] = Index(shared.value)
-        index = _INDEXES[stamp]
+        index = shared.value
         for pdf in batches:
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
             for a, b in pieces(texts):

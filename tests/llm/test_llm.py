@@ -270,7 +270,7 @@ ITEM = "Suppose that Orban and Weltun disagree about the lantern of a barge: the
 OTHER = "Given 77 paddock vectors and 12 orchard centres state the smallest quiver that lets Corvo skip the oxbow entirely and then show why Rion would reach the same cistern with only 45 comparisons"
 
 
-def test_passages(spark):
+def test_passages(spark, monkeypatch):
     w = ITEM.split()
     edited = w[:]
     edited[6], edited[15] = "around", "boat"  # with 20 words, two edits
@@ -288,6 +288,8 @@ def test_passages(spark):
     got = sorted(map(tuple, leaks.leaks(docs, items).collect()))
     assert got == sorted([(i, 7) for i in (1, 1, 2, 3, 6, 7, 8, 9, 10, 14, 15, 16, 17, 19)] + [(14, 8)])
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
+    monkeypatch.setattr(leaks, "INDEX_WINDOWS", 20)  # several indexes
+    assert sorted(map(tuple, leaks.leaks(docs, items).collect())) == got
 
 
 def brute_passage(item, doc):
@@ -325,6 +327,9 @@ def test_alignment_against_brute_force():
         want = brute_passage(list(item), doc)
         outcomes.add(want)
         assert leaks.has_passage(item, np.array(doc)) == want
+        run = leaks.runs_of(item, np.array(doc))
+        assert run == max(k for k in range(21) if k == 0 or any(list(item[i : i + k]) == doc[j : j + k] for i in range(len(item) - k + 1) for j in range(len(doc) - k + 1)))
+        assert not want or (run >= leaks.RUN and leaks.may_hold(item, np.array(doc), 40))
     assert outcomes == {True, False}
 
 
