@@ -113,12 +113,12 @@ def periods(nodes: DataFrame) -> DataFrame:
     rows = _ledger(known, pairs).where("believed").select("being_id", "tx_begin", "tx_end", "attrs")
     rows = _in_pieces(rows, F.col("being_id"), bounds, "tx_begin")
     rows = near(rows, F.col("tx_begin"), True, "next_begin")
-    rows = rows.withColumn("valid_to", F.least("tx_end", F.coalesce("next_begin", F.lit(OPEN)))).drop("next_begin")
+    rows = rows.withColumn("valid_to", F.least("tx_end", F.coalesce("next_begin", F.lit(OPEN)))).withColumn("is_last", F.col("next_begin").isNull()).drop("next_begin")
     rows = near(rows, F.struct("valid_to", "attrs"), False, "before")
-    # a period starts where there is nothing before, a gap, or another state; the being's last row is kept for its end
+    # a period starts where there is nothing before, a gap, or another state
     starts = F.col("before").isNull() | (F.col("before.valid_to") < F.col("tx_begin")) | ~F.col("before.attrs").eqNullSafe(F.col("attrs"))
-    rows = rows.select("being_id", "piece", "tx_begin", "attrs", F.col("before.valid_to").alias("before_end"), "valid_to", starts.alias("starts"))
-    last = rows.groupBy("being_id").agg(F.max("valid_to").alias("last_end"))
-    first = near(rows.where("starts"), F.col("before_end"), True, "until")
-    end = F.coalesce("until", "last_end")
-    return first.join(last, "being_id").select("being_id", "tx_begin", F.when(end == OPEN, F.lit(-1).cast("long")).otherwise(end).alias("tx_end"), "attrs")
+    rows = rows.select("being_id", "piece", "tx_begin", "attrs", F.col("before.valid_to").alias("before_end"), "valid_to", "is_last", starts.alias("starts"))
+    # it ends where the row before the next start did, and the being's last period with the being's last row
+    ends = near(rows.where("starts or is_last"), F.when(F.col("starts"), F.col("before_end")).otherwise(F.col("valid_to")), True, "until").where("starts")
+    end = F.coalesce("until", "valid_to")
+    return ends.select("being_id", "tx_begin", F.when(end == OPEN, F.lit(-1).cast("long")).otherwise(end).alias("tx_end"), "attrs")
