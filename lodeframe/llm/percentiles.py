@@ -111,6 +111,10 @@ class Sketch:
         return s
 
 
+#: Sketches that a task keeps open at a time, and partial sketches of a group that meet at once, about.
+OPEN, FAN_IN = 2048, 256
+
+
 def values_of(chunks: DataFrame, beings: DataFrame) -> DataFrame:
     """name, def, day, value: each chunk once, its values with the def of their being.
 
@@ -134,7 +138,16 @@ def day_sketches(values: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[tuple, Sketch] = {}
+
+        def done() -> pa.RecordBatch:
+            keys = list(open_)
+            cols = [pa.array([k[c] for k in keys], type=t) for c, t in enumerate((pa.string(), pa.string(), pa.date32()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([s.to_bytes() for s in open_.values()], type=pa.binary())], names=["name", "def", "day", "sketch"])
+
         for batch in batches:
+            if len(open_) > OPEN:
+                yield done()
+                open_.clear()
             if not batch.num_rows:
                 continue
             codes = np.zeros(batch.num_rows, dtype=np.int64)
@@ -154,17 +167,20 @@ def day_sketches(values: DataFrame) -> DataFrame:
                     k //= len(dic) + 1
                 open_.setdefault(tuple(reversed(key)), Sketch()).add(v[a:b])
         if open_:
-            keys = list(open_)
-            cols = [pa.array([k[c] for k in keys], type=t) for c, t in enumerate((pa.string(), pa.string(), pa.date32()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.to_bytes() for s in open_.values()], type=pa.binary())], names=["name", "def", "day", "sketch"])
+            yield done()
 
     partial = values.mapInArrow(build, "name string, def string, day date, sketch binary")
-    return merge_sketches(partial, ["name", "def", "day"])
+    keys = ["name", "def", "day"]
+    tasks = values.sparkSession.sparkContext.defaultParallelism
+    slices = tasks // FAN_IN  # with very many tasks the partial sketches of a group meet in slices first
+    if slices > 1:
+        partial = merge_sketches(partial.withColumn("slice", F.pmod(F.xxhash64("sketch"), F.lit(slices))), [*keys, "slice"])
+    return merge_sketches(partial, keys)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """One merged sketch per ``keys``; n is the number of values in it."""
-    kinds = {"name": "string", "def": "string", "day": "date"}
+    kinds = {"name": "string", "def": "string", "day": "date", "slice": "bigint"}
     names = [*keys, "sketch", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

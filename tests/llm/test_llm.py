@@ -209,6 +209,20 @@ def test_small_sketches_are_exact():
         assert got == [float(np.sort(x)[math.ceil(p * n / 100) - 1]) for p in (50, 90, 99)]
 
 
+def test_sketches_in_slices(spark, monkeypatch):
+    import datetime as dt
+
+    monkeypatch.setattr(percentiles, "FAN_IN", 1)
+    monkeypatch.setattr(percentiles, "OPEN", 2)
+    rows = [(f"n{i % 7}", "X", dt.date(2025, 1, 1 + i % 3), float(i)) for i in range(3000)]
+    days = percentiles.day_sketches(spark.createDataFrame(rows, "name string, def string, day date, value double").repartition(9))
+    assert days.count() == 21 and days.agg({"n": "sum"}).first()[0] == 3000
+    got = {r.name: (r.n, r.p50, r.p99) for r in percentiles.percentiles(days).collect()}
+    for k in range(7):
+        x = sorted(float(i) for i in range(3000) if i % 7 == k)
+        assert got[f"n{k}"] == (len(x), x[math.ceil(len(x) / 2) - 1], x[math.ceil(0.99 * len(x)) - 1])
+
+
 def test_percentiles_per_group(spark):
     import datetime as dt
 
