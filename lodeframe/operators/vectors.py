@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.model import DimensionMismatch, EngineError
+from lodeframe.sources.tables import materialise
 
 METRICS = ("cosine", "l2", "dot")
 #: Queries that are broadcast together; larger sets of queries are answered in blocks of this many.
 QUERY_BLOCK = 4096
 #: Vectors that the coarse centres of an approximate index are fitted on, at most.
 FIT_SAMPLE = 20_000
+#: Rows in a file of such an index, at most about.
+FILE_ROWS = 1_000_000
 
 
 def _double(v: Column | str) -> Column:
@@ -178,12 +181,13 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def _blocks(queries: DataFrame) -> Iterator[list[tuple[object, list[float]]]]:
-    """The queries in blocks of at most about QUERY_BLOCK; each block is small, and only one is held at a time."""
+    """The queries in blocks of at most about QUERY_BLOCK; each block is small, and only one is held at a time. Vectors that are null or
+    have null, NaN or infinite numbers ask nothing."""
     n = queries.count()
     parts = max(1, math.ceil(n / QUERY_BLOCK))
     for p in range(parts):
         block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)
-        rows = [(r.id, r.vector) for r in block.select("id", "vector").collect() if r.vector is not None]
+        rows = [(r.id, r.vector) for r in block.select("id", "vector").collect() if r.vector is not None and all(x is not None and math.isfinite(x) for x in r.vector)]
         if rows:
             yield rows
 
@@ -224,16 +228,18 @@ class CoarseIndex:
     """An inverted index of cells around coarse centres (cosine).
 
     The centres are fitted on at most FIT_SAMPLE rows (those with the smallest hash of their id, so the same rows each
-    time); every row is then put into the cell of its nearest centre. A search looks into the ``probes`` cells nearest
-    to the query.
+    time); every row is then put into the cell of its nearest centre, once, in files sorted by cell, of which a search reads those that
+    may hold the ``probes`` cells nearest to its queries. A large cell lies in several files.
     """
 
     def __init__(self, rows: DataFrame, cells: int | None = None, rounds: int = 10):
         n = rows.count()
         usable = rows.where("vector is not null")
         sample = usable if n <= FIT_SAMPLE else usable.orderBy(F.xxhash64("id")).limit(FIT_SAMPLE)
-        vectors = [r.vector for r in sample.select("id", "vector").orderBy(F.xxhash64("id")).collect()]
-        x = np.array(vectors, dtype=np.float64)
+        vectors = sample.select("id", "vector").orderBy(F.xxhash64("id")).toPandas()["vector"]
+        dim = max((len(v) for v in vectors), default=1)
+        x, _ = _matrix(vectors, dim)
+        x = x if len(x) else np.zeros((1, dim))
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         cells = max(1, min(cells or int(math.sqrt(max(n, 1))), len(x), 4096))
         c = x[np.linspace(0, len(x) - 1, cells).astype(int)]
@@ -253,7 +259,9 @@ class CoarseIndex:
                 x, where = _matrix(pdf["vector"], c.shape[1])
                 yield pdf.iloc[where].assign(cell=(x @ c.T).argmax(axis=1).astype(np.int32))
 
-        self.rows = rows.select("id", "vector").mapInPandas(assign, f"id {self.id_type}, vector array<float>, cell int")
+        assigned = rows.select("id", "vector").mapInPandas(assign, f"id {self.id_type}, vector array<float>, cell int")
+        files = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // FILE_ROWS)
+        self.rows = materialise(materialise(assigned, "cells").repartitionByRange(files, "cell", F.xxhash64("id")).sortWithinPartitions("cell"), "index")
 
     def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
         """query_id, rank, id, distance."""
@@ -266,7 +274,8 @@ class CoarseIndex:
             for i, cells in enumerate(near):
                 for c in cells:
                     lists.setdefault(int(c), []).append(i)
-            found = _search(self.rows, block, k, "cosine", self.id_type, {c: np.array(v) for c, v in lists.items()})
+            rows = self.rows.where(F.col("cell").isin(sorted(lists)))  # reaches the scan, which skips files and row groups
+            found = _search(rows, block, k, "cosine", self.id_type, {c: np.array(v) for c, v in lists.items()})
             out = found if out is None else out.unionByName(found)
         if out is None:
             out = self.rows.sparkSession.createDataFrame([], f"query_id {self.id_type}, id {self.id_type}, distance double")

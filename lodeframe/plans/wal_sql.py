@@ -37,6 +37,7 @@ def wal_sql() -> dict[str, str]:
     )
     return {
         "p3_found": records,
+        "p3_replayed": f"SELECT source_table, (run_no = (SELECT coalesce(max(run_no), 0) + 1 FROM run_log l WHERE l.source_table = r.source_table))::BIGINT AS batch, rec_id, rec_version FROM ({records}) r",
         "p6_found": _STATE + "SELECT id, field_name, seq FROM F",
         "p6_beings": _STATE + f"SELECT id, {pick('status', 'DOUBLE')}, {pick('name', 'VARCHAR')}, {pick('weight', 'DOUBLE')}, {pick('priority', 'DOUBLE')}, {pick('category', 'VARCHAR')} FROM F GROUP BY id",
     }

@@ -289,6 +289,8 @@ def test_search_against_brute_force_and_the_index(spark):
     index = vectors.CoarseIndex(df, cells=12)
     assert index.rows.where("id < 600").count() == 600
     assert vectors.recall(index.search(q, 5, probes=12), vectors.knn_batch(df, q, 5)).first().recall == 1.0
+    one = index.search(df.where("id = 7"), 3, probes=1)
+    assert one.first().id == 7 and one.count() <= 3 and index.search(q.limit(0), 3).count() == 0
     with pytest.raises(EngineError):
         vectors.knn(df, [0.0] * 16, 1, "unknown")
     assert vectors.knn_batch(df, q.limit(0), 5).count() == 0 and vectors.knn(df.limit(0), [0.0] * 16, 3).count() == 0
