@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from lodeframe.model import BEINGS, CORE, CORE_DEFAULTS, RELATIONS, WIDTHS, Def, DefRegistry, DimensionMismatch, EngineError, Field, FieldType, NotFound, RelationTypes
 from lodeframe.functions.ids import cut_bytes
 from lodeframe.operators import graph
-from lodeframe.operators.predicates import Condition, Where, condition_of
+from lodeframe.operators.predicates import Compare, Condition, Where, condition_of
 from lodeframe.operators.temporal import History
 from lodeframe.plans import dsl
-from lodeframe.plans.logical import DEFAULT_FIELDS, Catalog, LogicalQuery, Similar, compile_query
+from lodeframe.plans.logical import DEFAULT_FIELDS, Catalog, LogicalQuery, Similar, compile_query, current, source
 from lodeframe.sources.ship import ship
 from lodeframe.sources.store import Store
 
@@ -265,7 +265,7 @@ class Engine:
     # the query language
 
     def _first_named(self, name: str):
-        rows = self.catalog.beings.where(F.col("name") == name).orderBy("ord").select("id").take(1)
+        rows = compile_query(LogicalQuery(where=(Compare("name", "==", name),), limit=1, fields=("id",)), self.catalog).take(1)
         return rows[0].id if rows else None
 
     def _message(self, text: str) -> DataFrame:
@@ -300,22 +300,22 @@ class Engine:
 
     def _analyze(self, s: dsl.Analyze) -> DataFrame:
         c, n = self.catalog, 10 if s.limit is None else s.limit
-        facts = c.beings.select("id", "name", "weight", "priority")
+        facts = lambda found: found.join(current(c, found).select("id", "name", "weight", "priority"), "id")
         if s.algorithm == "pagerank":
-            return graph.pagerank(c.beings, c.relations, n, DAMPING).orderBy(F.desc("rank"), "id")
+            return graph.pagerank(source(LogicalQuery(fields=("id",)), c), c.relations, n, DAMPING).orderBy(F.desc("rank"), "id")
         start = self._first_named(s.start)
         if start is None:
-            return facts.withColumn("depth", F.lit(0)).limit(0)
+            return self.spark.createDataFrame([], "depth int, id string, name string, weight double, priority int")
         if s.algorithm == "bfs":
             found = graph.bfs(c.relations, self.spark.createDataFrame([(start,)], "id string"), n)
-            return found.join(facts, "id").orderBy("depth", "way").select("depth", "id", "name", "weight", "priority")
+            return facts(found).orderBy("depth", "way").select("depth", "id", "name", "weight", "priority")
         if s.algorithm == "dfs":
             found = graph.dfs(c.relations, start, n)
-            return found.join(facts, "id").orderBy("pos").select("depth", "id", "name", "weight", "priority")
+            return facts(found).orderBy("pos").select("depth", "id", "name", "weight", "priority")
         goal = self._first_named(s.to) if s.to else None
         if goal is None:
             raise NotFound(f"no being named {s.to!r}")
-        return graph.shortest_path(c.relations, start, goal).join(facts, "id").orderBy("step")
+        return facts(graph.shortest_path(c.relations, start, goal)).orderBy("step")
 
     def _mutate(self, s: dsl.Mutation) -> DataFrame:
         tx = self.begin_tx()

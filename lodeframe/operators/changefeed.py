@@ -89,7 +89,11 @@ def field_origins(wal: DataFrame) -> DataFrame:
 
 def present_beings(wal: DataFrame) -> DataFrame:
     """The present table of beings, typed."""
-    state = present(fold(events(transactions(wal))))
+    return typed(present(fold(events(transactions(wal)))))
+
+
+def typed(state: DataFrame) -> DataFrame:
+    """The values of present beings, with their types."""
     return state.select(
         "id", F.col("status.value").try_cast("int").alias("status"), F.col("name.value").alias("name"), F.col("weight.value").try_cast("double").alias("weight"),
         F.col("priority.value").try_cast("int").alias("priority"), F.col("category.value").alias("category"),

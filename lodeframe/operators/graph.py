@@ -8,7 +8,7 @@ queue-based traversal would discover nodes is kept without any global numbering:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -245,9 +245,14 @@ def connected(nodes: DataFrame, relations: DataFrame, present: bool = True) -> D
     return nodes.join(e, "id", "left_semi" if present else "left_anti")
 
 
-def neighbour_names(hits: DataFrame, relations: DataFrame, beings: DataFrame) -> DataFrame:
-    """hits (with id) and relations (names of the out-neighbours, newest edge first) and relation_count; null without any."""
+def neighbour_names(hits: DataFrame, relations: DataFrame, beings: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """hits (with id) and relations (names of the out-neighbours, newest edge first) and relation_count; null without any.
+
+    beings: a row for each id, or a function that gives the rows of some ids.
+    """
     e = symmetrised(relations).join(hits.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    if callable(beings):
+        beings = beings(e.select(F.col("to_id").alias("id")))
     names = e.join(beings.select(F.col("id").alias("to_id"), "name", "ord").withColumnsRenamed({"name": "_name", "ord": "_o"}), "to_id")
     lists = names.groupBy(F.col("from_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("ord")).alias("o"), F.col("_name").alias("name")))).alias("r"))
     return hits.join(lists.select("id", F.col("r.name").alias("relations"), F.size("r").alias("relation_count")), "id", "left")

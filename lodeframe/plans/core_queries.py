@@ -81,6 +81,16 @@ def p6_beings(spark: SparkSession, d: str) -> DataFrame:
     return state.withColumns({c: F.col(c).cast("double") for c in ("status", "priority")})
 
 
+def p6_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a base and increments, folded apart and merged, the base last."""
+    tx = changefeed.transactions(table(spark, d, "wal_records"))
+    last, *rest = [changefeed.fold(changefeed.events(tx.where(F.pmod("seq", F.lit(3)) == k))) for k in range(3)]
+    for part in rest:
+        last = changefeed.merge(last, part)
+    state = changefeed.typed(changefeed.present(last))
+    return state.withColumns({c: F.col(c).cast("double") for c in ("status", "priority")})
+
+
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p1_found, p1_totals, p3_found, p3_beings, p3_replayed, p4_found, p4_ledger, p5_found, p5_report, p6_found, p6_beings)
+    fs = (p1_found, p1_totals, p3_found, p3_beings, p3_replayed, p4_found, p4_ledger, p5_found, p5_report, p6_found, p6_beings, p6_merged)
     return {f.__name__: f for f in fs}

@@ -134,6 +134,13 @@ def source(q: LogicalQuery, catalog: Catalog) -> DataFrame:
     return rows
 
 
+def current(catalog: Catalog, ids: DataFrame) -> DataFrame:
+    """The present beings among ``ids`` (column id), one row each."""
+    if not catalog.versioned:
+        return catalog.beings.join(ids.select("id"), "id", "left_semi")
+    return source(LogicalQuery(fields=None), replace(catalog, beings=catalog.beings.join(ids.select("id"), "id", "left_semi"), parts=()))
+
+
 def compile_query(q: LogicalQuery, catalog: Catalog) -> DataFrame:
     """The lazy DataFrame of a query (a similarity search checks its dimension first)."""
     rows = source(q, catalog)
@@ -154,10 +161,10 @@ def compile_query(q: LogicalQuery, catalog: Catalog) -> DataFrame:
     extra = ["distance"] if q.similar is not None else []
     if q.with_relations:
         reach = graph.bfs(catalog.relations, rows.select("id"), q.with_relations)
-        rows = catalog.beings.join(reach.select("id", "depth"), "id")
+        rows = current(catalog, reach).join(reach.select("id", "depth"), "id")
         extra = ["depth"]
     elif q.similar is not None and q.similar.relations:
-        rows = graph.neighbour_names(rows, catalog.relations, catalog.beings)
+        rows = graph.neighbour_names(rows, catalog.relations, lambda ids: current(catalog, ids))
         extra = ["distance", "relation_count", "relations"]
     rows = _ordered(rows, q, ["distance", "id"] if q.similar is not None else ["ord"])
     if q.fields is None:

@@ -35,9 +35,11 @@ def wal_sql() -> dict[str, str]:
     records = P3.replace("WITH last AS", f"WITH {INTACT}, last AS", 1).replace(
         "GROUP BY 1, 2, 3)\nSELECT", "GROUP BY 1, 2, 3 UNION ALL SELECT 'wal_records', seq::VARCHAR, seq, min(arrived_at) FROM INTACT GROUP BY seq)\nSELECT"
     )
+    state = _STATE + f"SELECT id, {pick('status', 'DOUBLE')}, {pick('name', 'VARCHAR')}, {pick('weight', 'DOUBLE')}, {pick('priority', 'DOUBLE')}, {pick('category', 'VARCHAR')} FROM F GROUP BY id"
     return {
         "p3_found": records,
         "p3_replayed": f"SELECT source_table, (run_no = (SELECT coalesce(max(run_no), 0) + 1 FROM run_log l WHERE l.source_table = r.source_table))::BIGINT AS batch, rec_id, rec_version FROM ({records}) r",
         "p6_found": _STATE + "SELECT id, field_name, seq FROM F",
-        "p6_beings": _STATE + f"SELECT id, {pick('status', 'DOUBLE')}, {pick('name', 'VARCHAR')}, {pick('weight', 'DOUBLE')}, {pick('priority', 'DOUBLE')}, {pick('category', 'VARCHAR')} FROM F GROUP BY id",
+        "p6_beings": state,
+        "p6_merged": state,
     }

@@ -487,3 +487,19 @@ def test_scratch_tables_can_be_deleted(spark):
     assert os.path.exists(path)
     tables.discard(df)
     assert not os.path.exists(os.path.dirname(path))
+
+
+def test_walks_and_names_see_the_present_versions(engine):
+    for name in ("a", "b", "c"):
+        engine.execute_dsl(f'mutation {{ create T(input: {{name: "{name}"}}) }}')
+    ids = {r.name: r.id for r in engine.query().execute().collect()}
+    engine.relate(ids["a"], ids["b"])
+    engine.relate(ids["a"], ids["c"])
+    engine.execute_dsl('mutation { update b(input: {name: "bb", weight: 2}) }')
+    engine.execute_dsl("mutation { delete c }")
+    assert names(engine.execute_dsl("analyze { bfs on a(limit: 3) {} }")) == ["a", "bb"] == names(engine.execute_dsl("analyze { dfs on a(limit: 3) {} }"))
+    assert names(engine.query().being(ids["a"]).with_relations(2).select("name").execute()) == ["a", "bb"]
+    assert engine.execute_dsl("analyze { bfs on b {} }").count() == 0  # nothing has that name now
+    assert engine.execute_dsl("analyze { pagerank on a {} }").count() == 2
+    engine.insert_vectors("embedding", engine.spark.createDataFrame([(ids["a"], [1.0, 0.0])], "id string, vector array<float>"))
+    assert engine.execute_dsl("similar { T(query: [1, 0], k: 1) {} }").first().relations == ["bb"]
