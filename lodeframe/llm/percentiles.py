@@ -16,10 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions.ids import referred_id, refers
+from lodeframe.sources.tables import materialise
 
 #: Size of a section; the error of a rank is about 1 / K of the number of values above it, or less.
 K = 128
@@ -113,6 +115,27 @@ class Sketch:
 
 #: Sketches that a task keeps open at a time, and partial sketches of a group that meet at once, about.
 OPEN, FAN_IN = 2048, 256
+#: Repeated chunk numbers that are broadcast, some 150 bytes each.
+AGAIN = 100_000
+
+
+def _once(chunks: DataFrame) -> DataFrame:
+    """Each chunk_no once; rows with a null chunk_no can't be told to repeat, so all count.
+
+    Which rows repeat is found out by chunk_no and place in the files alone. Chunks that come once aren't moved; of those that come again the one
+    at the first place stays, by a broadcast of at most AGAIN numbers, or an ordinary join if there are more.
+    """
+    try:
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        chunks.select(place)
+    except AnalysisException:  # not from files
+        return chunks.where("chunk_no is not null").dropDuplicates(["chunk_no"]).unionByName(chunks.where("chunk_no is null"))
+    numbered = chunks.select("chunk_no", "name", "day", "being_ids", "values", place.alias("_place"))
+    again = numbered.where("chunk_no is not null").groupBy("chunk_no").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    again = materialise(again.where("_n > 1").select("chunk_no", "_first"), "again")
+    if again.count() <= AGAIN:
+        again = F.broadcast(again)
+    return numbered.join(again, "chunk_no", "left").where("_first is null or _first = _place")
 
 
 def values_of(chunks: DataFrame, beings: DataFrame) -> DataFrame:
@@ -122,8 +145,7 @@ def values_of(chunks: DataFrame, beings: DataFrame) -> DataFrame:
     position without a partner in the other array has no value or no being. A null chunk_no can't be told to repeat, so
     such rows all count. A being's def is that of its row with the latest updated_at that has one (ties: the larger def).
     """
-    once = chunks.where("chunk_no is not null").dropDuplicates(["chunk_no"]).unionByName(chunks.where("chunk_no is null"))
-    pairs = once.select("name", "day", F.inline(F.arrays_zip(F.col("being_ids").alias("being"), F.col("values").alias("value"))))
+    pairs = _once(chunks).select("name", "day", F.inline(F.arrays_zip(F.col("being_ids").alias("being"), F.col("values").alias("value"))))
     rows = pairs.toDF("name", "day", "being", "value").where("value is not null and not isnan(value)").where(refers("being")).select("name", "day", referred_id("being").alias("id"), "value")
     last = F.max(F.struct(F.coalesce("updated_at", F.lit(-(2**63))).alias("u"), "def"))
     defs = beings.where("def is not null").where(refers("id")).select(referred_id("id").alias("id"), "updated_at", "def").groupBy("id").agg(last["def"].alias("def"))

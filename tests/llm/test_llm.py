@@ -223,7 +223,7 @@ def test_sketches_in_slices(spark, monkeypatch):
         assert got[f"n{k}"] == (len(x), x[math.ceil(len(x) / 2) - 1], x[math.ceil(0.99 * len(x)) - 1])
 
 
-def test_percentiles_per_group(spark):
+def test_percentiles_per_group(spark, tmp_path, monkeypatch):
     import datetime as dt
 
     nan = float("nan")
@@ -237,6 +237,13 @@ def test_percentiles_per_group(spark):
     got = {(r.name, r["def"]): (r.n, r.p50, r.p90, r.p99) for r in percentiles.percentiles(days).collect()}
     assert got == {("w", "Y"): (2, 1.0, 2.0, 2.0), ("w", "X"): (5, 7.0, 7.0, 7.0), (None, "Y"): (1, float("inf"), float("inf"), float("inf"))}
     assert percentiles.percentiles(percentiles.day_sketches(percentiles.values_of(c.limit(0), b))).count() == 0
+    c.repartition(3).write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    for most in (10, 0):  # by broadcast, and without
+        monkeypatch.setattr(percentiles, "AGAIN", most)
+        assert "_metadata" not in percentiles.values_of(stored, b).columns
+        days = percentiles.day_sketches(percentiles.values_of(stored, b))
+        assert {(r.name, r["def"]): (r.n, r.p50, r.p90, r.p99) for r in percentiles.percentiles(days).collect()} == got
 
 
 # 8
