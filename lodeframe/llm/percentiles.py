@@ -113,8 +113,8 @@ class Sketch:
         return s
 
 
-#: Sketches that a task keeps open at a time, and partial sketches of a group that meet at once, about.
-OPEN, FAN_IN = 2048, 256
+#: Sketches that a task keeps open at a time, numbers in them, and partial sketches of a group that meet at once, about.
+OPEN, HELD, FAN_IN = 100_000, 8_000_000, 256
 #: Repeated chunk numbers that are broadcast, some 150 bytes each.
 AGAIN = 100_000
 
@@ -160,6 +160,7 @@ def day_sketches(values: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[tuple, Sketch] = {}
+        held = 0  # at most so many numbers
 
         def done() -> pa.RecordBatch:
             keys = list(open_)
@@ -167,9 +168,12 @@ def day_sketches(values: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*cols, pa.array([s.to_bytes() for s in open_.values()], type=pa.binary())], names=["name", "def", "day", "sketch"])
 
         for batch in batches:
-            if len(open_) > OPEN:
+            if held > HELD:
+                held = sum(len(v) for s in open_.values() for v in s.levels)
+            if len(open_) > OPEN or held > HELD / 2:
                 yield done()
                 open_.clear()
+                held = 0
             if not batch.num_rows:
                 continue
             codes = np.zeros(batch.num_rows, dtype=np.int64)
@@ -188,6 +192,7 @@ def day_sketches(values: DataFrame) -> DataFrame:
                     key.append(dic[k % (len(dic) + 1)])
                     k //= len(dic) + 1
                 open_.setdefault(tuple(reversed(key)), Sketch()).add(v[a:b])
+            held += len(v)
         if open_:
             yield done()
 
