@@ -337,11 +337,11 @@ def _assigned(nodes: DataFrame, summaries: DataFrame, dim: int = DIM) -> tuple[l
 def least_similar(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
     """id, cluster_id (the smallest id, its own included, at LIMIT) of each of ``size`` nodes that no summary took.
 
-    All pairs are compared: COMPARED nodes at a time are sent to every task. Work grows with the square of
-    ``size``, memory doesn't grow.
+    All pairs are compared once: COMPARED nodes at a time are sent to the tasks of the nodes not sent before, and both nodes of a pair
+    learn of each other. Work grows with the square of ``size``, memory doesn't grow.
     """
-    rows = rest.select("id", "unit")
     steps = math.ceil(size / COMPARED)
+    rows = rest.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(steps)).alias("step"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -349,8 +349,7 @@ def least_similar(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
                 yield pd.DataFrame({"ids": [pdf["id"].tolist()], "units": [np.stack(pdf["unit"].to_numpy()).astype(np.float32).tobytes()]})
 
     def step(k: int) -> DataFrame:
-        own = rows.where(F.pmod(F.xxhash64("id"), F.lit(steps)) == k)
-        packed = own.mapInPandas(pack, "ids array<string>, units binary").collect()
+        packed = rows.where(F.col("step") == k).select("id", "unit").mapInPandas(pack, "ids array<string>, units binary").collect()
         ids = np.array([i for p in packed for i in p.ids], dtype=object)
         units = np.concatenate([np.zeros(0, dtype=np.float32), *(np.frombuffer(p.units, dtype=np.float32) for p in packed)]).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
@@ -358,21 +357,31 @@ def least_similar(rest: DataFrame, size: int, dim: int = DIM) -> DataFrame:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             theirs, y = shared.value
+            back = np.full(len(y), None, dtype=object)  # the smallest id of a later step, for the nodes of this one
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = np.stack(pdf["unit"].to_numpy())
+                x, mine_id, later = np.stack(pdf["unit"].to_numpy()), pdf["id"].to_numpy(), pdf["step"].to_numpy() != k
                 least = np.full(len(x), -1)
                 for i in range(0, len(x), 1024):
                     mine = least[i : i + 1024]
                     for j in range(0, len(y), 8192):  # ids ascend, so the first hit is the smallest
                         hit = x[i : i + 1024] @ y[j : j + 8192].T >= LIMIT - 1e-6
-                        new = (mine < 0) & hit.any(axis=1)
+                        some = hit.any(axis=1)
+                        new = (mine < 0) & some
                         mine[new] = j + hit[new].argmax(axis=1)
+                        for r in np.flatnonzero(some & later[i : i + 1024]):
+                            own = mine_id[i + r]
+                            for c in j + np.flatnonzero(hit[r]):
+                                if back[c] is None or own < back[c]:
+                                    back[c] = own
                 got = least >= 0
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[got], "cluster_id": theirs[least[got]]})
+                yield pd.DataFrame({"id": mine_id[got], "cluster_id": theirs[least[got]]})
+            got = np.flatnonzero([b is not None for b in back])
+            yield pd.DataFrame({"id": theirs[got], "cluster_id": back[got]})
 
-        out = materialise(rows.repartition(math.ceil(size / PER_TASK), "id").mapInPandas(run, "id string, cluster_id string"), "similar")
+        todo = rows.where(F.col("step") >= k)
+        out = materialise(todo.repartition(math.ceil(size * (steps - k) / steps / PER_TASK), "id").mapInPandas(run, "id string, cluster_id string"), "similar")
         shared.unpersist()
         return out
 
