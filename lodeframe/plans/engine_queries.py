@@ -805,7 +805,18 @@ def validate_required(spark, d):
     return validate.violations(_events_as_beings(spark, d), [definition], ["id"])
 
 
-@query()
+_INTS, _NUMBERS = "('BIGINT', 'UBIGINT', 'HUGEINT')", "('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE')"
+
+
+@query(
+    "WITH F AS (SELECT name AS \"def\", unnest(fields) AS f FROM defs), "
+    "V AS (SELECT id, updated_at, \"def\", f.name AS field, f.type AS t, f.required AS needed, f.min AS lo, f.max AS hi, json_extract(ext, '$.\"' || f.name || '\"') AS v FROM beings JOIN F USING (\"def\")), "
+    "P AS (SELECT id, updated_at, \"def\", field, CASE WHEN v IS NULL THEN CASE WHEN needed THEN 'missing' END "
+    f"WHEN NOT CASE t WHEN 'Int' THEN json_type(v) IN {_INTS} WHEN 'Float' THEN json_type(v) IN {_NUMBERS} WHEN 'Bool' THEN json_type(v) = 'BOOLEAN' WHEN 'String' THEN json_type(v) = 'VARCHAR' "
+    f"WHEN 'Array<Int>' THEN json_type(v) = 'ARRAY' AND len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) NOT IN {_INTS})) = 0 "
+    f"ELSE json_type(v) = 'OBJECT' AND len(list_filter(json_extract(v, '$.*'), lambda x: json_type(x) NOT IN {_NUMBERS})) = 0 END THEN 'type' "
+    "WHEN lo IS NOT NULL AND hi IS NOT NULL AND NOT v::DOUBLE BETWEEN lo AND hi THEN 'range' END AS problem FROM V) SELECT * FROM P WHERE problem IS NOT NULL"
+)
 def validate_defs(spark, d):
     """The attributes of all beings against the definitions of the table defs."""
     return validate.violations(table(spark, d, "beings"), validate.definitions_of(table(spark, d, "defs")), ["id", "updated_at"])
